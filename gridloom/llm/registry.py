@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import algorithm_queries
+from gridloom.llm import algorithm_queries, text_queries
 
-MODULES = (algorithm_queries,)
+MODULES = (algorithm_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
