@@ -6,7 +6,7 @@ A reference (group, key, time) is sound if a parent row of the same group and ke
 ``deleted``.
 
 Plan: a Bloom filter of the parents' keys, of a size with a fixed upper bound, is built by aggregation
-in the JVM and reaches the tasks as a scalar subquery. What it rejects is missing for certain and is
+in the JVM and broadcast. What it rejects is missing for certain and is
 never shuffled. The rest is verified by exact joins on the key: an anti join against the parents'
 validity merged into disjoint periods (at most one of which can hold a time, so a hot key multiplies
 nothing), then, for what is left, a join with the first begin of each key. Both joins use the same
@@ -23,7 +23,9 @@ are reserved (``ValueError``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,27 +37,36 @@ def filter_bits(keys: int, most: int = 1 << 26) -> int:
     return min(most, 1 << max(16, (10 * max(1, keys) - 1).bit_length()))
 
 
-def _positions(key: list[Column], bits: int) -> list[Column]:
-    """The bits of a key, by double hashing."""
-    one, two = (F.pmod(h, F.lit(bits)) for h in (F.xxhash64(*key), F.xxhash64(F.lit(7919), *key)))
-    return [F.pmod(one + F.lit(i).cast("bigint") * two, F.lit(bits)) for i in range(HASHES)]
+def _hashes(key: list[Column], bits: int) -> list[Column]:
+    """Two hashes of a key, from which double hashing makes its bits."""
+    return [F.pmod(h, F.lit(bits)).cast("bigint") for h in (F.xxhash64(*key), F.xxhash64(F.lit(7919), *key))]
 
 
-def bloom_words(parents: DataFrame, key: list[str], bits: int) -> DataFrame:
-    """One row with the filter as an array of 64-bit words. Each task sends at most ``bits / 64`` words."""
-    at = parents.select(F.explode(F.array(*_positions([F.col(k) for k in key], bits))).alias("p"))
-    found = at.select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
-    every = parents.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
-    words = found.groupBy("w").agg(F.bit_or("b").alias("b")).unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+def bloom_words(parents: DataFrame, key: list[str], bits: int) -> np.ndarray:
+    """The filter as 64-bit words, on the driver: ``bits / 8`` bytes, whatever the number of parents.
+    The words are made by aggregation in the JVM; each task sends at most ``bits / 64`` of them."""
+    one, two = _hashes([F.col(k) for k in key], bits)
+    at = parents.select(F.explode(F.array(*(F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)))).alias("p"))
+    found = at.select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return words
 
 
-def may_contain(words: Column, key: list[str], bits: int) -> Column:
-    """Whether the filter holds the key; False is certain."""
-    test = F.lit(True)
-    for p in _positions([F.col(k) for k in key], bits):
-        test = test & (F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
-    return test
+def may_contain(spark: SparkSession, words: np.ndarray, key: list[Column], bits: int) -> Column:
+    """Whether the filter holds the key; False is certain. Only the two hashes go to Python."""
+    shipped = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(one: pd.Series, two: pd.Series) -> pd.Series:
+        a, b, w = one.to_numpy(), two.to_numpy(), shipped.value
+        held = np.ones(len(a), bool)
+        for i in range(HASHES):
+            p = (a + i * b) & (bits - 1)
+            held &= (w[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(held)
+
+    return test(*_hashes(key, bits))
 
 
 def merged_periods(parents: DataFrame, key: list[str], begin: str, end: str) -> DataFrame:
@@ -82,11 +93,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time:
     parents = parents.select(*key, begin, end).dropna(subset=key)
     keys = parents.agg(F.approx_count_distinct(F.xxhash64(*key)).alias("n")).first()["n"]  # one number
     bits = filter_bits(keys, max_bits)
-    words = bloom_words(parents, key, bits).scalar()
-    known = F.coalesce(may_contain(words, key, bits), F.lit(False))
-    for k in key[:-1]:
-        known = known & F.col(k).isNotNull()
-    tested = refs.withColumn("_o_known", known)
+    words = bloom_words(parents, key, bits)
+    tested = refs.withColumn("_o_known", may_contain(refs.sparkSession, words, [F.col(k) for k in key], bits))
+    for k in key[:-1]:  # the hash skips nulls
+        tested = tested.withColumn("_o_known", F.col("_o_known") & F.col(k).isNotNull())
     definite = tested.where(~F.col("_o_known")).drop("_o_known").withColumn("reason", F.lit("missing"))
     periods, right = merged_periods(parents, key, begin, end), [F.col(f"p.{k}") for k in key]
     verify = tested.where("_o_known").drop("_o_known").alias("r")
