@@ -1,4 +1,4 @@
-"""Queries of the text problems: token ids (p6)."""
+"""Queries of the text problems: token ids (p6), leaked test items (p7), sentences (p8)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import encode_column
 from gridloom.llm.eval_leaks import leaks, matches, without_leaks
+from gridloom.llm.sentences import sentence_units
 from gridloom.session import stage, table
 
 #: Where the published vocabularies lie.
@@ -44,5 +45,9 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return matches(*_pair(spark, sf)).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"))
 
 
-QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p7_matches, p7_clean, p7_items)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p7_matches, p7_clean, p7_items, p8_found)}
 ORACLE: dict[str, str] = {}
