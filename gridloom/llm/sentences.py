@@ -123,6 +123,11 @@ def shape(word: str) -> str:
     return DIGITS.sub("0", word.lower())
 
 
+def opening(word: str) -> str:
+    """The shape of a word that may open a sentence, with or without a period of its own."""
+    return shape(word.rstrip("."))
+
+
 def kind_of(word: str) -> str:
     """n number, l small letter, u capital, o other: of the first letter or digit."""
     for c in word:
@@ -214,11 +219,11 @@ def ends(mark: Mark, begun: int, lang: str, model: Model) -> bool:
     """Whether the sentence that begins at ``begun`` ends here."""
     if not mark.following:
         return True
-    kind, first = kind_of(mark.following), shape(mark.following)
+    kind, first = kind_of(mark.following), opening(mark.following)
     if mark.sort == "full":
         return True
     known = model.capitals if kind == "u" else model.starters
-    starter = first in known.get(lang, ()) or first in known.get("*", ())
+    starter = (first in known.get(lang, ()) or first in known.get("*", ())) and not set("xnl") & set(_flags(model, lang, first))
     if mark.sort in ("quote", "bracket"):
         if mark.sort == "bracket" and mark.opened == begun:
             return True
@@ -287,9 +292,9 @@ FIGURES = ("bare", "dotted", "final", "number", "small", "begins", "begins_small
 
 
 def _begins(lang: str, word: str, into: Counter) -> None:
-    into[lang, shape(word), "begins"] += 1
+    into[lang, opening(word), "begins"] += 1
     # for those not written with a capital, case does not tell that they begin a sentence
-    into[lang, shape(word), "begins_small" if kind_of(word) in "lo" else "begins_capital"] += 1
+    into[lang, opening(word), "begins_small" if kind_of(word) in "lo" else "begins_capital"] += 1
 
 
 def count_words(lang: str, text: str, into: Counter) -> None:
@@ -303,7 +308,7 @@ def count_words(lang: str, text: str, into: Counter) -> None:
             if not w.endswith("."):
                 into[lang, shape(w), "bare"] += 1
             if kind_of(w) == "u":
-                into[lang, shape(w.rstrip(".")), "capital"] += 1
+                into[lang, opening(w), "capital"] += 1
         _begins(lang, words[0], into)
         for mark in marks(par):
             if mark.sort == "full" and mark.following and mark.blank:
@@ -317,7 +322,7 @@ def count_words(lang: str, text: str, into: Counter) -> None:
                     if kind in "nl":
                         into[lang, mark.word, "number" if kind == "n" else "small"] += 1
                     if mark.word == NUMBER:
-                        into[lang, shape(mark.following), "after_number"] += 1
+                        into[lang, opening(mark.following), "after_number"] += 1
 
 
 def word_figures(docs: DataFrame, text: str, lang: str, flush: int = 500_000) -> DataFrame:
