@@ -26,7 +26,7 @@ Without a blank after it, a period ends a sentence only between a small letter o
 a blank after a Thai letter (or a number set to it) and before a Thai letter ends the sentence.
 
 Statistics are counted in one pass over whole texts: each task adds up its words, the sums are shuffled by
-word, ratios are computed in the JVM, and only the words that pass them (``max_words`` at most, counted first)
+word and written to the shared folder, ratios are computed in the JVM, and only the words that pass them (``max_words`` at most, counted first)
 are broadcast for the second pass, which cuts the texts where they are read.
 
 Defined results: null, empty and blank texts have no unit; a byte-order mark before the text belongs to none;
@@ -47,7 +47,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STOPS = ".．｡。"  # the first two are periods
+from gridloom.session import stage, unstage
+
 PERIOD, FULL = ".．", "!?！？。｡؟۔।॥‼⁇⁈⁉።။។"
 MARKS = re.compile(f"[{re.escape(PERIOD + FULL)}…⋯]+")
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "‹": "›", "„": "“”", "“": "”", "‚": "‘’", "‘": "’", '"': '"', "'": "'"}
@@ -69,7 +70,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, whether it is a unit of its own) of each heading, list item, log line and paragraph."""
     start = end = -1
     listing = first = True
-    at = 1 if text.startswith("﻿") else 0
+    at = 1 if text.startswith("\ufeff") else 0
     while at < len(text):
         m = LINE.match(text, at)
         line = m.group(1)
@@ -373,7 +374,7 @@ def _frequent(own: DataFrame, each: int = 200, languages: int = 200) -> dict[str
 
 def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words: int = 2_000_000) -> Model:
     """The statistics of a corpus. ``evidence``: occurrences with period from which a language judges by itself."""
-    own = word_figures(docs, text, lang)
+    own = stage(word_figures(docs, text, lang), "words")
     figures = own.unionByName(own.groupBy("word").agg(*(F.sum(f).alias(f) for f in FIGURES)).withColumn("lang", F.lit("*")))
     totals = figures.groupBy("lang").agg(*(F.sum(f).cast("double").alias(f"all_{f}") for f in FIGURES))
     f = figures.join(F.broadcast(totals), "lang")  # a row a language
@@ -407,9 +408,11 @@ def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words:
     odd = told.where("lang = '*' and flags rlike '[xnl]'").select("word").distinct()
     told = told.where("flags rlike '[xnl]' or starter or ordinal or capital").unionByName(told.where("flags = '-' and not starter and not ordinal and not capital").join(odd, "word", "left_semi").select(told.columns))
     got = told.limit(max_words + 1).toArrow()
+    frequent = _frequent(own)
+    unstage(own)
     if got.num_rows > max_words:
         raise ValueError(f"more than {max_words} words to broadcast; raise max_words if the executors' memory allows")
-    model = Model({}, {}, {}, {}, _frequent(own))
+    model = Model({}, {}, {}, {}, frequent)
     for code, word, flag, begins, ordinal_, capital_ in zip(*(got.column(i).to_pylist() for i in range(6)), strict=True):
         if flag:
             model.flags.setdefault(code, {})[word] = flag
