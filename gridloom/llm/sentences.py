@@ -40,6 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -116,6 +117,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     return outer
 
 
+@lru_cache(maxsize=300_000)
 def shape(word: str) -> str:
     """A word as the statistics count it: without quotes and commas, in small letters, digits alike."""
     word = word.strip(TRIM)
@@ -124,11 +126,13 @@ def shape(word: str) -> str:
     return DIGITS.sub("0", word.lower())
 
 
+@lru_cache(maxsize=300_000)
 def opening(word: str) -> str:
     """The shape of a word that may open a sentence, with or without a period of its own."""
     return shape(word.rstrip("."))
 
 
+@lru_cache(maxsize=300_000)
 def kind_of(word: str) -> str:
     """n number, l small letter, u capital, o other: of the first letter or digit."""
     for c in word:
