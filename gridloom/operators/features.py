@@ -17,7 +17,7 @@ from gridloom.operators.mesh import solve_designs
 from gridloom.operators.ranking import average_rank
 from gridloom.operators.raster import block_reduce, coverage, covered_tiles, densities, edge_distance, full_grid, with_tiles
 from gridloom.operators.shares import concentration, domain_concentration, instance_currents, power_fraction
-from gridloom.operators.spatial import euclidean, gaussian_blur, nearest_distance
+from gridloom.operators.spatial import distance_transform, gaussian_blurs
 from gridloom.sources.schema import COARSE, FEATURES, FINE, IDENTITY
 
 
@@ -68,9 +68,10 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
     strap = block_reduce(straps, ["design"], "density", r).select(*tile, F.col("v_mean").alias("grid_strap_mean"), F.col("v_min").alias("grid_strap_min"))
     points = with_tiles(b.bumps.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), fine, "py", "px").select("design", "py", "px").distinct()
     none = float((2 * fine * fine) ** 0.5)
-    to_bump = block_reduce(nearest_distance(fine_cells, points, ["design"], euclidean("fy", "fx"), none, "d"), ["design"], "d", r).select(*tile, F.col("v_min").alias("grid_dbump_min"), F.col("v_max").alias("grid_dbump_max"))
+    every = b.params.select("design", F.lit(None).cast("int").alias("py"), F.lit(None).cast("int").alias("px"))
+    to_bump = block_reduce(distance_transform(points.unionByName(every), ["design"], fine, none), ["design"], "d", r).select(*tile, F.col("v_min").alias("grid_dbump_min"), F.col("v_max").alias("grid_dbump_max"))
     held = covered_tiles(b.macros.join(die, "design"), F.col("die_w_um"), F.col("die_h_um"), fine).select("design", F.col("ty").alias("py"), F.col("tx").alias("px")).distinct()
-    to_macro = block_reduce(nearest_distance(fine_cells, held, ["design"], euclidean("fy", "fx"), none, "d"), ["design"], "d", r).select(*tile, F.col("v_min").alias("top_dmacro"))
+    to_macro = block_reduce(distance_transform(held.unionByName(every), ["design"], fine, none), ["design"], "d", r).select(*tile, F.col("v_min").alias("top_dmacro"))
     macro = coverage(b.macros.join(die, "design"), ["design"], F.col("die_w_um"), F.col("die_h_um"), coarse).select(*tile, F.col("covered").alias("top_macro_frac"))
 
     # cells
@@ -89,14 +90,12 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
     weak = solved.where("scenario = '__weak__'").select(*tile, F.col("drop_v").alias("grid_weak"))
     phys = solved.where("scenario <> '__weak__'").select(*key, F.col("drop_v").alias("phys_base_v"))
     group = ["design", "scenario"]
-    blur = lambda df, value, s, name: gaussian_blur(df.select(*key, value), group, value, s, coarse).select(*key, F.col(value).alias(name))
     sw = domain_concentration(scenario_domains(units, b.activity), key, "clock_domain", "current_a").withColumnsRenamed({"hhi": "sw_hhi", "topshare": "sw_topshare"})
 
     out = average_rank(phys, group, "phys_base_v", "phys_base_rank", relative=True)
-    out = out.join(blur(phys, "phys_base_v", 1.0, "phys_base_s1"), key).join(blur(phys, "phys_base_v", 2.0, "phys_base_s2"), key)
+    out = out.join(gaussian_blurs(phys, group, "phys_base_v", {"phys_base_s1": 1.0, "phys_base_s2": 2.0}, coarse), key)
     out = out.join(cur.select(*key, F.col("current_a").alias("cur_sum")), key)
-    for s, name in ((1.0, "cur_s1"), (2.0, "cur_s2"), (4.0, "cur_s4")):
-        out = out.join(blur(cur, "current_a", s, name), key)
+    out = out.join(gaussian_blurs(cur, group, "current_a", {"cur_s1": 1.0, "cur_s2": 2.0, "cur_s4": 4.0}, coarse), key)
     out = out.join(peak, key, "left").join(conc, key, "left").join(sw, key, "left")
     for part in (weak, strap, bumps, to_bump, to_macro, macro, dens):
         out = out.join(part, tile, "left")

@@ -9,7 +9,7 @@ per grid row, off-diagonal blocks are diagonal.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,28 +78,30 @@ def solve_designs(cells: DataFrame, currents: DataFrame, n: int, keys: list[str]
     scenario, ty, tx, current_a. Result: keys, scenario, ty, tx, drop_v. With ``weak`` a scenario ``__weak__``
     spreads one ampere evenly. Designs without any supply have no rows."""
     kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "scenario", "ty", "tx", "drop_v"]
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        col = lambda t, c: t.column(c).to_numpy()
         straps, supply = np.zeros((n, n)), np.zeros((n, n))
-        straps[a.ty, a.tx], supply[a.ty, a.tx] = a.strap, a.supply
-        columns = [*keys, "scenario", "ty", "tx", "drop_v"]
-        if not (supply > 0).any():
-            return pd.DataFrame({c: [] for c in columns})
-        names = sorted(b.scenario.dropna().unique())
-        rhs = np.zeros((n, n, len(names) + weak))
-        at = {s: i for i, s in enumerate(names)}
-        np.add.at(rhs, (b.ty, b.tx, b.scenario.map(at)), b.current_a)
+        at = col(a, "ty"), col(a, "tx")
+        straps[at], supply[at] = col(a, "strap"), col(a, "supply")
+        scenarios = sorted({s for s in b.column("scenario").to_pylist() if s is not None})
+        place = {s: i for i, s in enumerate(scenarios)}
+        rhs = np.zeros((n, n, len(scenarios) + weak))
+        if scenarios:
+            np.add.at(rhs, (col(b, "ty"), col(b, "tx"), np.array([place[s] for s in b.column("scenario").to_pylist()])), col(b, "current_a"))
         if weak:
             rhs[:, :, -1] = 1.0 / (n * n)
-            names = [*names, "__weak__"]
-        u = Mesh.of_straps(np.maximum(straps, 1e-9), float(a.sheet.iloc[0]), supply).solve(rhs)
-        ty, tx, s = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), np.arange(len(names)), indexing="ij"))
-        out = pd.DataFrame({"scenario": np.array(names, object)[s], "ty": ty, "tx": tx, "drop_v": u.ravel()})
-        for k, v in zip(keys, key, strict=True):
-            out[k] = v
-        return out[columns]
+            scenarios.append("__weak__")
+        solvable = bool((supply > 0).any()) and bool(scenarios)
+        u = Mesh.of_straps(np.maximum(straps, 1e-9), float(col(a, "sheet")[0]), supply).solve(rhs) if solvable else np.zeros((0, 0, 0))
+        ty, tx, s = (x.ravel().astype(np.int32) for x in np.meshgrid(*(np.arange(k) for k in u.shape), indexing="ij"))
+        fixed = [pa.array([k.as_py()] * len(s)).cast(k.type) for k in key]
+        return pa.table([*fixed, pa.array([scenarios[i] for i in s], pa.string()), pa.array(ty), pa.array(tx), pa.array(u.ravel())], names=names)
 
-    return cells.groupBy(*keys).cogroup(currents.groupBy(*keys)).applyInPandas(run, f"{kinds}, scenario string, ty int, tx int, drop_v double")
+    driven = currents.select(*(F.col(k).alias(k) for k in keys), "scenario", "ty", "tx", F.col("current_a").cast("double").alias("current_a")).dropna(subset=["scenario", "current_a"])
+    grid = cells.select(*keys, "ty", "tx", *(F.col(c).cast("double").alias(c) for c in ("strap", "sheet", "supply")))
+    return grid.groupBy(*keys).cogroup(driven.groupBy(*keys)).applyInArrow(run, f"{kinds}, scenario string, ty int, tx int, drop_v double")
 
 
 def influence(cells: DataFrame, n: int, keys: list[str] = ["design"]) -> DataFrame:  # noqa: B006
@@ -125,7 +127,8 @@ def residuals(solved: DataFrame, cells: DataFrame, currents: DataFrame, edges: D
     flow = far.join(side("ay", "ax", "ua"), [*keys, "ay", "ax"]).join(side("by", "bx", "ub"), [*keys, "scenario", "by", "bx"]).withColumn("f", F.col("g") * (F.col("ua") - F.col("ub")))
     ends = flow.select(*keys, "scenario", F.explode(F.array(F.struct(F.col("ay").alias("ty"), F.col("ax").alias("tx"), F.col("f").alias("f")), F.struct(F.col("by").alias("ty"), F.col("bx").alias("tx"), (-F.col("f")).alias("f")))).alias("e")).select(*keys, "scenario", "e.*")
     own = u.join(cells.select(*keys, "ty", "tx", "supply"), [*keys, "ty", "tx"]).select(*keys, "scenario", "ty", "tx", (F.col("supply") * F.col("drop_v")).alias("f"))
-    given = currents.select(*keys, "scenario", "ty", "tx", (-F.col("current_a")).alias("f"))
+    solvable = cells.where("supply > 0").select(*(F.col(k).alias(k) for k in keys)).distinct()
+    given = currents.join(solvable, keys, "left_semi").select(*keys, "scenario", "ty", "tx", (-F.col("current_a")).alias("f"))
     total = ends.select(own.columns).unionByName(own).unionByName(given.select(own.columns)).groupBy(*keys, "scenario", "ty", "tx").agg(F.sum("f").alias("r"))
     return total.groupBy(*keys, "scenario").agg(F.max(F.abs("r")).alias("residual"))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -17,24 +20,58 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _reflected(at: Column, n: int) -> Column:
-    """Index of a place beyond the edge, mirrored at the edge itself (d c b a | a b c d | d c b a)."""
-    m = F.pmod(at, F.lit(2 * n))
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
+def blur_matrix(sigma: float, n: int) -> np.ndarray:
+    """The blur of a line of n cells as a matrix; places beyond the edge are mirrored (d c b a | a b c d | d c b a)."""
+    weights = gaussian_weights(sigma)
+    r, m = len(weights) // 2, np.zeros((n, n))
+    for d, w in zip(range(-r, r + 1), weights, strict=True):
+        at = (np.arange(n) + d) % (2 * n)
+        np.add.at(m, (np.arange(n), np.where(at < n, at, 2 * n - 1 - at)), w)
+    return m
+
+
+def gaussian_blurs(df: DataFrame, keys: list[str], value: str, sigmas: dict[str, float], n: int, ty: str = "ty", tx: str = "tx") -> DataFrame:
+    """Blurred maps of a full n by n grid, a column for each of ``sigmas``. The n * n values of a map are gathered
+    into one array (its size is the grid's, whatever the data); batches of maps are blurred by two matrix products."""
+    matrices = {name: blur_matrix(s, n) for name, s in sigmas.items()}
+    maps = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col(ty) * n + F.col(tx)).alias("p"), F.col(value).alias("v")))).alias("_m")).select(*keys, F.transform("_m", lambda x: x["v"]).alias("_v"))
+    schema = T.StructType([*(maps.schema[k] for k in keys), *(T.StructField(name, T.ArrayType(T.DoubleType())) for name in sigmas)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grids = batch.column(len(keys)).flatten().to_numpy().reshape(-1, n, n)
+            ends = pa.array(np.arange(len(grids) + 1, dtype=np.int32) * (n * n))
+            made = [pa.ListArray.from_arrays(ends, pa.array((m @ grids @ m.T).ravel())) for m in matrices.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=schema.names)
+
+    out = maps.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip(*sigmas)).alias("_p", "_z"))
+    return out.select(*keys, F.expr(f"cast(_p div {n} as int)").alias(ty), (F.col("_p") % n).alias(tx), *(F.col("_z")[name].alias(name) for name in sigmas))
 
 
 def gaussian_blur(df: DataFrame, keys: list[str], value: str, sigma: float, n: int, ty: str = "ty", tx: str = "tx") -> DataFrame:
-    """Blurred map of a full n by n grid. For each axis the n values of a line are gathered into one array (its
-    size is the grid's), and every target sums its window within that row: rows are never multiplied."""
-    weights = gaussian_weights(sigma)
-    r = len(weights) // 2
-    table = F.array(*map(F.lit, weights))
-    for axis, other in ((ty, tx), (tx, ty)):
-        lines = df.groupBy(*keys, other).agg(F.array_sort(F.collect_list(F.struct(axis, value))).alias("_l")).withColumn("_v", F.transform("_l", lambda x: x[value]))
-        window = F.sequence(F.lit(-r), F.lit(r))
-        blurred = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.aggregate(window, F.lit(0.0), lambda acc, d: acc + F.element_at(table, d + (r + 1)) * F.element_at("_v", _reflected(t + d, n) + 1)))  # noqa: B023
-        df = lines.select(*keys, other, F.posexplode(blurred).alias(axis, value))
-    return df.select(*keys, ty, tx, value)
+    return gaussian_blurs(df, keys, value, {value: sigma}, n, ty, tx)
+
+
+def distance_transform(points: DataFrame, keys: list[str], n: int, none: float, ty: str = "fy", tx: str = "fx", name: str = "d") -> DataFrame:
+    """Euclidean distance of every cell of an n by n grid to the nearest of the points (``py, px``; rows of null
+    place only name a key). A group is at most one grid; the transform is exact and separable: distances along
+    columns, then the least over each row."""
+    schema = T.StructType([*(points.schema[k] for k in keys), T.StructField(ty, T.IntegerType()), T.StructField(tx, T.IntegerType()), T.StructField(name, T.DoubleType())])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        held = rows.drop_null()
+        at = np.full((n, n), np.inf)
+        at[held.column("py").to_numpy(), held.column("px").to_numpy()] = 0.0
+        for i in range(1, n):
+            at[i] = np.minimum(at[i], at[i - 1] + 1)
+        for i in range(n - 2, -1, -1):
+            at[i] = np.minimum(at[i], at[i + 1] + 1)
+        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
+        d = np.sqrt((at[:, None, :] ** 2 + gap[None]).min(axis=2)) if len(held) else np.full((n, n), none)
+        y, x = np.divmod(np.arange(n * n, dtype=np.int32), n)
+        return pa.table([*(pa.array([k.as_py()] * (n * n)).cast(k.type) for k in key), pa.array(y), pa.array(x), pa.array(d.ravel())], names=schema.names)
+
+    return points.select(*keys, F.col("py").cast("int").alias("py"), F.col("px").cast("int").alias("px")).distinct().groupBy(*keys).applyInArrow(run, schema)
 
 
 def nearest_distance(cells: DataFrame, points: DataFrame, keys: list[str], metric: Callable[[Column], Column], none: Column | float, name: str = "distance") -> DataFrame:
