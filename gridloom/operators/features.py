@@ -18,6 +18,7 @@ from gridloom.operators.ranking import average_rank
 from gridloom.operators.raster import block_reduce, coverage, covered_tiles, densities, edge_distance, full_grid, with_tiles
 from gridloom.operators.shares import concentration, domain_concentration, instance_currents, power_fraction
 from gridloom.operators.spatial import distance_transform, gaussian_blurs
+from gridloom.session import stage
 from gridloom.sources.schema import COARSE, FEATURES, FINE, IDENTITY
 
 
@@ -80,13 +81,13 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
     dens = densities(area, [*tile, "_ta"], F.col("_ta")).select(*tile, F.col("util").alias("top_util"), F.col("cells").cast("double").alias("top_cells"), F.col("capden").alias("top_capden"), F.col("clkden").alias("top_clkden"), F.col("seqden").alias("top_seqden"))
 
     # currents and the solved mesh
-    units = unit_raster(b, coarse, "ty", "tx")
+    units = stage(unit_raster(b, coarse, "ty", "tx"), "units")  # read by currents and by domain shares
     cur = grid.join(scenario_currents(units, b.activity, "ty", "tx"), key, "left").fillna(0.0, ["current_a"])
     fine_cur = scenario_currents(unit_raster(b, fine, "fy", "fx"), b.activity, "fy", "fx").withColumn("ty", F.expr(f"cast(fy div {r} as int)")).withColumn("tx", F.expr(f"cast(fx div {r} as int)"))
     conc = concentration(fine_cur, key, "current_a", r * r, 4)
     peak = fine_cur.groupBy(*key).agg(F.max("current_a").alias("cur_max_fine"))
     cells = tiles.join(strap, tile).join(bumps, tile, "left").join(b.params.select("design", "sheet", "bump"), "design").select(*tile, F.col("grid_strap_mean").alias("strap"), "sheet", (F.coalesce("grid_bumps", F.lit(0.0)) * F.col("bump")).alias("supply"))
-    solved = solve_designs(cells, cur, coarse, weak=True)
+    solved = stage(solve_designs(cells, cur, coarse, weak=True), "drops")  # read twice; factorised once
     weak = solved.where("scenario = '__weak__'").select(*tile, F.col("drop_v").alias("grid_weak"))
     phys = solved.where("scenario <> '__weak__'").select(*key, F.col("drop_v").alias("phys_base_v"))
     group = ["design", "scenario"]

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.operators.mesh import Mesh
 from gridloom.sources.schema import BUDGET_V, BUNDLE, COARSE, FINE, SCENARIOS, VDD_V
@@ -67,6 +70,7 @@ def layout(seed: int, cells: tuple[float, float] = (2.5e4, 7e5)) -> dict[str, pd
     area = n * CELL_UM2 / util
     w, h = round(float(np.sqrt(area * aspect)), 3), round(float(np.sqrt(area / aspect)), 3)
     pitch, width, space = rng.choice([150.0, 200.0, 300.0]), rng.choice(WIDTHS), rng.choice(PITCHES)
+    pitch = round(float(min(pitch, w / 3, h / 3)), 3)  # small dies have bumps, too
     m = rng.randint(6, 11)
     names = [f"{CLASSES[i % 6]}_{i}" for i in range(m)]
     rects = slices(rng, w, h, m)
@@ -140,8 +144,8 @@ def truth(seed: int, t: dict[str, pd.DataFrame], k_sheet: float) -> pd.DataFrame
     return pd.DataFrame({"scenario": np.array(list(SCENARIOS))[j], "fy": fy, "fx": fx, "drop_v": u.ravel().round(8)})
 
 
-def _ddl(table: str) -> str:
-    return "design_id string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in BUNDLE[table] if f.name != "design_id")
+def _struct(table: str) -> T.StructType:
+    return T.StructType([T.StructField("design_id", T.StringType()), *(f for f in BUNDLE[table] if f.name != "design_id")])
 
 
 def corpus(spark: SparkSession, seeds: list[int], cells: tuple[float, float] = (2.5e4, 7e5)) -> dict[str, DataFrame]:
@@ -150,15 +154,17 @@ def corpus(spark: SparkSession, seeds: list[int], cells: tuple[float, float] = (
     ids = spark.createDataFrame([(int(s),) for s in seeds], "seed int").repartition(max(1, len(seeds)), "seed")
 
     def table(name: str, k: float = 1.0) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        schema = to_arrow_schema(_struct(name))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for seed in batch.seed:
-                    t = layout(int(seed), cells)
-                    df = truth(int(seed), t, k) if name == "irmap" else t[name]
-                    df = df.assign(design_id=f"syn_{seed:03d}")
-                    yield df[["design_id", *(f.name for f in BUNDLE[name] if f.name != "design_id")]]
+                for seed in batch.column(0).to_pylist():
+                    t = layout(seed, cells)
+                    df = truth(seed, t, k) if name == "irmap" else t[name]
+                    columns = [pa.array([f"syn_{seed:03d}"] * len(df)) if f.name == "design_id" else pa.array(df[f.name].to_numpy(), from_pandas=True) for f in schema]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        return ids.mapInPandas(run, _ddl(name))
+        return ids.mapInArrow(run, _struct(name))
 
     peak = table("irmap").groupBy("design_id").agg(F.max("drop_v").alias("peak"))
     scale = peak.select(F.percentile(F.col("peak") / F.lit(BUDGET_V * 0.9), 0.5).alias("k")).first()["k"]  # one number

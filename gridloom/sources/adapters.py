@@ -6,7 +6,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.functions.text import first_number
 
@@ -44,7 +43,7 @@ def matrix_figures(df: DataFrame, keys: list[str], value: str = "value", scale:
 
 
 _BOX = "struct<name:string,master:string,x0:double,y0:double,x1:double,y1:double>"
-GEOMETRY = T.StructType.fromDDL(f"die_um array<double>, dbu int, insts array<{_BOX}>, macros array<{_BOX}>, straps array<{_BOX}>, pads array<struct<name:string,x:double,y:double>>")
+GEOMETRY = f"die_um array<double>, dbu int, insts array<{_BOX}>, macros array<{_BOX}>, straps array<{_BOX}>, pads array<struct<name:string,x:double,y:double>>"
 
 
 def geometry(spark: SparkSession, path: str | list[str]) -> DataFrame:
