@@ -160,7 +160,7 @@ def _bits(count: Column, bits: int | None) -> Column:
     if bits is None:
         return count
     scale = F.greatest(F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int") - F.lit(bits - 1), F.lit(0))
-    return F.shiftleft(F.expr("0L") + F.shiftright(count.cast("bigint"), scale), scale)
+    return F.call_function("shiftleft", F.call_function("shiftright", count.cast("bigint"), scale), scale)
 
 
 def split_components(sizes: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 0, max_bundles: int = 2_000) -> DataFrame:
@@ -171,8 +171,9 @@ def split_components(sizes: DataFrame, splits: dict[str, float] = SPLITS, seed:
         profile = [_bits(F.col(c), bits) for c in counts] if bits != 0 else [_bits(F.col("n_over") + F.col("n_within") + F.col("n_unlabelled"), 1), F.lit(0), F.lit(0)]
         marked = sizes.select("component", *(p.cast("bigint").alias(f"p{i}") for i, p in enumerate(profile)), *counts)
         grouped = marked.groupBy("p0", "p1", "p2").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in counts))
-        got = grouped.orderBy("p0", "p1", "p2").limit(max_bundles + 1).collect()  # bounded
-        if len(got) <= max_bundles:
+        most = max(max_bundles, 64)  # one binary digit of the size leaves no more than 64
+        got = grouped.orderBy("p0", "p1", "p2").limit(most + 1).collect()  # bounded
+        if len(got) <= most:
             break
     bundles = []
     for r in got:

@@ -15,7 +15,7 @@ paragraph, whose line breaks are blanks. Within a paragraph each cluster of end
     an abbreviation that never does so ends nothing but before a starter; one that does, or any other word, ends the sentence unless
     a number or small letter follows and the ratio says that the word is wont to be followed so;
   - *collocations* of a number with period and the next word (ordinals, dates), against that word's rate at the
-    start of sentences;
+    start of paragraphs and after words with period;
   - *sentence starters*: words whose rate at certain starts (of paragraphs, after ``!`` and ``?``) is beyond
     their general rate. They tell whether a sentence is over where case says nothing.
 
@@ -293,7 +293,7 @@ def language(col: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col(col) if isinstance(col, str) else col), "^[a-z]+", 0), F.lit("?"))
 
 
-FIGURES = ("bare", "dotted", "final", "number", "small", "begins", "begins_small", "begins_capital", "capital", "after_number")
+FIGURES = ("bare", "dotted", "final", "number", "small", "begins", "begins_small", "begins_capital", "capital", "after_number", "after_word")
 
 
 def _begins(lang: str, word: str, into: Counter) -> None:
@@ -326,8 +326,7 @@ def count_words(lang: str, text: str, into: Counter) -> None:
                     kind = kind_of(mark.following)
                     if kind in "nl":
                         into[lang, mark.word, "number" if kind == "n" else "small"] += 1
-                    if mark.word == NUMBER:
-                        into[lang, opening(mark.following), "after_number"] += 1
+                    into[lang, opening(mark.following), "after_number" if mark.word == NUMBER else "after_word"] += 1
 
 
 def word_figures(docs: DataFrame, text: str, lang: str, flush: int = 500_000) -> DataFrame:
@@ -404,7 +403,7 @@ def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words:
     capital_rate = c("all_begins_capital") / F.greatest(c("all_capital"), F.lit(1.0))
     capital = (c("begins_capital") >= 5) & (c("begins_capital") / F.greatest(c("capital"), F.lit(1)) > 0.7 * capital_rate)
     among = F.greatest(c("all_after_number"), F.lit(1.0))
-    start_share = (c("begins") + 0.5) / F.greatest(c("all_begins"), F.lit(1.0))
+    start_share = (c("begins") + c("after_word") + 0.5) / F.greatest(c("all_begins") + c("all_after_word"), F.lit(1.0))
     ordinal = (c("after_number") >= F.when(c("lang") == "*", 2).otherwise(evidence)) & (c("after_number") / among > 5 * start_share) & (_ratio(c("after_number").cast("double"), among, start_share) >= 7.88)
     starter, capital = starter & ~abbreviation, capital & ~abbreviation
     told = f.select("lang", "word", flags.alias("flags"), starter.alias("starter"), ordinal.alias("ordinal"), capital.alias("capital")).where("flags rlike '[xnl]' or starter or ordinal or capital or (flags = '-' and lang <> '*')")
