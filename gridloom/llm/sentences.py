@@ -43,6 +43,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -257,23 +258,33 @@ def spoken(par: str, lang: str, model: Model) -> str:
     return best if votes[best] > 2 * votes.get(lang, 0) else lang
 
 
-def units(text: str | None, lang: str, model: Model) -> list[tuple[int, int]]:
-    """(start, end) of each unit of a text."""
+def singular(model: Model) -> frozenset[str]:
+    """The words after which, or numbers before which, languages may judge a period differently: for all others the
+    language need not be found."""
+    return frozenset(w for flags in model.flags.values() for w, f in flags.items() if f.strip("-")) | frozenset(w for words in model.ordinals.values() for w in words)
+
+
+def units(text: str | None, lang: str, model: Model, special: frozenset[str] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each unit of a text. ``special``: :func:`singular` of the model, if it is at hand."""
     out: list[tuple[int, int]] = []
-    tagged = lang
+    special = singular(model) if special is None else special
     for start, end, alone in blocks(text or ""):
         if alone:
             out.append((start, end))
             continue
         par = text[start:end]
-        lang = spoken(par, tagged, model)
+        own = ""
         cuts, begun = [], 0
         thai = [m.end(1) for m in THAI.finditer(par)] if not par.isascii() else []
         held = spans(par) if thai else []
         cuts += [c for c in thai if not any(a < c < b for a, b in held)]
         for mark in marks(par):
-            near = spoken(par[max(0, mark.end - 80) : mark.end + 60], lang, model) if mark.sort == "period" and mark.following else lang
-            if ends(mark, begun, near, model):
+            over = mark.sort == "full" or not mark.following or mark.sort == "period" and (opening(mark.following) if mark.word == NUMBER else mark.word) not in special
+            if not over:
+                own = own or spoken(par, lang, model)
+                near = spoken(par[max(0, mark.end - 80) : mark.end + 60], own, model) if mark.sort == "period" else own
+                over = ends(mark, begun, near, model)
+            if over:
                 cuts.append(mark.end)
                 begun = mark.end
                 while begun < len(par) and par[begun].isspace():
@@ -435,13 +446,19 @@ def sentence_units(docs: DataFrame, key: str, text: str, lang: str, model: Model
     model = model or learn(docs, text, lang)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, _units array<struct<sent_start:int,sent_end:int>>"
-    pair = pa.list_(pa.struct([("sent_start", pa.int32()), ("sent_end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
+        special = singular(known)
         for b in batches:
-            cut = [[{"sent_start": s, "sent_end": e} for s, e in units(t, code, known)] for code, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pair)], names=[key, "_units"])
+            flat: list[tuple[int, int]] = []
+            offsets = [0]
+            for code, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                flat += units(t, code, known, special)
+                offsets.append(len(flat))
+            places = np.array(flat, np.int32).reshape(-1, 2)
+            made = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1])], names=["sent_start", "sent_end"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)], names=[key, "_units"])
 
     rows = docs.where(F.col(text).isNotNull()).select(key, language(lang), F.col(text)).mapInArrow(run, schema)
     return rows.select(key, F.explode("_units").alias("_u")).select(key, "_u.sent_start", "_u.sent_end")
