@@ -10,7 +10,7 @@ in the JVM and broadcast. What it rejects is missing for certain and is
 never shuffled. The rest is verified by exact joins on the key: an anti join against the parents'
 validity merged into disjoint periods (at most one of which can hold a time, so a hot key multiplies
 nothing), then, for what is left, a join with the first begin of each key. Both joins use the same
-partitioning. Parents are reduced to distinct periods before their shuffle; a hot key among the
+partitioning. Parents are reduced to one row per key and begin before their shuffle; a hot key among the
 references is split by adaptive skew handling.
 
 Defined results: a null key refers to nothing (no row); a null group matches no parent (``missing``);
@@ -71,9 +71,10 @@ def may_contain(spark: SparkSession, words: np.ndarray, key: list[Column], bits:
 
 def merged_periods(parents: DataFrame, key: list[str], begin: str, end: str) -> DataFrame:
     """Disjoint periods of validity of each key, from rows that may overlap and repeat."""
-    rows = parents.select(*key, F.col(begin).alias("_o_from"), F.col(end).alias("_o_to")).where(f"_o_from is not null and (_o_to is null or _o_to > _o_from)").distinct()
+    rows = parents.select(*key, F.col(begin).alias("_o_from"), F.col(end).alias("_o_to")).where("_o_from is not null and (_o_to is null or _o_to > _o_from)")
     forever = F.lit("9999-12-31 23:59:59.999999").cast(parents.schema[begin].dataType)
-    rows = rows.withColumn("_o_to", F.coalesce("_o_to", forever))
+    # one row a begin, before anything is shuffled; only these are sorted by key
+    rows = rows.groupBy(*key, "_o_from").agg(F.max(F.coalesce("_o_to", forever)).alias("_o_to"))
     by = W.partitionBy(*key).orderBy("_o_from", "_o_to")
     before = F.max("_o_to").over(by.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_o_new", F.when(before >= F.col("_o_from"), 0).otherwise(1))

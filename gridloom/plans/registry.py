@@ -12,7 +12,7 @@ MODULES = (data_problems, grid_queries, model_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p5_found"](spark, sf_dir)
+    return queries()["q_raster_sum"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
