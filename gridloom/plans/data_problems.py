@@ -30,25 +30,31 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return path_values(spark, sf, ["row_id"])
 
 
+REF_TABLES = ("activity", "macros", "paths")
+MODULE, INSTANCE = 0, 1  # kinds of target
+
+
 def reference_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """All references of activity, macros and paths: ref_table, row_id, kind, design, ref_key, loaded_at."""
-    shape = lambda name, kind, key, df: df.select(F.lit(name).alias("ref_table"), "row_id", F.lit(kind).alias("kind"), clean_name("design_id").alias("design"), key.alias("ref_key"), "loaded_at")
+    """All references of activity, macros and paths: ref (place in REF_TABLES), row_id, kind, design, ref_key, loaded_at.
+    What is known of a table as a whole is a small number, since these rows are shuffled."""
+    shape = lambda name, kind, key, df: df.select(F.lit(REF_TABLES.index(name)).alias("ref"), "row_id", F.lit(kind).alias("kind"), clean_name("design_id").alias("design"), key.alias("ref_key"), "loaded_at")
     values = path_values(spark, sf, ["row_id", "design_id", "loaded_at"]).where(F.col("inst_value").rlike(r"^[0-9]+\z"))
-    plain = F.regexp_replace("inst_value", "^0+(?=[0-9])", "")
-    named = [shape(t, "module", clean_name("module"), table(spark, sf, t)) for t in ("activity", "macros")]
-    return named[0].unionByName(named[1]).unionByName(shape("paths", "instance", plain, values))
+    plain = F.when(F.startswith("inst_value", F.lit("0")), F.regexp_replace("inst_value", "^0+(?=[0-9])", "")).otherwise(F.col("inst_value"))
+    named = [shape(t, MODULE, clean_name("module"), table(spark, sf, t)) for t in ("activity", "macros")]
+    return named[0].unionByName(named[1]).unionByName(shape("paths", INSTANCE, plain, values))
 
 
 def parent_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All targets: kind, design, ref_key, valid_from, valid_to."""
     shape = lambda kind, key, df: df.select(F.lit(kind).alias("kind"), clean_name("design_id").alias("design"), key.alias("ref_key"), F.col("loaded_at").alias("valid_from"), F.col("deleted_at").alias("valid_to"))
-    return shape("module", clean_name("module"), table(spark, sf, "modules")).unionByName(shape("instance", F.col("inst_id").cast("string"), table(spark, sf, "instances")))
+    return shape(MODULE, clean_name("module"), table(spark, sf, "modules")).unionByName(shape(INSTANCE, F.col("inst_id").cast("string"), table(spark, sf, "instances")))
 
 
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     found = orphan_references(reference_rows(spark, sf), parent_rows(spark, sf), ["kind", "design", "ref_key"], "loaded_at", "valid_from", "valid_to")
     month = F.substring(F.col("loaded_at").cast("string"), 1, 7)
-    return found.select("ref_table", "row_id", "ref_key", month.alias("ref_month"), "reason").distinct()  # a path may name an instance twice
+    rows = found.select("ref", "row_id", "ref_key", month.alias("ref_month"), "reason").distinct()  # a path may name an instance twice
+    return rows.select(F.element_at(F.array(*map(F.lit, REF_TABLES)), F.col("ref") + 1).alias("ref_table"), "row_id", "ref_key", "ref_month", "reason")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
