@@ -96,3 +96,15 @@ def report(validation: DataFrame, path: str | None = None) -> str:
     if path:
         Path(path).write_text(text)
     return text
+
+
+def transfer(features: DataFrame, fitted: models.Variant, calibration: DataFrame, keys: list[str] = ["design"]) -> DataFrame:  # noqa: B006
+    """Measures of unseen designs in two passes: ``as_trained``, and ``recalibrated`` with the physics scaled to each
+    design's labels by least squares through the origin (a bound, since it uses the labels)."""
+    from gridloom.operators.fits import through_origin
+
+    k = features.where("label_v is not null").groupBy("design").agg(through_origin("phys_base_v", "label_v").alias("_k"))
+    scaled = ["phys_base_v", "phys_base_s1", "phys_base_s2", "grid_weak", "cur_x_weak", "cur_s2_x_weak", "conc_x_weak"]
+    moved = features.join(k, "design").where("_k > 0").withColumns({c: F.col(c) / F.col("_k") for c in scaled}).drop("_k")
+    passes = [measured(score(df, fitted, calibration).withColumn("pass_name", F.lit(name)), ["pass_name", *keys]) for name, df in (("as_trained", features), ("recalibrated", moved))]
+    return passes[0].unionByName(passes[1])

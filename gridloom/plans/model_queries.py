@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import guarded_corr, ratio
-from gridloom.operators import checks, conformal, fits, mesh, metrics, models, ranking, raster, resample, shares, splits
+from gridloom.operators import checks, conformal, fits, gates, mesh, metrics, models, ranking, raster, resample, shares, splits
 from gridloom.operators.features import Bundle, effective_slack, feature_table, rollup
 from gridloom.operators.governance import assert_no_leakage
 from gridloom.operators.spatial import mesh_edges
@@ -443,4 +443,9 @@ def q_effective_slack(v: Views) -> DataFrame:
     return effective_slack(paths.join(worst, "design")).select("row_id", "slack_eff_ns")
 
 
+@query("check ok", "value", "SELECT 'greatest drop' AS \"check\", max(drop_v) > 0 AND max(drop_v) <= 0.2 AS ok, max(drop_v) AS value FROM r UNION ALL SELECT 'share over budget', avg(CASE WHEN drop_v > 0.045 THEN 1.0 ELSE 0.0 END) > 0 AND avg(CASE WHEN drop_v > 0.045 THEN 1.0 ELSE 0.0 END) < 0.5, avg(CASE WHEN drop_v > 0.045 THEN 1.0 ELSE 0.0 END) FROM r UNION ALL SELECT 'uniform maps', count(*) FILTER (s <= 1e-4) = 0, count(*) FILTER (s <= 1e-4) FROM (SELECT coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(drop_v) END, 0) AS s FROM r GROUP BY design, scenario)")
+def q_gates(v: Views) -> DataFrame:
+    return gates.corpus_gates(v.r)
+
+
 QUERIES, ORACLE = query.queries, query.oracle

@@ -21,3 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+
+
+#: The data behind each figure: its query.
+FIGURE_DATA = {
+    "map of drops": "q_label_max",
+    "fine map against upsampled coarse map": "q_upsample_diff",
+    "histogram of drops": "q_histogram",
+    "ablation over runs": "q_validation_long",
+    "precision and recall": "q_pr_curve",
+    "crossover of F measures": "q_fbeta_crossover",
+    "coverage by design": "q_design_coverage",
+    "importance by feature group": "q_perm_importance",
+    "rank correlation by feature group": "q_feature_spearman",
+    "tiles over budget": "q_over_budget",
+    "power law": "q_loglog_ols",
+}

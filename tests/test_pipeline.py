@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import models, pipeline, resample, splits
+from gridloom.operators import gates, models, pipeline, resample, splits
 from gridloom.sources import bundles
 from gridloom.sources.schema import FEATURES
 
@@ -29,6 +29,10 @@ def test_runs_validation_and_report(spark, features, tmp_path):
     assert by["physics_only", 0].picp is None and 0.5 < by["hybrid", 0].picp <= 1
     table = pipeline.validation_table(got)
     text = pipeline.report(table, str(tmp_path / "r.md"))
+    assert {r.check: r.ok for r in gates.model_gates(table).collect()}["mae affine minus physics"]
+    moved = pipeline.transfer(features, models.fit_variant(features, "physics_affine"), features, [])
+    assert {r.pass_name for r in moved.collect()} == {"as_trained", "recalibrated"}
+    assert {r.check: r.ok for r in gates.feature_gates(features).collect()}["values not finite"]
     assert "n/a" in text and text.startswith("| variant | mae")
 
 
