@@ -53,16 +53,18 @@ def covered_tiles(rects: DataFrame, die_w: Column | float, die_h: Column | float
 
 
 def coverage(rects: DataFrame, keys: list[str], die_w: Column | float, die_h: Column | float, n: int, sub: int = 16, x0: str = "x0_um", y0: str = "y0_um", x1: str = "x1_um", y1: str = "y1_um") -> DataFrame:
-    """Share of each tile under the union of rectangles, on sub by sub cells a tile (overlaps count once).
+    """Share of each tile under the union of rectangles, on sub by sub (62 at most) cells a tile; overlaps count once.
     Edges are half open: floor of the lower, ceiling of the upper."""
     m = n * sub
     size = lambda s: s if isinstance(s, Column) else F.lit(float(s))
     low = lambda c, s: clip(F.floor(F.col(c) / (size(s) / m)).cast("int"), 0, m)
     high = lambda c, s: clip(F.ceil(F.col(c) / (size(s) / m)).cast("int"), 0, m)
     spans = rects.select(*keys, low(y0, die_h).alias("_a"), high(y1, die_h).alias("_b"), low(x0, die_w).alias("_c"), high(x1, die_w).alias("_d")).where("_b > _a and _d > _c")
-    rows = spans.withColumn("_y", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1))).withColumn("_x", F.explode(F.sequence(F.col("_c"), F.col("_d") - 1)))
-    cells = rows.select(*keys, "_y", "_x").distinct()
-    return cells.groupBy(*keys, F.expr(f"cast(_y div {sub} as int)").alias("ty"), F.expr(f"cast(_x div {sub} as int)").alias("tx")).agg((F.count("*") / float(sub * sub)).alias("covered"))
+    # a row of sub-cells within a tile is one number of ``sub`` bits, and a union is the bits' union
+    rows = spans.withColumn("_y", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1))).withColumn("tx", F.explode(F.expr(f"sequence(_c div {sub}, (_d - 1) div {sub})").cast("array<int>")))
+    bits = F.expr(f"shiftleft(1L, least(_d - tx * {sub}, {sub})) - shiftleft(1L, greatest(_c - tx * {sub}, 0))")
+    cells = rows.groupBy(*keys, "tx", "_y").agg(F.bit_count(F.bit_or(bits)).alias("_n"))
+    return cells.groupBy(*keys, F.expr(f"cast(_y div {sub} as int)").alias("ty"), "tx").agg((F.sum("_n") / float(sub * sub)).alias("covered"))
 
 
 def densities(points: DataFrame, keys: list[str], tile_area: Column | float) -> DataFrame:
