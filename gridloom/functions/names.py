@@ -10,8 +10,11 @@ WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000
 
 
 def trimmed(col: Column | str) -> Column:
-    """Text without white space of any kind at its ends; null stays null."""
-    return F.trim(F.col(col) if isinstance(col, str) else col, F.lit(WHITE))
+    """Text without white space of any kind at its ends; null stays null. The search for all kinds is slow, so that
+    it is made only where the first or last character is not printable ASCII."""
+    col = F.col(col) if isinstance(col, str) else col
+    plain = F.ascii(col).between(33, 126) & F.ascii(F.substring(col, -1, 1)).between(33, 126)
+    return F.when(plain, col).otherwise(F.trim(col, F.lit(WHITE)))
 
 
 def clean_name(col: Column | str) -> Column:
