@@ -48,7 +48,7 @@ def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
     keys = {"design_id": clean_name("design_id"), "scenario": clean_name("scenario")}
-    return top_per_group(table(spark, sf, "irmap"), keys, "drop_v", ["fy", "fx"], 5, 0.0, 0.2)
+    return top_per_group(table(spark, sf, "irmap"), keys, "drop_v", ["fy", "fx"], 5, 0.0, 0.2, required=("design_id", "scenario"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

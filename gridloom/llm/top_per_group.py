@@ -120,13 +120,17 @@ def _at_least(ties: int) -> Column:
     return (F.col("score") > F.col("b_score")) | ((F.col("score") == F.col("b_score")) & good)
 
 
-def top_per_group(df: DataFrame, keys: dict[str, Column], score: str, ties: list[str], n: int, lowest: float, highest: float, max_bounds: int = 100_000) -> DataFrame:
-    """Columns: the keys (as text, by the names in ``keys``), the tie columns, ``score`` and ``rank`` from 1."""
+def top_per_group(df: DataFrame, keys: dict[str, Column], score: str, ties: list[str], n: int, lowest: float, highest: float, max_bounds: int = 100_000, required: tuple[str, ...] = ()) -> DataFrame:
+    """Columns: the keys (as text, by the names in ``keys``), the tie columns, ``score`` and ``rank`` from 1.
+
+    Rows of null key are left out. ``required`` may name the columns of ``df`` that decide it (a key is null exactly if
+    one of them is): they are then tested instead of the keys, which else are made twice, for the test and for use."""
     if len({*keys, *ties, "score", "rank"}) < len(keys) + len(ties) + 2:
         raise ValueError("the names of keys and tie columns must differ, also from score and rank")
     k, t = [f"k{i}" for i in range(len(keys))], [f"t{i}" for i in range(len(ties))]
-    valid = df.where(F.col(score).between(lowest, highest) & ~F.isnan(score))
-    rows = valid.select(*(c.cast("string").alias(a) for a, c in zip(k, keys.values(), strict=True)), F.col(score).cast("double").alias("score"), *(F.col(c).cast("bigint").alias(a) for a, c in zip(t, ties, strict=True))).dropna()
+    valid = df.where(F.col(score).between(lowest, highest) & ~F.isnan(score)).dropna(subset=[*ties, *required])
+    rows = valid.select(*(c.cast("string").alias(a) for a, c in zip(k, keys.values(), strict=True)), F.col(score).cast("double").alias("score"), *(F.col(c).cast("bigint").alias(a) for a, c in zip(t, ties, strict=True)))
+    rows = rows if required else rows.dropna(subset=k)
     schema = T.StructType([*(T.StructField(a, T.StringType()) for a in k), T.StructField("score", T.DoubleType()), *(T.StructField(a, T.LongType()) for a in t), T.StructField("n_rows", T.LongType())])
     local = rows.mapInArrow(_bounds_of(n, len(k), len(t)), schema)
     greatest = local.groupBy(*k).agg(F.max(F.struct("score", *(-F.col(a) for a in t))).alias("b"), F.sum("n_rows").alias("n_rows"))
