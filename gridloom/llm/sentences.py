@@ -407,7 +407,8 @@ def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words:
     # a word's tendency to be followed by numbers or small letters, against all words with period
     wont = lambda figure: (c(figure) / dotted > 2 * c(f"all_{figure}") / F.greatest(c("all_dotted"), F.lit(1.0))) & (_ratio(c(figure), dotted, c(f"all_{figure}") / F.greatest(c("all_dotted"), F.lit(1.0))) >= 7.88)
     none = F.lit("")
-    flags = F.concat(F.when(abbreviation & seldom_final, "x").otherwise(none), F.when(abbreviation & wont("number"), "n").otherwise(none), F.when(abbreviation & wont("small"), "l").otherwise(none), F.when(c("dotted") >= evidence, "-").otherwise(none))
+    cased = F.lower("word") != F.upper("word")  # small letters say nothing after words of a script without case
+    flags = F.concat(F.when(abbreviation & seldom_final, "x").otherwise(none), F.when(abbreviation & wont("number"), "n").otherwise(none), F.when(abbreviation & cased & wont("small"), "l").otherwise(none), F.when(c("dotted") >= evidence, "-").otherwise(none))
     begin_rate = c("all_begins") / F.greatest(c("all_bare") + c("all_dotted"), F.lit(1.0))
     times = F.greatest(every, F.lit(1))
     starter = (c("begins_small") >= 2) & (c("begins_small") / times > begin_rate) & (_ratio(F.least(c("begins_small"), times), times, begin_rate) >= 7.88)
