@@ -126,7 +126,7 @@ class Register:
             query.__name__, query.__doc__ = name, build.__doc__
             self.queries[name] = query
             if body:
-                select = [*(f'"{k}"' for k in keys.split()), *(f"round(cast({c} AS double) + {0.033 * 10**-digits!r}, {digits}) + 0.0 AS {c}" for c in numbers.split())]
+                select = [*(f'cast({k} AS integer) AS {k}' if k in ("ty", "tx") else f'"{k}"' for k in keys.split()), *(f"round(cast({c} AS double) + {0.033 * 10**-digits!r}, {digits}) + 0.0 AS {c}" for c in numbers.split())]
                 self.oracle[name] = f"WITH {BASE}{', ' + ctes if ctes else ''}\nSELECT {', '.join(select)} FROM (\n{body})"
             return query
 
