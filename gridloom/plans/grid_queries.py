@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.names import trimmed
-from gridloom.functions.numeric import finite, ratio
+from gridloom.functions.numeric import finite
 from gridloom.functions.text import has_token, id_list, module_of, short_hash
 from gridloom.operators import raster, reshape, shares, spatial
-from gridloom.operators.metrics import coverage
 from gridloom.operators.ranking import average_rank, demeaned, order_statistic
-from gridloom.plans.base import DIE, FINE_N, VDD_V, N, Register, Views, sql_tile
+from gridloom.plans.base import DIE, VDD_V, N, Register, Views, sql_tile
 from gridloom.session import table
 from gridloom.sources.schema import FEATURE_GROUPS, SCENARIOS
 
