@@ -40,10 +40,11 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows and related groups of each partition."""
-    rows = [df.groupBy("split", "component").agg(F.count("*").alias("n")) for df in _parts(spark, sf).values()]
-    return rows[0].unionByName(rows[1]).groupBy("split").agg(F.sum("n").alias("n_rows"), F.countDistinct("component").alias("n_groups"))
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each related group with its partition, designs and rows; rows without a design are groups of their own."""
+    rows = [df.groupBy("component", "split", "design").agg(F.count("*").alias("n")) for df in _parts(spark, sf).values()]
+    both = rows[0].unionByName(rows[1]).groupBy("component", "split").agg(F.countDistinct("design").alias("n_designs"), F.sum("n").alias("n_rows"))
+    return both.select(F.regexp_replace("component", "\\x00", "").alias("group_id"), "split", "n_designs", "n_rows")
 
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +61,7 @@ def p2_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _top(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_shares, p2_found, p2_ranked)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_groups, p2_found, p2_ranked)}
 
 _NAME = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 _TOP = f"""

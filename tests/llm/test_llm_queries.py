@@ -28,3 +28,10 @@ def test_splits_hold_every_row_once(spark):
     for t in ("features", "picp_per_design"):
         assert rows.where(f"source_table = '{t}'").count() == spark.read.parquet(f"{DATA}/{t}.parquet").count()
     assert rows.where("split is null").count() == 0
+
+
+def test_each_group_has_one_split(spark):
+    groups = registry.queries()["p1_groups"](spark, DATA)
+    assert groups.count() == groups.select("group_id").distinct().count()
+    rows = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("features", "picp_per_design"))
+    assert groups.agg({"n_rows": "sum"}).first()[0] == rows
