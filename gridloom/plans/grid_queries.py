@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.names import trimmed
+from gridloom.functions.names import clean_name, trimmed
 from gridloom.functions.numeric import finite
 from gridloom.functions.text import has_token, id_list, module_of, short_hash
 from gridloom.operators import raster, reshape, shares, spatial
 from gridloom.operators.ranking import average_rank, demeaned, order_statistic
 from gridloom.plans.base import DIE, VDD_V, N, Register, Views, sql_tile
+from gridloom.plans.data_problems import _VALUES, path_values
 from gridloom.session import table
 from gridloom.sources.schema import FEATURE_GROUPS, SCENARIOS
 
@@ -312,6 +313,17 @@ def q_path_members(v: Views) -> DataFrame:
     return hit.groupBy("row_id").agg(F.count("hit").alias("n_known"), (F.count("*") - F.count("hit")).alias("n_unknown"))
 
 
+@query("row_id n_known n_unknown", "", "SELECT p.row_id, count(i.inst_id) AS n_known, count(t.v) - count(i.inst_id) AS n_unknown FROM paths p LEFT JOIN (SELECT row_id, d, v FROM (SELECT row_id, v, lower(regexp_replace(design_id, '^\\s+|\\s+$', '', 'g')) AS d FROM ({}) WHERE regexp_full_match(v, '[0-9]+'))) t ON t.row_id = p.row_id LEFT JOIN i ON i.design = t.d AND i.inst_id = TRY_CAST(t.v AS integer) GROUP BY 1".format(_VALUES.format(keys="row_id, design_id")))
+def q_path_members_all(v: Views) -> DataFrame:
+    """Membership of the instance numbers of every path, however they are packed: each row_id has its counts, zero where the field
+    holds no number. Names are no numbers and are not counted."""
+    digits = path_values(v.spark, v.sf, ["row_id", "design_id"]).where(F.col("inst_value").rlike(r"^[0-9]+\z"))
+    ids = digits.select("row_id", clean_name("design_id").alias("design"), F.col("inst_value").try_cast("int").alias("inst_id"))
+    hit = ids.join(v.i.select("design", "inst_id", F.lit(1).alias("hit")), ["design", "inst_id"], "left")
+    counts = hit.groupBy("row_id").agg(F.count("hit").alias("n_known"), (F.count("*") - F.count("hit")).alias("n_unknown"))
+    return table(v.spark, v.sf, "paths").select("row_id").join(counts, "row_id", "left").fillna(0, ["n_known", "n_unknown"])
+
+
 @query("design place module", "", "SELECT design, row_number() OVER (PARTITION BY design ORDER BY first) AS place, module FROM (SELECT design, module, min(inst_id) AS first FROM i WHERE module IS NOT NULL GROUP BY 1, 2)")
 def q_first_appearance(v: Views) -> DataFrame:
     from pyspark.sql import Window as W
