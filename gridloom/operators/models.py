@@ -2,7 +2,8 @@
 
 Point models are gradient boosted trees of Spark ML. The 10 % and 90 % bands are exact percentiles of the
 training residual within the leaves of one regression tree; the conformal correction makes their coverage hold.
-Rows with a null feature or label take no part in fitting; rows with a null feature get no prediction.
+Rows without a label take no part in fitting. A null feature is the median of the fitted rows, and a flag beside it says that
+it was null, so that trees can part such rows: every row is fitted, and every row gets a prediction.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ import hashlib
 import json
 from typing import NamedTuple
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.numeric import finite
 from gridloom.operators.fits import line
 from gridloom.sources.schema import FEATURES
 
@@ -38,10 +39,28 @@ class Variant(NamedTuple):
     median: GBTRegressionModel | None = None
     tree: DecisionTreeRegressionModel | None = None
     bands: DataFrame | None = None  # leaf, q_low, q_high
+    fills: dict[str, float] | None = None  # what stands for a null feature
 
 
-def _assembled(df: DataFrame, variant: str) -> DataFrame:
-    return VectorAssembler(inputCols=columns_of(variant), outputCol="_x", handleInvalid="skip").transform(df)
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """What stands for nulls of each column: its median (to a thousandth of the ranks), 0 if it has no value."""
+    row = df.agg(*(F.approx_percentile(finite(c), 0.5, 1000).alias(c) for c in columns)).first()  # a number a column
+    return {c: 0.0 if row[c] is None else float(row[c]) for c in columns}
+
+
+def _filled(column: str, fills: dict[str, float]) -> Column:
+    return F.coalesce(finite(column), F.lit(fills[column]))
+
+
+def _base(variant: str, fills: dict[str, float]) -> Column:
+    return F.lit(0.0) if variant == "learned_only" else _filled(PHYSICS, fills)
+
+
+def _assembled(df: DataFrame, variant: str, fills: dict[str, float]) -> DataFrame:
+    """The features of a variant with nulls filled, then a flag for each that says whether it was null."""
+    columns = columns_of(variant)
+    flags = (finite(c).isNull().cast("double") for c in columns)
+    return df.withColumn("_x", array_to_vector(F.array(*(_filled(c, fills) for c in columns), *flags)))
 
 
 def fit_variant(df: DataFrame, variant: str, label: str = "label_v", iterations: int = 20, depth: int = 5, low: float = 0.1, high: float = 0.9, seed: int = 0) -> Variant:
@@ -51,21 +70,21 @@ def fit_variant(df: DataFrame, variant: str, label: str = "label_v", iterations:
     if variant == "physics_affine":
         fit = known.dropna(subset=[PHYSICS]).agg(*(c.alias(n) for n, c in line(PHYSICS, label).items())).first()  # two numbers
         return Variant(variant, fit["slope"], fit["intercept"])
-    base = F.lit(0.0) if variant == "learned_only" else F.col(PHYSICS)
-    train = _assembled(known, variant).withColumn("_y", F.col(label) - base)
+    fills = medians(known, columns_of(variant))
+    train = _assembled(known, variant, fills).withColumn("_y", F.col(label) - _base(variant, fills))
     median = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=iterations, maxDepth=depth, stepSize=0.1, seed=seed).fit(train)
     tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", maxDepth=depth, minInstancesPerNode=20, leafCol="_leaf", seed=seed).fit(train)
     # percentiles by leaf: a leaf count of at most 2 ** depth rows
     bands = tree.transform(train).groupBy(F.col("_leaf").cast("int").alias("_leaf")).agg(F.percentile("_y", low).alias("_low"), F.percentile("_y", high).alias("_high"))
-    return Variant(variant, median=median, tree=tree, bands=bands)
+    return Variant(variant, median=median, tree=tree, bands=bands, fills=fills)
 
 
 def predict_variant(df: DataFrame, fitted: Variant) -> DataFrame:
     """Adds pred_v, q_low_v, q_high_v (bands are null for the physics variants)."""
     if fitted.median is None:
         return df.withColumn("pred_v", F.col(PHYSICS) * fitted.slope + fitted.intercept).withColumn("q_low_v", F.lit(None).cast("double")).withColumn("q_high_v", F.lit(None).cast("double"))
-    base = F.lit(0.0) if fitted.name == "learned_only" else F.col(PHYSICS)
-    scored = fitted.median.setPredictionCol("_m").transform(_assembled(df, fitted.name))
+    base = _base(fitted.name, fitted.fills)
+    scored = fitted.median.setPredictionCol("_m").transform(_assembled(df, fitted.name, fitted.fills))
     leaves = fitted.tree.setPredictionCol("_t").transform(scored).withColumn("_leaf", F.col("_leaf").cast("int"))
     out = leaves.join(F.broadcast(fitted.bands), "_leaf", "left")  # a row a leaf
     return out.select(*df.columns, (base + F.col("_m")).alias("pred_v"), (base + F.col("_low")).alias("q_low_v"), (base + F.col("_high")).alias("q_high_v"))
@@ -73,7 +92,7 @@ def predict_variant(df: DataFrame, fitted: Variant) -> DataFrame:
 
 def feature_array(df: DataFrame, variant: str) -> DataFrame:
     """The features of a variant as one array column."""
-    return _assembled(df, variant).withColumn("x", vector_to_array("_x")).drop("_x")
+    return df.withColumn("x", F.array(*columns_of(variant)))
 
 
 def config_hash(config: dict) -> str:

@@ -76,13 +76,15 @@ def save_variant(fitted: models.Variant, directory: str, spark: SparkSession) ->
         fitted.median.write().overwrite().save(f"{directory}/median")
         fitted.tree.write().overwrite().save(f"{directory}/tree")
         fitted.bands.write.mode("overwrite").parquet(f"{directory}/bands")
+        spark.createDataFrame(list(fitted.fills.items()), "feature string, fill double").write.mode("overwrite").parquet(f"{directory}/fills")
 
 
 def load_variant(directory: str, spark: SparkSession) -> models.Variant:
     head = spark.read.parquet(f"{directory}/head").first()
     if head["slope"] is not None:
         return models.Variant(head["name"], head["slope"], head["intercept"])
-    return models.Variant(head["name"], None, None, GBTRegressionModel.load(f"{directory}/median"), DecisionTreeRegressionModel.load(f"{directory}/tree"), spark.read.parquet(f"{directory}/bands"))
+    fills = {r["feature"]: r["fill"] for r in spark.read.parquet(f"{directory}/fills").collect()}  # a row a feature
+    return models.Variant(head["name"], None, None, GBTRegressionModel.load(f"{directory}/median"), DecisionTreeRegressionModel.load(f"{directory}/tree"), spark.read.parquet(f"{directory}/bands"), fills)
 
 
 def report(validation: DataFrame, path: str | None = None) -> str:

@@ -271,14 +271,14 @@ def q_bootstrap_runs(v: Views) -> DataFrame:
 
 
 def _train(v: Views) -> DataFrame:
-    return v.f.dropna(subset=[*FEATURES, "label_v"])
+    return v.f.where("label_v is not null")
 
 
 @query()
 def q_gbt_score(v: Views) -> DataFrame:
-    """Hybrid model with leaf bands, fitted on four fifths of the designs, scored on the rest."""
+    """Hybrid model with leaf bands, fitted on the labelled tiles of four fifths of the designs; every tile of the rest is scored."""
     part = F.pmod(F.xxhash64("design"), F.lit(5))
-    rows = _train(v).withColumn("part", part)
+    rows = stage(v.f.withColumn("part", part), "tiles")
     fitted = models.fit_variant(rows.where("part > 0"), "hybrid", iterations=5, depth=3)
     return models.predict_variant(rows.where("part = 0"), fitted).select(*GROUP, "ty", "tx", "pred_v", "q_low_v", "q_high_v", "label_v")
 

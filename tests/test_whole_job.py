@@ -2,7 +2,14 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from gridloom.operators import models
 from gridloom.plans import registry
+from gridloom.plans.base import Views
+from gridloom.sources.schema import FEATURES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def written(spark, directory, name, rows, schema):
@@ -17,3 +24,20 @@ def test_every_path_has_its_members(spark, tmp_path):
     written(spark, tmp_path, "instances", inst, "design_id string, inst_id int, inst_name string, module string, x_um double, y_um double, area_um2 double, cap_ff double, is_seq int, is_clk int, is_macro int, deleted_at timestamp")
     got = sorted(tuple(r) for r in registry.queries()["q_path_members_all"](spark, str(tmp_path)).collect())
     assert got == [(0, 2, 0), (1, 2, 1), (2, 2, 0), (3, 1, 1), (4, 0, 0), (5, 0, 0), (6, 0, 0)]
+
+
+def test_tiles_with_nulls_or_without_label_are_scored(spark):
+    part = Views(spark, DATA).f.where("pmod(xxhash64(design), 5) = 0")
+    assert part.where("label_v is null or " + " or ".join(f"{c} is null" for c in FEATURES)).count() > 0
+    got = registry.queries()["q_gbt_score"](spark, DATA)
+    assert got.count() == part.count()
+    assert got.where("pred_v is null or q_low_v is null or q_high_v is null or isnan(pred_v)").count() == 0
+
+
+def test_null_is_told_from_its_median(spark):
+    rows = [(*[0.01 * (i % 7)] * 32, 0.03 if i % 10 else 0.09) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", label_v double")
+    df = df.withColumn("cur_sum", F.when(F.col("label_v") < 0.05, F.col("cur_sum")))  # null just where the label is great
+    fitted = models.fit_variant(df.withColumn("cur_max_fine", F.lit(float("nan"))), "learned_only", iterations=10, depth=3)
+    got = models.predict_variant(df.withColumn("cur_max_fine", F.lit(None).cast("double")), fitted)
+    assert got.count() == 400 and got.where("abs(pred_v - label_v) > 0.02").count() == 0
