@@ -12,7 +12,7 @@ from gridloom.operators.governance import assert_no_leakage
 from gridloom.operators.spatial import mesh_edges
 from gridloom.plans.base import BUDGET_V, DIE, VDD_V, N, Register, Views, sql_tile
 from gridloom.session import stage, table
-from gridloom.sources.schema import FEATURE_GROUPS, FEATURES, SCENARIOS
+from gridloom.sources.schema import FEATURE_GROUPS, SCENARIOS
 
 query = Register()
 GROUP = ["design", "scenario"]
@@ -291,17 +291,11 @@ def q_affine_score(v: Views) -> DataFrame:
 
 @query()
 def q_perm_importance(v: Views) -> DataFrame:
-    """Increase of the error when the features of a group are exchanged together (learned model)."""
-    rows = _train(v).withColumn("rid", F.concat_ws("/", *GROUP, "ty", "tx"))
-    fitted = models.fit_variant(rows, "learned_only", iterations=3, depth=3)
-    base = models.predict_variant(rows, fitted).select("rid", F.col("pred_v").alias("base"), "label_v")
-    out = None
-    for g in ("grid", "cur"):
-        moved = resample.permuted(rows, "rid", FEATURE_GROUPS[g], 42, 0, ["scenario"])
-        scored = models.predict_variant(moved, fitted).select("rid", F.col("pred_v").alias("moved"))
-        one = base.join(scored, "rid").agg(resample.mean_error_increase(F.col("base"), F.col("moved"), _y()).alias("increase_mv")).withColumn("feature_group", F.lit(g))
-        out = one if out is None else out.unionByName(one)
-    return out.select("feature_group", "increase_mv")
+    """Increase of the error when the features of a group are exchanged together, over ten repeats (hybrid model)."""
+    rows = stage(_train(v).withColumn("rid", F.concat_ws("/", *GROUP, "ty", "tx")), "tiles")
+    fitted = models.fit_variant(rows, "hybrid")
+    each = models.permutation_importance(rows, fitted, FEATURE_GROUPS, "rid")
+    return each.groupBy("feature_group").agg((F.avg("increase") * 1000).alias("increase_mv"), (F.stddev_pop("increase") * 1000).alias("std_mv"))
 
 
 # meshes

@@ -2,12 +2,14 @@
 
 from datetime import datetime
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gridloom.operators import models
 from gridloom.plans import registry
 from gridloom.plans.base import Views
-from gridloom.sources.schema import FEATURES
+from gridloom.sources.schema import FEATURE_GROUPS, FEATURES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,3 +43,24 @@ def test_null_is_told_from_its_median(spark):
     fitted = models.fit_variant(df.withColumn("cur_max_fine", F.lit(float("nan"))), "learned_only", iterations=10, depth=3)
     got = models.predict_variant(df.withColumn("cur_max_fine", F.lit(None).cast("double")), fitted)
     assert got.count() == 400 and got.where("abs(pred_v - label_v) > 0.02").count() == 0
+
+
+def test_importance_has_all_groups_and_finds_the_one_that_counts(spark):
+    rng = np.random.RandomState(3)
+    rows = [(f"r{i}", *map(float, x), float(x[0] + 0.5 * x[30])) for i, x in enumerate(rng.rand(600, 32) * 0.1)]
+    df = spark.createDataFrame(rows, "rid string, " + ", ".join(f"{c} double" for c in FEATURES) + ", label_v double").withColumn("top_util", F.when(F.col("cur_sum") > 0.01, F.col("top_util")))
+    fitted = models.fit_variant(df, "hybrid", iterations=5, depth=3)
+    each = models.permutation_importance(df, fitted, FEATURE_GROUPS, "rid", block_rows=250).collect()
+    assert sorted((r.feature_group, r.repeat) for r in each) == sorted((g, k) for g in FEATURE_GROUPS for k in range(10))
+    mean = {g: np.mean([r.increase for r in each if r.feature_group == g]) for g in FEATURE_GROUPS}
+    assert max(mean, key=mean.get) == "scn" and mean["scn"] > 0.005 and abs(mean["sw"]) < 0.001
+    # the arrays predict as the model does
+    trees, x = models.trees_of(fitted.median), models._assembled(df, "hybrid", fitted.fills).select("rid", vector_to_array("_x").alias("x")).orderBy("rid").collect()
+    got = sum(trees.predict(np.array([r.x for r in x]), t) for t in range(len(trees.value)))
+    want = [r.w for r in models.predict_variant(df, fitted).orderBy("rid").select((F.col("pred_v") - F.col("phys_base_v")).alias("w")).collect()]
+    assert np.abs(got - want).max() < 1e-12
+
+
+def test_importance_query_has_all_groups(spark):
+    got = registry.queries()["q_perm_importance"](spark, DATA).collect()
+    assert {r.feature_group for r in got} == set(FEATURE_GROUPS) and all(r.increase_mv is not None for r in got)
