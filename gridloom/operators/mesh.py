@@ -104,10 +104,15 @@ def solve_designs(cells: DataFrame, currents: DataFrame, n: int, keys: list[str]
     return grid.groupBy(*keys).cogroup(driven.groupBy(*keys)).applyInArrow(run, f"{kinds}, scenario string, ty int, tx int, drop_v double")
 
 
-def influence(cells: DataFrame, n: int, keys: list[str] = ["design"]) -> DataFrame:  # noqa: B006
+def influence(cells: DataFrame, n: int, keys: list[str] = ["design"], sources: DataFrame | None = None) -> DataFrame:  # noqa: B006
     """Drop at every cell for one ampere at every other: keys, sty, stx (source), ty, tx, volt_per_amp. Only for
-    what-if questions on chosen designs (n ** 4 rows each)."""
-    sources = cells.select(*keys).distinct().withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    what-if questions on chosen designs (n ** 4 rows each). With ``sources`` (keys, ty, tx) only their cells are
+    sources; cells without current add nothing to a superposition."""
+    every = cells.select(*keys).distinct()
+    if sources is None:
+        sources = every.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    else:
+        sources = sources.select(*keys, (F.col("ty") * n + F.col("tx")).alias("_c")).distinct().join(every, keys, "left_semi")
     unit = sources.select(*keys, F.col("_c").cast("string").alias("scenario"), F.expr(f"cast(_c div {n} as int)").alias("ty"), (F.col("_c") % n).cast("int").alias("tx"), F.lit(1.0).alias("current_a"))
     table = solve_designs(cells, unit, n, keys)
     return table.select(*keys, F.expr(f"cast(cast(scenario as int) div {n} as int)").alias("sty"), (F.col("scenario").cast("int") % n).alias("stx"), "ty", "tx", F.col("drop_v").alias("volt_per_amp"))

@@ -300,10 +300,8 @@ def q_perm_importance(v: Views) -> DataFrame:
 
 # meshes
 
-M = 8
 
-
-def _mesh(v: Views, n: int = M) -> tuple[DataFrame, DataFrame]:
+def _mesh(v: Views, n: int = N) -> tuple[DataFrame, DataFrame]:
     """Cells (supplied where macros have their centres) and scenario currents on an n by n mesh."""
     mid = v.c.withColumn("x_um", (F.col("x0_um") + F.col("x1_um")) / 2).withColumn("y_um", (F.col("y0_um") + F.col("y1_um")) / 2)
     supply = raster.with_tiles(mid, "x_um", "y_um", DIE, DIE, n).groupBy("design", "ty", "tx").agg((F.count("*") * 10.0).alias("supply"))
@@ -320,16 +318,16 @@ _DRIVEN = "dr AS (SELECT DISTINCT i.design, a.scenario FROM i JOIN a ON a.design
 def q_mesh_residual(v: Views) -> DataFrame:
     """Greatest error of A u = i, by joins over the mesh's edges: zero."""
     cells, cur = _mesh(v)
-    solved = mesh.solve_designs(cells, cur, M)
+    solved = mesh.solve_designs(cells, cur, N)
     return mesh.residuals(solved, cells, cur, mesh_edges(cells, ["design"], "strap", 2.0))
 
 
 @query("design scenario", "difference", "SELECT design, scenario, 0 AS difference FROM dr", _DRIVEN, 9)
 def q_influence_solve(v: Views) -> DataFrame:
     """Superposition over the influence table against the direct solution: zero."""
-    cells, cur = _mesh(v, 6)
-    a = mesh.influence_solve(mesh.influence(cells, 6), cur).withColumnRenamed("drop_v", "other")
-    b = mesh.solve_designs(cells, cur, 6)
+    cells, cur = _mesh(v)
+    a = mesh.influence_solve(mesh.influence(cells, N, sources=cur), cur).withColumnRenamed("drop_v", "other")
+    b = mesh.solve_designs(cells, cur, N)
     return b.join(a, [*GROUP, "ty", "tx"]).groupBy(*GROUP).agg(F.max(F.abs(F.col("drop_v") - F.col("other"))).alias("difference"))
 
 
@@ -344,7 +342,7 @@ def q_mesh_solve(v: Views) -> DataFrame:
 def q_calibration(v: Views) -> DataFrame:
     """Scale of each design's conductances for its target peak, with the corpus median."""
     cells, cur = _mesh(v)
-    scale = mesh.solve_designs(cells, cur, M).groupBy("design").agg(mesh.calibration("drop_v", BUDGET_V * 0.9).alias("scale"))
+    scale = mesh.solve_designs(cells, cur, N).groupBy("design").agg(mesh.calibration("drop_v", BUDGET_V * 0.9).alias("scale"))
     median = scale.agg(F.percentile("scale", 0.5).alias("median"))
     return scale.join(F.broadcast(median), F.lit(True))  # one row
 
@@ -355,7 +353,7 @@ def q_ratio_sweep(v: Views) -> DataFrame:
     cells, cur = _mesh(v)
     ratios = F.explode(F.array(*(F.lit(r) for r in (1.0, 3.0, 10.0))))
     c = cells.withColumn("ratio", ratios).withColumn("supply", F.col("supply") / 10 * F.col("ratio"))
-    many = mesh.solve_designs(c, cur.withColumn("ratio", ratios), M, ["design", "ratio"])
+    many = mesh.solve_designs(c, cur.withColumn("ratio", ratios), N, ["design", "ratio"])
     return many.groupBy("design", "ratio").agg(F.max("drop_v").alias("peak_v"))
 
 

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from gridloom.operators import models
+from gridloom.operators import mesh, models
 from gridloom.plans import registry
-from gridloom.plans.base import Views
+from gridloom.plans.base import BUDGET_V, N, Views
 from gridloom.sources.schema import FEATURE_GROUPS, FEATURES
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +64,17 @@ def test_importance_has_all_groups_and_finds_the_one_that_counts(spark):
 def test_importance_query_has_all_groups(spark):
     got = registry.queries()["q_perm_importance"](spark, DATA).collect()
     assert {r.feature_group for r in got} == set(FEATURE_GROUPS) and all(r.increase_mv is not None for r in got)
+
+
+def test_mesh_queries_solve_the_production_mesh(spark, monkeypatch):
+    sizes, solve = [], mesh.solve_designs
+    monkeypatch.setattr(mesh, "solve_designs", lambda cells, currents, n, *a, **k: sizes.append(n) or solve(cells, currents, n, *a, **k))
+    run = lambda q: registry.queries()[q](spark, DATA)
+    peak = {r.design: r.peak for r in run("q_mesh_solve").where("scenario <> '__weak__'").groupBy("design").agg(F.max("drop_v").alias("peak")).collect()}
+    scale = {r.design: r.scale for r in run("q_calibration").collect()}
+    assert scale.keys() == peak.keys() and all(abs(scale[d] - peak[d] / (BUDGET_V * 0.9)) < 1e-4 for d in peak)
+    swept = {r.design: r.peak_v for r in run("q_ratio_sweep").where("ratio = 10").collect()}
+    assert swept.keys() == peak.keys() and all(abs(swept[d] - peak[d]) < 1e-5 for d in peak)
+    for q in ("q_mesh_residual", "q_influence_solve"):
+        assert run(q).count() > 0
+    assert set(sizes) == {N}
