@@ -13,7 +13,7 @@ from gridloom.operators.ranking import average_rank, demeaned, order_statistic
 from gridloom.plans.base import DIE, VDD_V, N, Register, Views, sql_tile
 from gridloom.plans.data_problems import _VALUES, path_values
 from gridloom.session import table
-from gridloom.sources.schema import FEATURE_GROUPS, SCENARIOS
+from gridloom.sources.schema import FEATURE_GROUPS, FEATURES, SCENARIOS
 
 query = Register()
 T = lambda c, n=N: sql_tile(c, DIE, n)
@@ -389,13 +389,22 @@ def q_feature_groups(v: Views) -> DataFrame:
     return v.f.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.feature_group").agg(F.count("p.v").alias("n_rows"), F.avg("p.v").alias("mean"))
 
 
-@query("column_name n_bad", "", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL OR cast({c} AS varchar) IN ('nan', 'inf', '-inf')) AS n_bad FROM features" for c in ("phys_base_v", "grid_strap_mean", "cur_sum", "conc_ratio", "label_v")))
-def q_non_finite(v: Views) -> DataFrame:
-    cols = ["phys_base_v", "grid_strap_mean", "cur_sum", "conc_ratio", "label_v"]
+def _non_finite(v: Views, cols: list[str]) -> DataFrame:
     raw = table(v.spark, v.sf, "features")
     return raw.agg(*(F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(c) for c in cols)).unpivot([], cols, "column_name", "n_bad")
 
 
+@query("column_name n_bad", "", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL OR cast({c} AS varchar) IN ('nan', 'inf', '-inf')) AS n_bad FROM features" for c in ("phys_base_v", "grid_strap_mean", "cur_sum", "conc_ratio", "label_v")))
+def q_non_finite(v: Views) -> DataFrame:
+    return _non_finite(v, ["phys_base_v", "grid_strap_mean", "cur_sum", "conc_ratio", "label_v"])
+
+
+@query("column_name n_bad", "", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL OR cast({c} AS varchar) IN ('nan', 'inf', '-inf')) AS n_bad FROM features" for c in (*FEATURES, "label_v")))
+def q_non_finite_all(v: Views) -> DataFrame:
+    """Null, NaN and infinite values of every feature and of the label."""
+    return _non_finite(v, [*FEATURES, "label_v"])
+
+
 @query("row_id owner seq_like digest", "", "SELECT row_id, CASE WHEN endpoint LIKE 'dpath.%' THEN 'dpath' ELSE '' END AS owner, regexp_matches(upper(endpoint), 'DFF|CLKBUF') AS seq_like, substring(sha256(endpoint), 1, 16) AS digest FROM paths WHERE endpoint IS NOT NULL")
 def q_module_parse(v: Views) -> DataFrame:
     """Owner module, kind and digest of endpoint names."""

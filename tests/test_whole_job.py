@@ -78,3 +78,10 @@ def test_mesh_queries_solve_the_production_mesh(spark, monkeypatch):
     for q in ("q_mesh_residual", "q_influence_solve"):
         assert run(q).count() > 0
     assert set(sizes) == {N}
+
+
+def test_non_finite_counts_every_measure(spark, tmp_path):
+    rows = [(*[bad] * 32, 1.0) for bad in (None, float("nan"), float("inf"), -float("inf"), 0.5)]
+    written(spark, tmp_path, "features", rows, ", ".join(f"{c} double" for c in FEATURES) + ", label_v double")
+    got = {r.column_name: r.n_bad for r in registry.queries()["q_non_finite_all"](spark, str(tmp_path)).collect()}
+    assert got == {c: 4 for c in FEATURES} | {"label_v": 0}
