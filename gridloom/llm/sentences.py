@@ -61,6 +61,7 @@ TRIM = "([{\"'“”„«»‘’‚‹›（）［］｛｝【】《》〈〉
 WORD = re.compile(r"\S+")
 DIGITS = re.compile(r"\d+")
 NUMBER = "##number##"
+LONG, LONGEST = "##long##", 60  # words of more characters are counted together and never learned
 NUMERIC = re.compile(r"[-+±~≈]?\d[\d.,:/]*%?")
 LINE = re.compile("([^\n\r\x0b\x0c\x85  ]*)(\r\n|[\n\r\x0b\x0c\x85  ]|$)")
 HEADING, LOG = re.compile(r"#+(?:\s|$)"), re.compile(r"\[[^\]\n]{0,40}?\d{1,2}:\d\d[^\]\n]{0,30}\]")
@@ -341,7 +342,8 @@ def count_words(lang: str, text: str, into: Counter) -> None:
 
 
 def word_figures(docs: DataFrame, text: str, lang: str, flush: int = 500_000) -> DataFrame:
-    """(lang, word, figures) summed over all documents; lang '*' has the sums of all languages."""
+    """(lang, word, figures) summed over all documents. Words of more than ``LONGEST`` characters count as one word ``LONG``,
+    so that the sums of a language are those of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
@@ -364,7 +366,8 @@ def word_figures(docs: DataFrame, text: str, lang: str, flush: int = 500_000) ->
 
     schema = "lang string, word string, " + ", ".join(f"{f} bigint" for f in FIGURES)
     counted = docs.where(F.col(text).isNotNull()).select(language(lang), F.col(text)).mapInArrow(run, schema)
-    own = counted.where(F.length("word") <= 60).groupBy("lang", "word").agg(*(F.sum(f).alias(f) for f in FIGURES))
+    word = F.when(F.length("word") > LONGEST, LONG).otherwise(F.col("word")).alias("word")
+    own = counted.groupBy("lang", word).agg(*(F.sum(f).alias(f) for f in FIGURES))
     return own
 
 
@@ -391,7 +394,7 @@ def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words:
     own = stage(word_figures(docs, text, lang), "words")
     figures = own.unionByName(own.groupBy("word").agg(*(F.sum(f).alias(f) for f in FIGURES)).withColumn("lang", F.lit("*")))
     totals = figures.groupBy("lang").agg(*(F.sum(f).cast("double").alias(f"all_{f}") for f in FIGURES))
-    f = figures.join(F.broadcast(totals), "lang")  # a row a language
+    f = figures.where(F.col("word") != LONG).join(F.broadcast(totals), "lang")  # a row a language
     c = F.col
     every = c("bare") + c("dotted")
     rate = F.greatest(c("all_dotted") / (c("all_bare") + c("all_dotted")), F.lit(1e-6))
