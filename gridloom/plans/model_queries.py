@@ -243,6 +243,19 @@ def q_split_runs(v: Views) -> DataFrame:
     return splits.run_table(v.spark, splits.holdout(_FOURTEEN, 3)[1], 3, 5, [0, 1, 2, 3, 4])
 
 
+@query()
+def q_split_holdout_all(v: Views) -> DataFrame:
+    """The fixed holdout among all designs of the features."""
+    hold, pool = splits.holdout(splits.design_list(v.f), 3)
+    return v.spark.createDataFrame([(d, "holdout") for d in hold] + [(d, "pool") for d in pool], "design string, part string")
+
+
+@query()
+def q_split_runs_all(v: Views) -> DataFrame:
+    """Twenty-five distinct train and calibration partitions of the pool of all designs."""
+    return splits.run_table(v.spark, splits.holdout(splits.design_list(v.f), 3)[1], 3, 5, [0, 1, 2, 3, 4])
+
+
 def _multisets() -> list[tuple[int, int, str, int]]:
     import numpy as np
 

@@ -85,3 +85,14 @@ def test_non_finite_counts_every_measure(spark, tmp_path):
     written(spark, tmp_path, "features", rows, ", ".join(f"{c} double" for c in FEATURES) + ", label_v double")
     got = {r.column_name: r.n_bad for r in registry.queries()["q_non_finite_all"](spark, str(tmp_path)).collect()}
     assert got == {c: 4 for c in FEATURES} | {"label_v": 0}
+
+
+def test_splits_hold_every_design(spark):
+    designs = {r[0] for r in Views(spark, DATA).f.select("design").distinct().collect()}
+    part = {r.design: r.part for r in registry.queries()["q_split_holdout_all"](spark, DATA).collect()}
+    pool = {d for d, p in part.items() if p == "pool"}
+    assert part.keys() == designs and len(designs - pool) == 3
+    runs = {}
+    for r in registry.queries()["q_split_runs_all"](spark, DATA).collect():
+        runs.setdefault((r.seed, r.fold), {})[r.design] = r.partition
+    assert len(runs) == 25 and all(x.keys() == pool and list(x.values()).count("calib") == 3 for x in runs.values())
