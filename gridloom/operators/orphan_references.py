@@ -5,12 +5,14 @@ A reference (group, key, time) is sound if a parent row of the same group and ke
 (no parent row of that key at all), ``late`` (all its parent rows begin after the reference) or
 ``deleted``.
 
-Plan: a Bloom filter of the parents' keys, of a size with a fixed upper bound, is built by aggregation
-in the JVM and broadcast. What it rejects is missing for certain and is
-never shuffled. The rest is verified by exact joins on the key: an anti join against the parents'
-validity merged into disjoint periods (at most one of which can hold a time, so a hot key multiplies
-nothing), then, for what is left, a join with the first begin of each key. Both joins use the same
-partitioning. Parents are reduced to one row per key and begin before their shuffle; a hot key among the
+Plan: a Bloom filter of the parents' keys is built in the JVM. It is sharded: a hash of the key names one of
+its blocks of 4 KB, of which there are as many as the parents need at ten bits a key, so that the filter
+stays as sharp however many there are. The blocks are joined to the references by that hash and tested in
+generated code: they are broadcast where their size, known beforehand, is ``max_broadcast`` bytes at most,
+else the join shuffles. What the filter rejects is missing for certain and is never shuffled further. The
+rest is verified by exact joins on the key: an anti join against the parents' validity merged into disjoint
+periods (at most one of which can hold a time, so a hot key multiplies nothing), then, for what is left, a
+join with the first begin of each key. The parents are shuffled once by key for both; a hot key among the
 references is split by adaptive skew handling.
 
 Defined results: a null key refers to nothing (no row); a null group matches no parent (``missing``);
@@ -23,58 +25,58 @@ are reserved (``ValueError``).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HASHES = 5
+HASHES, BITS_A_KEY, BLOCK_BITS = 5, 10, 1 << 15
 
 
-def filter_bits(keys: int, most: int = 1 << 26) -> int:
-    """Size of a filter: about ten bits a key, a power of two of 64 Ki to ``most`` (8 MB)."""
-    return min(most, 1 << max(16, (10 * max(1, keys) - 1).bit_length()))
+def filter_blocks(keys: int) -> int:
+    """Blocks of a filter for so many keys; each takes 4 KB."""
+    return max(1, -(-BITS_A_KEY * keys // BLOCK_BITS))
 
 
-def _hashes(key: list[Column], bits: int) -> list[Column]:
-    """Two hashes of a key, from which double hashing makes its bits."""
-    return [F.pmod(h, F.lit(bits)).cast("bigint") for h in (F.xxhash64(*key), F.xxhash64(F.lit(7919), *key))]
+def _block(key: list[Column], blocks: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
 
 
-def bloom_words(parents: DataFrame, key: list[str], bits: int) -> np.ndarray:
-    """The filter as 64-bit words, on the driver: ``bits / 8`` bytes, whatever the number of parents.
-    The words are made by aggregation in the JVM; each task sends at most ``bits / 64`` of them."""
-    one, two = _hashes([F.col(k) for k in key], bits)
-    at = parents.select(F.explode(F.array(*(F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)))).alias("p"))
-    found = at.select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return words
+def _bit(hashed: Column, i: int) -> Column:
+    """The place of the i-th bit within a block, by double hashing."""
+    step = F.shiftrightunsigned(hashed, 32).bitwiseOR(F.lit(1))
+    return F.pmod(F.pmod(hashed, F.lit(BLOCK_BITS)) + F.lit(i) * F.pmod(step, F.lit(BLOCK_BITS)), F.lit(BLOCK_BITS)).cast("int")
 
 
-def may_contain(spark: SparkSession, words: np.ndarray, key: list[Column], bits: int) -> Column:
-    """Whether the filter holds the key; False is certain. Only the two hashes go to Python."""
-    shipped = spark.sparkContext.broadcast(words)
+def _second(key: list[Column]) -> Column:
+    return F.xxhash64(F.lit(7919), *key)
 
-    @F.pandas_udf("boolean")
-    def test(one: pd.Series, two: pd.Series) -> pd.Series:
-        a, b, w = one.to_numpy(), two.to_numpy(), shipped.value
-        held = np.ones(len(a), bool)
-        for i in range(HASHES):
-            p = (a + i * b) & (bits - 1)
-            held &= (w[p >> 6] >> (p & 63)) & 1 == 1
-        return pd.Series(held)
 
-    return test(*_hashes(key, bits))
+def bloom_blocks(parents: DataFrame, key: list[str], blocks: int) -> DataFrame:
+    """(_o_block, _o_words): the blocks of the filter that hold a key, as arrays of 64-bit words. Two numbers a parent
+    are shuffled, once."""
+    cols = [F.col(k) for k in key]
+    hashed = parents.select(_block(cols, blocks).alias("_o_block"), _second(cols).alias("_o_hash")).repartition("_o_block")
+    at = hashed.select("_o_block", F.explode(F.array(*(_bit(F.col("_o_hash"), i) for i in range(HASHES)))).alias("p"))
+    words = at.groupBy("_o_block", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
+    held = words.groupBy("_o_block").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))  # BLOCK_BITS / 64 entries at most
+    return held.select("_o_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("_o_words"))
+
+
+def may_contain(words: Column, key: list[Column]) -> Column:
+    """Whether a block holds the key; False is certain."""
+    held, hashed = words.isNotNull(), _second(key)
+    for i in range(HASHES):
+        bit = _bit(hashed, i)
+        word = F.get(words, F.shiftright(bit, 6))
+        held = held & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return held
 
 
 def merged_periods(parents: DataFrame, key: list[str], begin: str, end: str) -> DataFrame:
     """Disjoint periods of validity of each key, from rows that may overlap and repeat."""
     rows = parents.select(*key, F.col(begin).alias("_o_from"), F.col(end).alias("_o_to")).where("_o_from is not null and (_o_to is null or _o_to > _o_from)")
     forever = F.lit("9999-12-31 23:59:59.999999").cast(parents.schema[begin].dataType)
-    # one row a begin, before anything is shuffled; only these are sorted by key
-    rows = rows.groupBy(*key, "_o_from").agg(F.max(F.coalesce("_o_to", forever)).alias("_o_to"))
+    rows = rows.withColumn("_o_to", F.coalesce("_o_to", forever))
     by = W.partitionBy(*key).orderBy("_o_from", "_o_to")
     before = F.max("_o_to").over(by.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_o_new", F.when(before >= F.col("_o_from"), 0).otherwise(1))
@@ -82,7 +84,7 @@ def merged_periods(parents: DataFrame, key: list[str], begin: str, end: str) ->
     return rows.groupBy(*key, "_o_run").agg(F.min("_o_from").alias("_o_from"), F.max("_o_to").alias("_o_to")).drop("_o_run")
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time: str, begin: str, end: str, max_bits: int = 1 << 26) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time: str, begin: str, end: str, max_broadcast: int = 64 << 20) -> DataFrame:
     """The rows of ``refs`` that refer to nothing, with the column ``reason``.
 
     ``key`` names the columns of group and key in both tables; the last of them is the key proper."""
@@ -93,20 +95,23 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time:
     refs = refs.where(F.col(key[-1]).isNotNull())
     parents = parents.select(*key, begin, end).dropna(subset=key)
     keys = parents.agg(F.approx_count_distinct(F.xxhash64(*key)).alias("n")).first()["n"]  # one number
-    bits = filter_bits(keys, max_bits)
-    words = bloom_words(parents, key, bits)
-    tested = refs.withColumn("_o_known", may_contain(refs.sparkSession, words, [F.col(k) for k in key], bits))
+    blocks, cols = filter_blocks(keys), [F.col(k) for k in key]
+    bloom = bloom_blocks(parents, key, blocks)
+    bloom = F.broadcast(bloom) if blocks * BLOCK_BITS // 8 <= max_broadcast else bloom
+    hashed = refs.withColumn("_o_at", _block(cols, blocks))
+    tested = hashed.join(bloom, F.col("_o_at") == F.col("_o_block"), "left").withColumn("_o_known", may_contain(F.col("_o_words"), cols)).drop("_o_at", "_o_block", "_o_words")
     for k in key[:-1]:  # the hash skips nulls
         tested = tested.withColumn("_o_known", F.col("_o_known") & F.col(k).isNotNull())
     definite = tested.where(~F.col("_o_known")).drop("_o_known").withColumn("reason", F.lit("missing"))
-    periods, right = merged_periods(parents, key, begin, end), [F.col(f"p.{k}") for k in key]
+    by_key = parents.repartition(*key)  # one exchange for periods and first begins
+    periods, right = merged_periods(by_key, key, begin, end), [F.col(f"p.{k}") for k in key]
     verify = tested.where("_o_known").drop("_o_known").alias("r")
     same = F.lit(True)
     for k, p in zip(key, right, strict=True):
         same = same & (F.col(f"r.{k}") == p)
     open_ = verify.join(periods.alias("p"), same & (F.col("_o_from") <= F.col(f"r.{time}")) & (F.col(f"r.{time}") < F.col("_o_to")), "left_anti")
     # a null begin counts as a row that is not late
-    first = parents.groupBy(*key).agg(F.min(begin).alias("_o_first"), F.max(F.col(begin).isNull()).alias("_o_null"))
+    first = by_key.groupBy(*key).agg(F.min(begin).alias("_o_first"), F.max(F.col(begin).isNull()).alias("_o_null"))
     held = open_.alias("r").join(first.alias("p"), same, "left").select("r.*", F.col("_o_first"), F.col("_o_null"))
     reason = F.when(F.col("_o_null").isNull(), "missing").when(~F.col("_o_null") & (F.col("_o_first") > F.col(time)), "late").otherwise("deleted")
     return definite.unionByName(held.withColumn("reason", reason).drop("_o_first", "_o_null"))

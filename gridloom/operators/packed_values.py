@@ -5,18 +5,26 @@ Every field is cut by a cover of segments. Segments that may stand in a cover ar
 * quoted pairs: a quote, single or double, up to the same quote that closes it; a doubled quote
   inside stands for one, and white space at the ends of the content is dropped;
 * bare runs: longest runs of ASCII letters, digits and underscores outside quotes;
-* known whole values: hits of a multi-pattern (Aho-Corasick) automaton over a dictionary. A hit
-  protects the delimiters inside it. Under ``bare_hits=False`` a hit is a segment only where it
-  fills a quoted pair, since the field's grammar then says that all else outside quotes separates.
+* under ``bare_hits=True`` also known whole values outside quotes, which protects the delimiters
+  inside them. Where the field's grammar says that all else outside quotes separates, they may not.
 
-Dynamic programming from the right end picks the best cover: a quote that can open a pair opens
-it, then most characters within known values, then fewest segments. A quote without partner only
-separates, as does everything that no segment holds. Empty values are no values and take no place.
+Known whole values are found by a multi-pattern (Aho-Corasick) automaton, and dynamic programming
+picks the cover with most characters in known values. Every quote of a well-written field stands in a
+pair: such a field has one admissible cover, whatever is known, and is cut where it is read. Where the
+reading from the left leaves quotes without partner (an apostrophe, a lost quote), any cover with no
+more such quotes is admissible: those compete, and what is known decides; among equals the one that
+opens pairs first from the left wins, which with nothing known is the reading from the left. A quote
+outside pairs only separates, as does everything that no segment holds. Empty values are no values.
+
+The known values are tables of any size and are never collected: the candidates of the open fields
+(texts, once each) meet them in an exact join, and each field's automaton holds those of its own
+candidates that are known, so that what a task holds is bounded by its batch of fields.
 
 Defined results: null field -> no row; blank or delimiter-only field -> no row; repeated values all
 come out, each with its own place; rows that repeat are each cut; very long fields are cut whole
-(time linear in their length but for hits); columns of the input named like the new ones must be
-renamed by the caller (``ValueError``); an empty table gives an empty result.
+(time linear in their length); columns of the input named like the new ones must be renamed by the
+caller (``ValueError``), names beginning with ``_v_`` too; an empty table gives an empty result; a
+null group knows only what is known of null groups and of all.
 """
 
 from __future__ import annotations
@@ -35,10 +43,10 @@ PART = re.compile(r"""[A-Za-z0-9_]+|["']""")
 
 
 def automaton(known: Iterable[str]) -> ahocorasick.Automaton | None:
-    """The multi-pattern automaton of the known values that hold more than a bare run."""
+    """The multi-pattern automaton of the known values, if there is any."""
     made = ahocorasick.Automaton()
     for value in known:
-        if value and not RUN.fullmatch(value):
+        if value:
             made.add_word(value, len(value))
     if not len(made):
         return None
@@ -61,78 +69,167 @@ def partners(text: str) -> dict[int, int]:
     return closes
 
 
-def segment(text: str, hits: ahocorasick.Automaton | None = None, bare_hits: bool = False) -> list[str]:
-    """The values of one field, in the order of the text."""
-    quoted = '"' in text or "'" in text
-    found = [(end + 1 - size, end + 1) for end, size in hits.iter(text)] if hits is not None and (quoted or bare_hits) else []
-    if not quoted and not (found and bare_hits):
-        return RUN.findall(text)  # one cover only
-    # nodes are the places where a segment can begin; each has the segments (end, value, known characters)
-    known: dict[int, list[int]] = {}
-    for start, end in found:
-        known.setdefault(start, []).append(end)
-    starts = sorted({m.start() for m in PART.finditer(text)} | (set(known) if bare_hits else set()))
+def _content(text: str, start: int, end: int) -> str:
+    """The value of the pair of quotes at ``start`` and ``end``."""
+    return text[start + 1 : end].replace(text[start] * 2, text[start]).strip()
+
+
+def _from_the_left(text: str) -> tuple[list[str], list[str], int]:
+    """The reading from the left: its values, those of them that are quoted, and its quotes without partner."""
+    closes, values, quoted, strays, at = partners(text), [], [], 0, 0
+    while m := PART.search(text, at):
+        at = m.end()
+        if (c := m.group()) not in "\"'":
+            values.append(c)
+        elif (end := closes.get(m.start(), -1)) < 0:
+            strays += 1
+        else:
+            at = end + 1
+            if value := _content(text, m.start(), end):
+                values.append(value)
+                quoted.append(value)
+    return values, quoted, strays
+
+
+def candidates(text: str) -> list[str]:
+    """All values that some cover of a field holds."""
+    pairs = (_content(text, a, b) for a, b in partners(text).items())
+    return sorted({*RUN.findall(text), *(v for v in pairs if v)})
+
+
+def _cover(text: str, hits: ahocorasick.Automaton, bare_hits: bool, strays: int) -> list[str]:
+    """The values of the best cover with at most so many quotes outside pairs."""
+    found = {(end + 1 - size, end + 1) for end, size in hits.iter(text)}
+    bare: dict[int, list[int]] = {}
+    for a, b in sorted(found) if bare_hits else ():
+        bare.setdefault(a, []).append(b)
     runs = {m.start(): m.end() for m in RUN.finditer(text)}
+    starts = sorted({m.start() for m in PART.finditer(text)} | set(bare))
     place = {s: i for i, s in enumerate(starts)}
     following, at = [0] * (len(text) + 2), len(starts)
     for i in range(len(text) + 1, -1, -1):  # the first node from each place on
-        if i in place:
-            at = place[i]
-        following[i] = at
+        at = following[i] = place.get(i, at)
     closes = partners(text)
-    best: list[tuple[int, int, int, int]] = [(0, 0, len(starts), 0)] * (len(starts) + 1)
+    # by node and the number of quotes that may still stand alone: known characters, segments (fewer are better among
+    # known values outside quotes), the node and number after it, the segment's end (0: none)
+    none = (-1, 0, 0, 0, 0)
+    best = [[none] * (strays + 1) for _ in starts] + [[(0, 0, 0, 0, 0)] * (strays + 1)]
     for i in range(len(starts) - 1, -1, -1):
-        start, options = starts[i], []
+        start = starts[i]
+        options: list[tuple[int, int, int, int]] = []  # end, known characters, quotes left alone, where the next segment may begin
         if text[start] in "\"'":
             if (end := closes.get(start, -1)) >= 0:
-                options.append((end + 1, end - start - 1 if end in known.get(start + 1, ()) else 0))
+                value = _content(text, start, end)
+                options.append((end + 1, len(value) if value in hits else 0, 0, end + 1))
+            options.append((0, 0, 1, start + 1))
         elif start in runs:
-            options.append((runs[start], 0))
-        if bare_hits:
-            options += [(end, end - start) for end in known.get(start, ()) if end > runs.get(start, 0) and not (RUN.match(text[end - 1]) and RUN.match(text[end : end + 1]))]
-        if not options:
-            best[i] = (best[i + 1][0], best[i + 1][1], i + 1, 0)
-        else:
-            best[i] = max(((best[n := following[end]][0] + gain, best[n][1] - 1, n, end) for end, gain in options), key=lambda x: x[:2])
-    values, i = [], 0
+            options.append((runs[start], runs[start] - start if (start, runs[start]) in found else 0, 0, runs[start]))
+        for end in bare.get(start, ()):
+            if end > runs.get(start, 0) and not (RUN.match(text[end - 1]) and RUN.match(text[end : end + 1])):
+                options.append((end, end - start, 0, end))
+        options = options or [(0, 0, 0, start + 1)]
+        for s in range(strays + 1):
+            top = none
+            for end, gain, alone, after in options:
+                if alone > s or (rest := best[n := following[after]][s - alone])[0] < 0:
+                    continue
+                made = (rest[0] + gain, rest[1] - bool(end) if bare_hits else 0, n, s - alone, end)
+                if made[:2] > top[:2]:
+                    top = made
+            best[i][s] = top
+    values, i, s = [], 0, strays
     while i < len(starts):
-        start, (_, _, n, end) = starts[i], best[i]
+        start, (_, _, n, left, end) = starts[i], best[i][s]
         if end:
-            quote = text[start] if text[start] in "\"'" else ""
-            value = text[start + 1 : end - 1].replace(quote * 2, quote).strip() if quote else text[start:end]
-            if value:
+            pair = text[start] in "\"'" and closes.get(start, -1) == end - 1
+            if value := _content(text, start, end - 1) if pair else text[start:end]:
                 values.append(value)
-        i = n
+        i, s = n, left
     return values
 
 
-def known_values(df: DataFrame, column: str, max_values: int = 100_000) -> list[str]:
-    """The distinct known values that hold delimiters (others need no protection), for the automaton.
+def segment(text: str, hits: ahocorasick.Automaton | None = None, bare_hits: bool = False) -> list[str]:
+    """The values of one field, in the order of the text."""
+    values, strays = (RUN.findall(text), 0) if '"' not in text and "'" not in text else _from_the_left(text)[::2]
+    if hits is None or not (strays or bare_hits):
+        return values  # one cover only
+    return _cover(text, hits, bare_hits, strays)
+
+
+def quoted_values(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``value``: what stands in quotes in fields of which every quote has a partner."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read_ = (_from_the_left(x) for x in batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([q if not s else [] for _, q, s in read_], pa.list_(pa.string()))], names=[*keep, "_v_list"])
+
+    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("_v_list", T.ArrayType(T.StringType()))])
+    return df.where(F.col(column).rlike("[\"']")).select(*keep, F.col(column).cast("string")).mapInArrow(read, schema).select(*keep, F.explode("_v_list").alias("value"))
 
-    They are sent to every task, so a count proves their number first; beyond ``max_values`` an
-    error asks for a narrower dictionary instead of cutting it silently."""
-    wanted = df.select(F.col(column).alias("value")).where("value is not null and not value rlike '^[A-Za-z0-9_]*$'").distinct()
-    rows = wanted.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} known values with delimiters; use a narrower dictionary")
-    return [r[0] for r in rows]
 
+def _covers(open_: DataFrame, known: list[DataFrame], group: str | None) -> DataFrame:
+    """(group, text, values) of each open text: its candidates meet the known values in an exact join."""
+    by = ["_v_group", "_v_open"]
+    texts = open_.select(*by).distinct()
 
-def split_packed(df: DataFrame, column: str, keys: list[str], known: Iterable[str] = (), bare_hits: bool = False, pos: str = "pos", value: str = "value") -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([candidates(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=[*by, "_v_list"])
+
+    kind = texts.schema["_v_group"].dataType.simpleString()
+    wanted = texts.mapInArrow(each, f"_v_group {kind}, _v_open string, _v_list array<string>").select(*by, F.explode("_v_list").alias("value"))
+    held = None
+    for values in known:
+        same = wanted["value"] == values["value"]
+        if group in values.columns:
+            same = same & wanted["_v_group"].eqNullSafe(values[group])
+        part = wanted.join(values, same, "left_semi")
+        held = part if held is None else held.unionByName(part)
+    lists = held.groupBy(*by).agg(F.collect_set("value").alias("_v_list"))  # candidates of one field
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [segment(x, automaton(k)) for x, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cut, pa.list_(pa.string()))], names=[*by, "_v_values"])
+
+    return lists.mapInArrow(cover, f"_v_group {kind}, _v_open string, _v_values array<string>")
+
+
+def split_packed(df: DataFrame, column: str, keys: list[str], known: list[DataFrame] = [], group: str | None = None, pos: str = "pos", value: str = "value") -> DataFrame:  # noqa: B006
     """One row per value of ``column``: ``keys``, ``pos`` (from 1) and ``value``.
 
-    No shuffle: the rows are cut where they are read, in Arrow batches, and exploded in the JVM."""
-    if {pos, value} & set(keys) or len(set(keys)) < len(keys):
-        raise ValueError("the names of keys, position and value must differ")
-    known = list(known)
-    spark, schema = df.sparkSession, T.StructType([*(df.schema[k] for k in keys), T.StructField("_values", T.ArrayType(T.StringType()))])
-    shipped = spark.sparkContext.broadcast(known)
+    ``known``: tables with a column ``value`` of known whole values; one that has the column ``group`` too, by its name
+    in ``df``, knows them for that group only. Well-written fields are cut where they are read, in Arrow batches, and
+    exploded in the JVM: no shuffle. Only open fields are shuffled; whether there are any is asked first."""
+    if {pos, value} & set(keys) or len(set(keys)) < len(keys) or any(c.startswith("_v_") for c in df.columns):
+        raise ValueError("the names of keys, position and value must differ and not begin with _v_")
+    made = [T.StructField("_v_values", T.ArrayType(T.StringType())), T.StructField("_v_open", T.StringType())]
+    grouped = F.col(group) if group else F.lit(None).cast("string")
+    carried = T.StructField("_v_group", df.schema[group].dataType if group else T.StringType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = automaton(shipped.value)
         for batch in batches:
-            values = [segment(x, hits, bare_hits) if x else [] for x in batch.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(values, pa.list_(pa.string()))], names=[*keys, "_values"])
-
-    cells = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("string").alias("_text")).mapInArrow(cut, schema)
-    return cells.select(*keys, F.posexplode("_values").alias(pos, value)).withColumn(pos, (F.col(pos) + 1).cast("int"))
+            names = batch.schema.names[:-1]
+            values: list[list[str] | None] = []
+            opens: list[str | None] = []
+            for x in batch.column(batch.num_columns - 1).to_pylist():
+                read, strays = (RUN.findall(x), 0) if '"' not in x and "'" not in x else _from_the_left(x)[::2]
+                values.append(read)
+                opens.append(x if strays else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.string())), pa.array(opens, pa.string())], names=[*names, "_v_values", "_v_open"])
+
+    cells = df.where(F.col(column).isNotNull())
+    text = F.col(column).cast("string")
+    schema = T.StructType([carried, *made])
+    if known and cells.where(F.col(column).rlike("[\"']")).select(grouped.alias("_v_group"), text).mapInArrow(cut, schema).where("_v_open is not null").limit(1).count():
+        read = cells.select(*keys, grouped.alias("_v_group"), text).mapInArrow(cut, T.StructType([*(df.schema[k] for k in keys), carried, *made]))
+        open_ = read.where("_v_open is not null")
+        covers = _covers(open_, known, group).select(F.col("_v_group").alias("_v_g"), F.col("_v_open").alias("_v_o"), F.col("_v_values").alias("_v_best"))
+        same = (open_["_v_open"] == covers["_v_o"]) & open_["_v_group"].eqNullSafe(covers["_v_g"])
+        # a text of which nothing is known stays as read from the left
+        settled = open_.join(covers, same, "left").select(*keys, F.coalesce("_v_best", "_v_values").alias("_v_values"))
+        cells = read.where("_v_open is null").select(*keys, "_v_values").unionByName(settled)
+    else:
+        cells = cells.select(*keys, text).mapInArrow(cut, T.StructType([*(df.schema[k] for k in keys), *made]))
+    return cells.select(*keys, F.posexplode("_v_values").alias(pos, value)).withColumn(pos, (F.col(pos) + 1).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.names import clean_name
 from gridloom.operators.orphan_references import orphan_references
-from gridloom.operators.packed_values import known_values, split_packed
+from gridloom.operators.packed_values import quoted_values, split_packed
 from gridloom.operators.record_errors import bad_records, loaded_records
 from gridloom.session import table
 
@@ -21,9 +21,11 @@ def p3_loaded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_values(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
-    """The values packed in paths.inst_ids."""
-    known = known_values(table(spark, sf, "instances"), "inst_name")
-    return split_packed(table(spark, sf, "paths"), "inst_ids", keys, known, value="inst_value")
+    """The values packed in paths.inst_ids. Known values: ids and names of the instances of the same design, and what
+    stands in quotes anywhere."""
+    paths = table(spark, sf, "paths").withColumn("design", clean_name("design_id"))
+    held = table(spark, sf, "instances").select(clean_name("design_id").alias("design"), F.explode(F.array(F.col("inst_id").cast("string"), "inst_name")).alias("value"))
+    return split_packed(paths, "inst_ids", keys, [held, quoted_values(paths, "inst_ids", [])], "design", value="inst_value")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
