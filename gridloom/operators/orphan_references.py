@@ -52,36 +52,43 @@ def _second(key: list[Column]) -> Column:
 
 
 def bloom_blocks(parents: DataFrame, key: list[str], blocks: int) -> DataFrame:
-    """(_o_block, _o_words): the blocks of the filter that hold a key, as arrays of 64-bit words. Two numbers a parent
-    are shuffled, once."""
+    """(_o_block, _o_words): the blocks of the filter as arrays of 64-bit words, blocks without key too. Two numbers a
+    parent are shuffled, once."""
     cols = [F.col(k) for k in key]
-    hashed = parents.select(_block(cols, blocks).alias("_o_block"), _second(cols).alias("_o_hash")).repartition("_o_block")
-    at = hashed.select("_o_block", F.explode(F.array(*(_bit(F.col("_o_hash"), i) for i in range(HASHES)))).alias("p"))
-    words = at.groupBy("_o_block", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
-    held = words.groupBy("_o_block").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))  # BLOCK_BITS / 64 entries at most
-    return held.select("_o_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("_o_words"))
+    hashed = parents.select(_block(cols, blocks).alias("_o_block"), _second(cols).alias("_o_hash"))
+    every = parents.sparkSession.range(blocks).select(F.col("id").cast("int").alias("_o_block"), F.lit(None).cast("bigint").alias("_o_hash"))
+    rows = hashed.unionByName(every).repartition("_o_block")
+    # (word, bit set in it); a row without hash gives all words of its block, without bits
+    all_words = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: -1 - w)
+    bits = F.when(F.col("_o_hash").isNull(), all_words).otherwise(F.array(*(_bit(F.col("_o_hash"), i) for i in range(HASHES))))
+    at = rows.select("_o_block", F.explode(bits).alias("p"))
+    word = F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.shiftright("p", 6))
+    bit = F.when(F.col("p") < 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int")))
+    words = at.groupBy("_o_block", word.alias("w")).agg(F.bit_or(bit).alias("b"))
+    held = words.groupBy("_o_block").agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("m"))  # BLOCK_BITS / 64 entries
+    return held.select("_o_block", F.transform("m", lambda x: x["b"]).alias("_o_words"))
 
 
 def may_contain(words: Column, key: list[Column]) -> Column:
     """Whether a block holds the key; False is certain."""
-    held, hashed = words.isNotNull(), _second(key)
+    held, hashed = F.lit(True), _second(key)
     for i in range(HASHES):
         bit = _bit(hashed, i)
-        word = F.get(words, F.shiftright(bit, 6))
-        held = held & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        held = held & (F.call_function("shiftright", F.get(words, F.shiftright(bit, 6)), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return held
 
 
 def merged_periods(parents: DataFrame, key: list[str], begin: str, end: str) -> DataFrame:
-    """Disjoint periods of validity of each key, from rows that may overlap and repeat."""
-    rows = parents.select(*key, F.col(begin).alias("_o_from"), F.col(end).alias("_o_to")).where("_o_from is not null and (_o_to is null or _o_to > _o_from)")
+    """Disjoint periods of validity of each key, from rows that may overlap and repeat. No row is left out before the
+    last step, so that an exchange of the parents can serve others too."""
     forever = F.lit("9999-12-31 23:59:59.999999").cast(parents.schema[begin].dataType)
-    rows = rows.withColumn("_o_to", F.coalesce("_o_to", forever))
+    holds = F.coalesce(F.col(end), forever) > F.col(begin)
+    rows = parents.select(*key, F.when(holds, F.col(begin)).alias("_o_from"), F.when(holds, F.coalesce(F.col(end), forever)).alias("_o_to"))
     by = W.partitionBy(*key).orderBy("_o_from", "_o_to")
     before = F.max("_o_to").over(by.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_o_new", F.when(before >= F.col("_o_from"), 0).otherwise(1))
     rows = rows.withColumn("_o_run", F.sum("_o_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*key, "_o_run").agg(F.min("_o_from").alias("_o_from"), F.max("_o_to").alias("_o_to")).drop("_o_run")
+    return rows.groupBy(*key, "_o_run").agg(F.min("_o_from").alias("_o_from"), F.max("_o_to").alias("_o_to")).drop("_o_run").where("_o_from is not null")
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time: str, begin: str, end: str, max_broadcast: int = 64 << 20) -> DataFrame:
@@ -99,7 +106,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time:
     bloom = bloom_blocks(parents, key, blocks)
     bloom = F.broadcast(bloom) if blocks * BLOCK_BITS // 8 <= max_broadcast else bloom
     hashed = refs.withColumn("_o_at", _block(cols, blocks))
-    tested = hashed.join(bloom, F.col("_o_at") == F.col("_o_block"), "left").withColumn("_o_known", may_contain(F.col("_o_words"), cols)).drop("_o_at", "_o_block", "_o_words")
+    tested = hashed.join(bloom, F.col("_o_at") == F.col("_o_block")).withColumn("_o_known", may_contain(F.col("_o_words"), cols)).drop("_o_at", "_o_block", "_o_words")
     for k in key[:-1]:  # the hash skips nulls
         tested = tested.withColumn("_o_known", F.col("_o_known") & F.col(k).isNotNull())
     definite = tested.where(~F.col("_o_known")).drop("_o_known").withColumn("reason", F.lit("missing"))
@@ -109,9 +116,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: list[str], time:
     same = F.lit(True)
     for k, p in zip(key, right, strict=True):
         same = same & (F.col(f"r.{k}") == p)
-    open_ = verify.join(periods.alias("p"), same & (F.col("_o_from") <= F.col(f"r.{time}")) & (F.col(f"r.{time}") < F.col("_o_to")), "left_anti")
-    # a null begin counts as a row that is not late
-    first = by_key.groupBy(*key).agg(F.min(begin).alias("_o_first"), F.max(F.col(begin).isNull()).alias("_o_null"))
-    held = open_.alias("r").join(first.alias("p"), same, "left").select("r.*", F.col("_o_first"), F.col("_o_null"))
-    reason = F.when(F.col("_o_null").isNull(), "missing").when(~F.col("_o_null") & (F.col("_o_first") > F.col(time)), "late").otherwise("deleted")
-    return definite.unionByName(held.withColumn("reason", reason).drop("_o_first", "_o_null"))
+    # an outer join and a test for null: an anti join would be moved below the filter
+    during = same & (F.col("_o_from") <= F.col(f"r.{time}")) & (F.col(f"r.{time}") < F.col("_o_to"))
+    open_ = verify.join(periods.alias("p"), during, "left").where("_o_to is null").select("r.*")
+    # the first begin of each key; its end only keeps the exchange the same. A null begin counts as a row that is not late
+    start = F.min(F.when(F.col(begin).isNotNull(), F.struct(F.col(begin).alias("at"), F.col(end).alias("to"))))
+    first = by_key.groupBy(*key).agg(start.alias("_o_start"), F.max(F.col(begin).isNull()).alias("_o_null"))
+    held = open_.alias("r").join(first.alias("p"), same, "left").select("r.*", "_o_start", "_o_null")
+    reason = F.when(F.col("_o_null").isNull(), "missing").when(~F.col("_o_null") & (F.col("_o_start.at") > F.col(time)), "late").otherwise("deleted")
+    return definite.unionByName(held.withColumn("reason", reason).drop("_o_start", "_o_null"))
