@@ -1,19 +1,22 @@
 """Train, calibration and holdout partitions that never separate related records.
 
-Entities are related if a chain of shared source keys joins them. Their components are found by
-alternating large and small stars over an edge table that is written to the shared folder in each
-round; a key of many entities contributes a star around its least entity, never all pairs. Nothing of
-the graph reaches the driver but a count and a checksum a round.
-
-The partition is a min-cost flow. Components of identical size and label profile (rows over budget,
-rows within, rows without label) form a bundle. Bundles supply rows; each row flows to a (profile class,
-partition) node and on to its partition, where the quota is free of cost and what exceeds it costs by
-row. A component larger than a quota has no arc to that partition. The flow is rounded to whole
-components, the rest going to the largest deficits, largest components first. Within a bundle the
+Entities are related if a chain of shared source keys joins them. Names are coded as numbers in their order,
+once; components are found by alternating large and small stars over an edge table of numbers that is written to
+the shared folder in each round; a key of many entities contributes a star around its least entity, never all
+pairs. Where rows are joined with what was summed up of their key, keys of more than a thousandth of all rows
+(a few thousand at most, by arithmetic) are joined by broadcast, so that a hub is no task of its own. Nothing of
+the graph reaches the driver but counts and a checksum a round.
+
+The partition is a min-cost flow. Components of the same size and label profile (none labelled; none over
+budget; quarter of the share over budget) form a bundle. Bundles supply rows; each row flows to a (profile,
+partition) node and on to its partition, where what exceeds the profile's share costs 1 a row and what exceeds
+the partition's quota 10. A component larger than a quota has no arc to that partition. The flow is an exact one:
+successive shortest paths over residual arcs in both directions, from one bundle after the other. It is rounded to
+whole components, the rest going to the largest deficits, largest components first. Within a bundle the
 components are ordered by a seeded hash and dealt in that order.
 
-The flow sees one row per bundle, ``max_bundles`` at most: where there are more, counts are coarsened
-(fewer significant bits) until they fit, which only makes the flow less exact; no component is left out.
+The flow sees one row a bundle. Sizes that differ add up to the rows, so that of N rows there are at most
+sqrt(12 N) bundles of the six profiles: some 110,000 of a thousand million rows. No count is coarsened.
 
 Defined results: an entity of null name is related to nothing; its rows are dealt one by one, equal rows
 together. Keys that are null, blank or among ``ignore`` link nothing, nor does a null kind. Repeated
@@ -29,7 +32,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,48 +42,78 @@ from gridloom.session import broadcast_if_small, stage, unstage
 SPLITS = {"train": 0.8, "calibration": 0.1, "holdout": 0.1}
 
 
-def link_edges(links: DataFrame, entity: str, kind: str, key: str, ignore: tuple[str, ...] = ("unknown",)) -> DataFrame:
+#: Keys of fewer rows than this are never taken for hubs.
+HUB = 100_000
+
+
+def _beside(rows: DataFrame, by: list[str], summed: DataFrame, total: int, hub: int = HUB) -> DataFrame:
+    """``rows`` joined with the one row of ``summed`` of their key, which has the number ``n`` of rows of the key.
+
+    Of ``total`` rows at most a thousand keys (and their like in repeated counts) have more than a thousandth: these are
+    broadcast, and only rows of other keys are shuffled by key."""
+    if total <= hub:
+        return rows.join(summed, by)
+    most = max(hub, total // 1000)
+    heavy = F.broadcast(summed.where(F.col("n") > most))
+    others = rows.join(heavy.select(*by), by, "left_anti").join(summed.where(F.col("n") <= most), by)
+    return rows.join(heavy, by).unionByName(others)
+
+
+def link_edges(links: DataFrame, entity: str, kind: str, key: str, ignore: tuple[str, ...] = ("unknown",), hub: int = HUB) -> DataFrame:
     """Edges (u, v), u > v, of which each source key makes a star around its least entity."""
     usable = links.where(F.col(entity).isNotNull() & F.col(kind).isNotNull() & (trimmed(key) != "") & ~F.col(key).isin(*ignore))
     rows = usable.select(F.col(entity).alias("u"), F.col(kind).alias("kind"), F.col(key).alias("key")).distinct()
-    least = rows.groupBy("kind", "key").agg(F.min("u").alias("v"))
-    return rows.join(least, ["kind", "key"]).where("u > v").select("u", "v").distinct()
+    least = rows.groupBy("kind", "key").agg(F.min("u").alias("v"), F.count("*").alias("n"))
+    return _beside(rows, ["kind", "key"], least, links.count(), hub).where("u > v").select("u", "v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _beside(both.where("v > u"), ["u"], least, 2 * total, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    inner = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int, hub: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    inner = _beside(edges, ["u"], least, total, hub).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(entity, component) of all entities on edges; the component's label is its least entity."""
-    now, before = stage(edges, "edges"), None
+    named = stage(edges, "edges")
+    ends = named.select(F.col("u").alias("name")).unionByName(named.select(F.col("v").alias("name"))).distinct()
+    # numbers in the order of the names: rows are sorted over all partitions, and ids grow with partition and row
+    names = stage(ends.sort("name").withColumn("id", F.monotonically_increasing_id()), "names")
+    start = named.join(names.withColumnsRenamed({"name": "u", "id": "a"}), "u").join(names.withColumnsRenamed({"name": "v", "id": "b"}), "v")
+    now, before = stage(start.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges"), None
+    unstage(named)
     while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == before or not mark["n"]:
             break
         before = mark
-        after = stage(_small_star(_large_star(now)), "edges")
+        large = stage(_large_star(now, mark["n"], hub), "edges")
+        after = stage(_small_star(large, mark["n"], hub), "edges")
         unstage(now)
+        unstage(large)
         now = after
-    roots = now.select(F.col("v").alias("entity")).distinct()
-    return now.select(F.col("u").alias("entity"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("entity")))
+    roots = now.select(F.col("v").alias("u"), "v").distinct()
+    label = names.withColumnsRenamed({"name": "component", "id": "v"})
+    return now.unionByName(roots).join(names.withColumnsRenamed({"name": "entity", "id": "u"}), "u").join(label, "v").select("entity", "component")
 
 
-def related_pairs(members: DataFrame, present: DataFrame, salts: int = 16) -> DataFrame:
-    """All pairs (a < b) of present entities of one component. The pairs are the result itself; a large
-    component is spread over ``salts`` tasks by its left entity."""
-    held = members.join(present.select("entity").distinct(), "entity", "left_semi")
-    left = held.select(F.col("entity").alias("a"), "component", F.pmod(F.xxhash64("entity"), F.lit(salts)).alias("salt"))
-    right = held.select(F.col("entity").alias("b"), "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
-    return left.join(right, ["component", "salt"]).where("a < b").select("a", "b", "component")
+def related_pairs(members: DataFrame, present: DataFrame, block: int = 1000, hub: int = HUB) -> DataFrame:
+    """All pairs (a < b) of present entities of one component. The pairs are the result itself; a large component is
+    parted into blocks of about ``block`` entities, and each pair of blocks is a task's share of its own."""
+    held = stage(members.join(present.select("entity").distinct(), "entity", "left_semi"), "members")
+    sizes = held.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    parts = _beside(held, ["component"], sizes, held.count(), hub).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    parts = parts.select("component", "entity", "blocks", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("own"))
+    left = parts.select("component", F.col("entity").alias("x"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = parts.select("component", F.col("entity").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["component", "i", "j"]).where("i < j or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "component")
 
 
 class Bundle(NamedTuple):
@@ -89,56 +122,109 @@ class Bundle(NamedTuple):
     profile: int  # class of the label profile
 
 
+EPS = 1e-6
+
+
+class _Network:
+    """The residual network of bundles, (class, split) nodes and splits. A node of the class c and the split j is
+    c * k + j, the split j itself is n * k + j with n classes."""
+
+    def __init__(self, bundles: list[Bundle], quotas: np.ndarray) -> None:
+        self.k = k = len(quotas)
+        size, supply = np.array([b.size for b in bundles]), np.array([b.size * b.count for b in bundles])
+        room = np.floor(quotas[None, :] / np.maximum(size[:, None], 1)) * size[:, None]
+        # what no quota holds goes to the largest
+        room[:, int(np.argmax(quotas))] = np.where(room.sum(axis=1) < supply, np.inf, room[:, int(np.argmax(quotas))])
+        classes = sorted({b.profile for b in bundles})
+        self.of = [classes.index(b.profile) for b in bundles]
+        self.n = len(classes)
+        self.supply, self.room, self.sent = supply.tolist(), room.tolist(), [[0.0] * k for _ in bundles]
+        share = np.zeros((self.n, k))
+        for c, rows in zip(self.of, self.supply, strict=True):
+            share[c] += rows * quotas / quotas.sum()
+        self.share, self.used = share.ravel().tolist(), [0.0] * (self.n * k)
+        self.quota, self.full = quotas.tolist(), [0.0] * k
+        # bundles that can pass rows from one split to another, of each class
+        self.movers: list[dict[tuple[int, int], dict[int, None]]] = [{(j, m): {} for j in range(k) for m in range(k) if j != m} for _ in range(self.n)]
+
+    def _arcs(self):
+        """All residual arcs between nodes: from, to, cost, room, bundle that moves (-1: none)."""
+        k, n = self.k, self.n
+        for c in range(n):
+            for j in range(k):
+                at, split = c * k + j, n * k + j
+                free = self.share[at] - self.used[at]
+                yield at, split, *((0.0, free) if free > EPS else (1.0, np.inf)), -1
+                if self.used[at] > EPS:
+                    yield split, at, *((-1.0, -free) if -free > EPS else (0.0, self.used[at])), -1
+            for (j, m), able in self.movers[c].items():
+                if able:
+                    i = next(iter(able))
+                    yield c * k + j, c * k + m, 0.0, min(self.sent[i][j], self.room[i][m] - self.sent[i][m]), i
+
+    def _add(self, i: int, j: int, rows: float) -> None:
+        self.sent[i][j] += rows
+        sent, room = self.sent[i], self.room[i]
+        for (x, y), able in self.movers[self.of[i]].items():
+            if sent[x] > EPS and room[y] - sent[y] > EPS:
+                able[i] = None
+            else:
+                able.pop(i, None)
+
+    def push(self, i: int) -> float:
+        """Sends rows of a bundle along a shortest path; how many."""
+        k, n, c = self.k, self.n, self.of[i]
+        cost = [np.inf] * ((n + 1) * k)
+        by: list[tuple | None] = [None] * len(cost)
+        for j in range(k):
+            if self.room[i][j] - self.sent[i][j] > EPS:
+                cost[c * k + j] = 0.0
+        arcs, changed = list(self._arcs()), True
+        while changed:
+            changed = False
+            for arc in arcs:
+                if cost[arc[0]] + arc[2] < cost[arc[1]] - 1e-12:
+                    cost[arc[1]], by[arc[1]], changed = cost[arc[0]] + arc[2], arc, True
+        over = [0.0 if self.quota[j] - self.full[j] > EPS else 10.0 for j in range(k)]
+        j = min(range(k), key=lambda j: cost[n * k + j] + over[j])
+        if cost[n * k + j] == np.inf:  # no arc with room is left
+            self.room[i][max(range(k), key=self.quota.__getitem__)] = np.inf
+            self._add(i, 0, 0.0)
+            return 0.0
+        path, at = [], n * k + j
+        while by[at]:
+            path.append(by[at])
+            at = by[at][0]
+        first = at - c * k
+        rows = min([self.supply[i], self.room[i][first] - self.sent[i][first], np.inf if over[j] else self.quota[j] - self.full[j], *(arc[3] for arc in path)])
+        for a, b, _, _, mover in path:
+            if mover >= 0:
+                self._add(mover, a % k, -rows)
+                self._add(mover, b % k, rows)
+            elif a < n * k:
+                self.used[a] += rows
+            else:
+                self.used[b] -= rows
+        self._add(i, first, rows)
+        self.full[j] += rows
+        self.supply[i] -= rows
+        return rows
+
+
 def flow(bundles: list[Bundle], quotas: np.ndarray) -> np.ndarray:
-    """Rows of each bundle to each split by successive shortest paths.
-
-    Arcs: bundle -> (class, split), as far as whole components fit the quota; (class, split) -> split,
-    free up to the class's share, 1 a row beyond; split -> sink, free up to the quota, 10 a row beyond.
-    Moves back over a bundle that can change its split are arcs between (class, split) nodes."""
-    total, k = float(quotas.sum()), len(quotas)
-    size = np.array([b.size for b in bundles])
-    supply = np.array([b.size * b.count for b in bundles])
-    profile = np.array([b.profile for b in bundles])
-    room = np.floor(quotas[None, :] / np.maximum(size[:, None], 1)) * size[:, None]
-    room[np.ix_(room.max(axis=1) <= 0, [int(np.argmax(quotas))])] = np.inf  # larger than every quota
-    room = np.where((room.sum(axis=1) < supply)[:, None] & (np.arange(k) == np.argmax(quotas)), np.inf, room)
-    sent = np.zeros((len(bundles), k))
-    share = {int(c): supply[profile == c].sum() * quotas / total for c in set(profile.tolist())}
-    class_sent, split_sent = {c: np.zeros(k) for c in share}, np.zeros(k)
-    eps = 1e-6
-    for i in sorted(range(len(bundles)), key=lambda i: (-size[i], i)):
-        left, c = supply[i], int(profile[i])
-        own = np.flatnonzero(profile == c)
-        while left > eps:
-            # cost of a row that enters node j of the class, and how many rows that cost holds for
-            over_class, over_split = class_sent[c] >= share[c] - eps, split_sent >= quotas - eps
-            cost = over_class * 1.0 + over_split * 10.0
-            hold = np.minimum(np.where(over_class, np.inf, share[c] - class_sent[c]), np.where(over_split, np.inf, quotas - split_sent))
-            direct = np.where(room[i] - sent[i] > eps, cost, np.inf)
-            # over another bundle of the class: it moves from split j to split m, this one takes its place in j
-            best = (float(direct.min()), int(direct.argmin()), None, None)
-            if best[0] > 0:
-                for j in np.flatnonzero(room[i] - sent[i] > eps):
-                    for m in np.flatnonzero(cost < best[0]):
-                        able = np.minimum(sent[own, j], room[own, m] - sent[own, m])
-                        able[own == i] = 0
-                        if m != j and able.max(initial=0) > eps:
-                            best = (float(cost[m]), int(j), int(m), int(own[able.argmax()]))
-            price, j, m, via = best
-            if not np.isfinite(price):  # no arc with room is left
-                j = int(np.argmax(quotas))
-                room[i, j] = np.inf
-                continue
-            end = j if m is None else m
-            amount = min(left, room[i, j] - sent[i, j], hold[end], np.inf if via is None else min(sent[via, j], room[via, m] - sent[via, m]))
-            sent[i, j] += amount
-            if via is not None:
-                sent[via, j] -= amount
-                sent[via, m] += amount
-            class_sent[c][end] += amount
-            split_sent[end] += amount
-            left -= amount
-    return sent
+    """Rows of each bundle to each split at the least cost, by successive shortest paths.
+
+    Arcs: bundle -> (class, split), as far as whole components fit the quota; (class, split) -> split, free up to the
+    class's share, 1 a row beyond; split -> sink, free up to the quota, 10 a row beyond. Each bundle's rows go along
+    shortest paths of the residual network, in which what was sent can be taken back: so the flow stays one of least
+    cost for the bundles so far, whatever their order."""
+    if not bundles:
+        return np.zeros((0, len(quotas)))
+    net = _Network(bundles, quotas)
+    for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i].size, i)):
+        while net.supply[i] > EPS:
+            net.push(i)
+    return np.array(net.sent)
 
 
 def rounded(bundles: list[Bundle], sent: np.ndarray, quotas: np.ndarray) -> np.ndarray:
@@ -155,41 +241,26 @@ def rounded(bundles: list[Bundle], sent: np.ndarray, quotas: np.ndarray) -> np.n
     return whole
 
 
-def _bits(count: Column, bits: int | None) -> Column:
-    """A count with its leading ``bits`` binary digits."""
-    if bits is None:
-        return count
-    scale = F.greatest(F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int") - F.lit(bits - 1), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", count.cast("bigint"), scale), scale)
-
-
-def split_components(sizes: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 0, max_bundles: int = 2_000) -> DataFrame:
+def split_components(sizes: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 0) -> DataFrame:
     """(component, split) from (component, n_over, n_within, n_unlabelled)."""
     spark = sizes.sparkSession
-    counts = ["n_over", "n_within", "n_unlabelled"]
-    for bits in (None, 8, 5, 4, 3, 2, 1, 0):
-        profile = [_bits(F.col(c), bits) for c in counts] if bits != 0 else [_bits(F.col("n_over") + F.col("n_within") + F.col("n_unlabelled"), 1), F.lit(0), F.lit(0)]
-        marked = sizes.select("component", *(p.cast("bigint").alias(f"p{i}") for i, p in enumerate(profile)), *counts)
-        grouped = marked.groupBy("p0", "p1", "p2").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in counts))
-        most = max(max_bundles, 64)  # one binary digit of the size leaves no more than 64
-        got = grouped.orderBy("p0", "p1", "p2").limit(most + 1).collect()  # bounded
-        if len(got) <= most:
-            break
-    bundles = []
-    for r in got:
-        labelled = r["n_over"] + r["n_within"]
-        part = -1 if not labelled else 0 if not r["n_over"] else 1 + int(4 * (r["n_over"] - 1) / labelled)
-        bundles.append(Bundle((labelled + r["n_unlabelled"]) / r["n"], r["n"], part))
+    labelled = F.col("n_over") + F.col("n_within")
+    quarter = 1 + F.floor(4 * (F.col("n_over") - 1) / labelled)
+    part = F.when(labelled == 0, -1).when(F.col("n_over") == 0, 0).otherwise(quarter)
+    b = ["size", "profile"]
+    marked = sizes.select("component", (labelled + F.col("n_unlabelled")).alias("size"), part.cast("int").alias("profile"))
+    got = marked.groupBy(*b).agg(F.count("*").alias("n")).orderBy(*b).collect()  # sqrt(12 N) rows at most
+    bundles = [Bundle(float(r["size"]), r["n"], r["profile"]) for r in got]
     quotas = np.array(list(splits.values())) * sum(b.size * b.count for b in bundles)
     dealt = rounded(bundles, flow(bundles, quotas), quotas) if bundles else np.zeros((0, len(splits)), int)
     ends = np.cumsum(dealt, axis=1).tolist()
-    table = spark.createDataFrame([(r["p0"], r["p1"], r["p2"], e) for r, e in zip(got, ends, strict=True)], "p0 long, p1 long, p2 long, ends array<long>")
+    table = spark.createDataFrame([(r["size"], r["profile"], e) for r, e in zip(got, ends, strict=True)], "size long, profile int, ends array<long>")
+    table = F.broadcast(table) if len(got) <= 200_000 else table
     # order within a bundle by hash: offsets of 256 hash ranges, then a rank within each range
-    keyed = marked.select("component", "p0", "p1", "p2", F.xxhash64("component", F.lit(seed)).alias("h")).withColumn("part", F.shiftrightunsigned("h", 56).cast("int"))
-    b = ["p0", "p1", "p2"]
+    keyed = marked.select("component", *b, F.xxhash64("component", F.lit(seed)).alias("h")).withColumn("part", F.shiftrightunsigned("h", 56).cast("int"))
     before = keyed.groupBy(*b, "part").agg(F.count("*").alias("n")).withColumn("skip", F.sum("n").over(W.partitionBy(*b).orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy(*b, "part").orderBy("h", "component"))).join(before.drop("n"), [*b, "part"])
-    placed = ranked.join(F.broadcast(table), b).withColumn("place", F.col("skip") + F.col("r"))
+    placed = ranked.join(table, b).withColumn("place", F.col("skip") + F.col("r"))
     name = F.element_at(F.array(*map(F.lit, splits)), F.size(F.filter("ends", lambda e: e < F.col("place"))) + 1)
     return placed.select("component", name.alias("split"))
 
@@ -202,7 +273,7 @@ class Source(NamedTuple):
     label: str | None = None
 
 
-def assign_splits(sources: dict[str, Source], edges: DataFrame, budget: float, splits: dict[str, float] = SPLITS, seed: int = 0, max_bundles: int = 2_000) -> dict[str, DataFrame]:
+def assign_splits(sources: dict[str, Source], edges: DataFrame, budget: float, splits: dict[str, float] = SPLITS, seed: int = 0) -> dict[str, DataFrame]:
     """Each table with the columns ``component`` and ``split``."""
     marked, counted = {}, []
     for name, (df, entity, label) in sources.items():
@@ -218,6 +289,6 @@ def assign_splits(sources: dict[str, Source], edges: DataFrame, budget: float, s
     member = components(edges)
     joined = stage(per_entity.join(member, "entity", "left").withColumn("component", F.coalesce("component", "entity")), "entities")
     sizes = joined.groupBy("component").agg(*(F.sum(c).alias(c) for c in ("n_over", "n_within", "n_unlabelled")))
-    dealt = joined.select("entity", "component").distinct().join(split_components(sizes, splits, seed, max_bundles), "component")
+    dealt = joined.select("entity", "component").distinct().join(split_components(sizes, splits, seed), "component")
     ready = broadcast_if_small(stage(dealt, "splits"), 200_000)
     return {name: rows.join(ready, "entity").drop("entity") for name, rows in marked.items()}

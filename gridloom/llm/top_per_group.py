@@ -4,12 +4,13 @@ Items are named by their tie columns (numbers); an item may have several rows an
 greatest valid one. Order: score descending, then the tie columns ascending: a total order of items,
 so that the result depends neither on the order nor on the number of rows.
 
-Plan: (1) each partition finds, per group, its own N-th best item in that order. At least N items are
-as good, so this is a lower bound of the group's N-th best. (2) The greatest bound of each group wins;
-the bounds that spare most rows, ``max_bounds`` at most, are broadcast. Leaving out a bound only lets
-more rows pass, so the limit changes no result. (3) Rows below their bound are dropped before anything
-is shuffled; (4) what survives, a few items per partition and group however large the group, is reduced
-to one row per item and ranked.
+Plan: (1) each partition keeps, per group, its own N best items in that order; all its other rows lie below
+its N-th best and are dropped where they are read. At least N items are as good as that one, so that (2) it is a
+lower bound of the group's N-th best. What is kept, at most N items per group and partition however large the
+group, is shuffled by group, once; (3) the greatest bound of each group, whatever their number, is joined
+to its rows by a window over that partitioning, and rows below it are dropped; (4) survivors are reduced to one row
+per item and ranked. A partition of very many groups hands on what it holds once ``most_groups`` are open and
+begins anew, so that its memory is bounded; each part gives valid bounds of its own.
 
 Defined results: rows of null group key, null tie column, or a score that is null, NaN or outside
 ``lowest..highest`` do not take part; a group of fewer than N items gives all; equal scores are ordered
@@ -45,20 +46,18 @@ def _best(code: np.ndarray, score: np.ndarray, ties: list[np.ndarray], n: int) -
     return items[rank < n], rank[rank < n]
 
 
-def _bounds_of(n: int, keys: int, ties: int):
-    """Batches of (keys, score, ties) -> one batch of (keys, score and ties of the N-th item, rows) for the partition."""
+def _local_tops(n: int, keys: int, ties: int, most_groups: int):
+    """Batches of (keys, score, ties) -> the n best items of each group of the partition, with their places from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple, int] = {}
-        names: list[tuple] = []
-        rows = np.zeros(0, np.int64)
         worst = np.zeros(0)  # score of the N-th item so far
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int64) for _ in range(ties))]
-        waiting: list[list[np.ndarray]] = []
-        waits = 0
+        none: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int64) for _ in range(ties))]
+        held, waiting, waits = none, [], 0
+        rank = np.zeros(0, np.int64)
 
         def settle() -> None:
-            nonlocal held, waiting, waits
+            nonlocal held, rank, waiting, waits
             code, score, *tie = (np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held))
             keep, rank = _best(code, score, tie, n)
             held = [code[keep], score[keep], *(t[keep] for t in tie)]
@@ -66,6 +65,12 @@ def _bounds_of(n: int, keys: int, ties: int):
             worst[held[0][full]] = held[1][full]
             waiting, waits = [], 0
 
+        def handed_on() -> pa.RecordBatch:
+            settle()
+            names = list(codes)
+            made = [*(pa.array([g[i] for g in names], pa.string()).take(pa.array(held[0])) for i in range(keys)), *(pa.array(h) for h in held[1:]), pa.array(rank + 1)]
+            return pa.RecordBatch.from_arrays(made, names=[*(f"k{i}" for i in range(keys)), "score", *(f"t{i}" for i in range(ties)), "place"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -81,46 +86,34 @@ def _bounds_of(n: int, keys: int, ties: int):
                 for p in reversed(parts):
                     m, r = divmod(m, max(1, len(p)))
                     name.append(p[r])
-                name = tuple(reversed(name))
-                if name not in codes:
-                    codes[name] = len(names)
-                    names.append(name)
-                local.append(codes[name])
-            if len(names) > len(rows):
-                rows = np.r_[rows, np.zeros(max(1024, len(names)), np.int64)]
-                worst = np.r_[worst, np.full(max(1024, len(names)), -np.inf)]
+                local.append(codes.setdefault(tuple(reversed(name)), len(codes)))
+            if len(codes) > len(worst):
+                worst = np.r_[worst, np.full(max(1024, len(codes)), -np.inf)]
             code = np.array(local, np.int64)[at]
-            rows[: len(names)] += np.bincount(code, minlength=len(names))
             score = batch.column(keys).to_numpy(zero_copy_only=False)
             keep = score >= worst[code]
             waiting.append([code[keep], score[keep], *(batch.column(keys + 1 + i).to_numpy(zero_copy_only=False)[keep] for i in range(ties))])
             waits += int(keep.sum())
-            if waits > max(50_000, 2 * len(held[0])):
+            if len(codes) > most_groups:
+                yield handed_on()
+                codes, worst, held = {}, np.zeros(0), none
+            elif waits > max(50_000, 2 * len(held[0])):
                 settle()
-        if not names:
-            return
-        settle()
-        last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True])
-        count = np.diff(np.r_[-1, last])
-        last = last[(count == n) & (rows[held[0][last]] > n)]  # else the bound spares nothing
-        group = [names[c] for c in held[0][last].tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([g[i] for g in group], pa.string()) for i in range(keys)), pa.array(held[1][last]), *(pa.array(t[last]) for t in held[2:]), pa.array(rows[held[0][last]])],
-            names=[*(f"k{i}" for i in range(keys)), "score", *(f"t{i}" for i in range(ties)), "n_rows"],
-        )
+        if codes:
+            yield handed_on()
 
     return run
 
 
-def _at_least(ties: int) -> Column:
-    """Whether a row is not below the bound of its group, in the order of items."""
+def _not_below(bound: Column, ties: list[str]) -> Column:
+    """Whether a row is not below the bound (score, negative ties) of its group; there may be none."""
     good = F.lit(True)
-    for i in reversed(range(ties)):
-        good = (F.col(f"t{i}") < F.col(f"b_t{i}")) | ((F.col(f"t{i}") == F.col(f"b_t{i}")) & good)
-    return (F.col("score") > F.col("b_score")) | ((F.col("score") == F.col("b_score")) & good)
+    for i, t in reversed(list(enumerate(ties))):
+        good = (-F.col(t) > bound[f"n{i}"]) | ((-F.col(t) == bound[f"n{i}"]) & good)
+    return bound.isNull() | (F.col("score") > bound["score"]) | ((F.col("score") == bound["score"]) & good)
 
 
-def top_per_group(df: DataFrame, keys: dict[str, Column], score: str, ties: list[str], n: int, lowest: float, highest: float, max_bounds: int = 100_000, required: tuple[str, ...] = ()) -> DataFrame:
+def top_per_group(df: DataFrame, keys: dict[str, Column], score: str, ties: list[str], n: int, lowest: float, highest: float, most_groups: int = 100_000, required: tuple[str, ...] = ()) -> DataFrame:
     """Columns: the keys (as text, by the names in ``keys``), the tie columns, ``score`` and ``rank`` from 1.
 
     Rows of null key are left out. ``required`` may name the columns of ``df`` that decide it (a key is null exactly if
@@ -131,14 +124,11 @@ def top_per_group(df: DataFrame, keys: dict[str, Column], score: str, ties: list
     valid = df.where(F.col(score).between(lowest, highest) & ~F.isnan(score)).dropna(subset=[*ties, *required])
     rows = valid.select(*(c.cast("string").alias(a) for a, c in zip(k, keys.values(), strict=True)), F.col(score).cast("double").alias("score"), *(F.col(c).cast("bigint").alias(a) for a, c in zip(t, ties, strict=True)))
     rows = rows if required else rows.dropna(subset=k)
-    schema = T.StructType([*(T.StructField(a, T.StringType()) for a in k), T.StructField("score", T.DoubleType()), *(T.StructField(a, T.LongType()) for a in t), T.StructField("n_rows", T.LongType())])
-    local = rows.mapInArrow(_bounds_of(n, len(k), len(t)), schema)
-    greatest = local.groupBy(*k).agg(F.max(F.struct("score", *(-F.col(a) for a in t))).alias("b"), F.sum("n_rows").alias("n_rows"))
-    useful = greatest.orderBy(F.desc("n_rows"), *k).limit(max_bounds)
-    fields = useful.select("b.*").columns
-    bounds = useful.select(*k, *(F.col("b")[f].alias("b_score") if i == 0 else (-F.col("b")[f]).alias(f"b_t{i - 1}") for i, f in enumerate(fields)))
-    passed = rows.join(F.broadcast(bounds), k, "left").where(F.col("b_score").isNull() | _at_least(len(t)))
-    items = passed.groupBy(*k, *t).agg(F.max("score").alias("score"))
+    schema = T.StructType([*(T.StructField(a, T.StringType()) for a in k), T.StructField("score", T.DoubleType()), *(T.StructField(a, T.LongType()) for a in t), T.StructField("place", T.LongType())])
+    tops = rows.mapInArrow(_local_tops(n, len(k), len(t), most_groups), schema)
+    item = F.struct("score", *((-F.col(a)).alias(f"n{i}") for i, a in enumerate(t)))
+    bounded = tops.withColumn("bound", F.max(F.when(F.col("place") == n, item)).over(W.partitionBy(*k)))
+    items = bounded.where(_not_below(F.col("bound"), t)).groupBy(*k, *t).agg(F.max("score").alias("score"))
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy(*k).orderBy(F.desc("score"), *t))).where(F.col("rank") <= n)
     kinds = {f.name: f.dataType for f in df.schema}
     return ranked.select(*(F.col(a).alias(name) for a, name in zip(k, keys, strict=True)), *(F.col(a).cast(kinds[c]).alias(c) for a, c in zip(t, ties, strict=True)), "score", "rank")

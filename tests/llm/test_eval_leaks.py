@@ -1,6 +1,10 @@
 import random
+import resource
+import time
 
-from gridloom.llm.eval_leaks import leaks, matches, without_leaks, words
+import numpy as np
+
+from gridloom.llm.eval_leaks import Items, Search, Suffixes, leaks, matches, runs, without_leaks, words
 
 
 def test_words_are_comparable():
@@ -49,3 +53,43 @@ def test_long_document_and_empty_tables(spark):
     assert leaks(*f).count() == 1
     assert leaks(*frames(spark, [], [(7, item)])).count() == 0
     assert leaks(*frames(spark, [(1, item, "")], [])).count() == 0
+
+
+def test_suffixes_are_in_full_order():
+    rnd = random.Random(3)
+    for _ in range(40):
+        codes = np.array([rnd.choice((0, 1, 1, 2, 2, 2)) for _ in range(rnd.randrange(1, 60))] + [0])
+        s = Suffixes(codes)
+        text = codes.tolist()
+        suffix = lambda i: text[i : i + text[i:].index(0)]  # noqa: E731, B023
+        want = sorted(range(len(text)), key=suffix)
+        assert [suffix(i) for i in np.argsort(s.rank, kind="stable").tolist()] == [suffix(i) for i in want]
+        a, b = np.array([rnd.randrange(len(text)) for _ in range(30)]), np.array([rnd.randrange(len(text)) for _ in range(30)])
+        same = [next((k for k, (x, y) in enumerate(zip(suffix(i), suffix(j), strict=False)) if x != y), min(len(suffix(i)), len(suffix(j)))) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert s.common(a, b).tolist() == same
+        found = runs(codes, 3)
+        assert all(x == 0 if at < 0 else text[at] == x for x, at in zip(found.codes.tolist(), found.source.tolist(), strict=True))
+
+
+def test_longest_match_of_every_suffix():
+    rnd = random.Random(4)
+    for _ in range(30):
+        text = lambda n: [rnd.choice("abc") for _ in range(n)]  # noqa: E731, B023
+        items = Items([(i, text(rnd.randrange(0, 20))) for i in range(4)], 3)
+        shard = np.array([items.code.get(w, 0) for w in [*text(50), "?", *text(20)]] + [0])
+        found = Search(items, shard)
+        flat, body = items.codes.tolist(), shard.tolist()
+        match = lambda i, j: next(k for k in range(len(flat)) if flat[i + k] != body[j + k] or not flat[i + k])  # noqa: E731, B023
+        longest = {i: max(match(i, j) for j in range(len(body) - 1)) for i in range(len(flat)) if flat[i]}
+        assert dict(zip(found.queries.tolist(), found.longest.tolist(), strict=True)) == {i: n for i, n in longest.items() if n >= 3}
+        want = {(j, i, n) for i in range(len(flat)) for j in range(len(body)) if flat[i] and (n := match(i, j)) >= 3 and not (i and j and flat[i - 1] == body[j - 1] > 0)}
+        assert {t for part in found.matches(7) for t in zip(*(x.tolist() for x in part), strict=True)} == want
+
+
+def test_repeated_text_is_linear():
+    items = Items([(1, ["a"] * 300), (2, ["a"] * 13)], 12)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    found = Search(items, np.r_[np.ones(1_000_000, np.int64), 0])
+    assert [x.tolist() for x in found.pairs(np.zeros(1_000_001, np.int64))] == [[0, 0], [0, 1]]
+    assert found.longest.max() == 300 and time.time() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
