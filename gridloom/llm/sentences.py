@@ -14,19 +14,20 @@ paragraph, whose line breaks are blanks. Within a paragraph each cluster of end
   - the ratio of its standing with a period at the *end of paragraphs*, where a sentence is over for certain:
     an abbreviation that never does so ends nothing but before a starter; one that does, or any other word, ends the sentence unless
     a number or small letter follows and the ratio says that the word is wont to be followed so;
-  - *collocations* of a number with period and the next word (ordinals, dates), against that word's rate at the
-    start of paragraphs and after words with period;
+  - *collocations*, word with period and next word: of numbers (ordinals, dates) and of abbreviations, where the next
+    word follows this one more often than it starts paragraphs and follows words with period in general;
   - *sentence starters*: words whose rate at certain starts (of paragraphs, after ``!`` and ``?``) is beyond
-    their general rate. They tell whether a sentence is over where case says nothing.
+    their general rate; of words written with a capital, those whose share of such starts is beyond half the usual.
+    They tell whether a sentence is over where case says nothing.
 
-A period is judged by its document's language unless the frequent words of the paragraph, or those around it,
-speak for another; a word with too
-little evidence in that language by the figures of all languages together.
+Each is decided by a log-likelihood ratio. A period is judged by its document's language unless the frequent words of
+the paragraph, or those of the sentences that it parts, speak for another; a word with too little evidence in that
+language by the figures of all languages together.
 Without a blank after it, a period ends a sentence only between a small letter or digit and a capital. In Thai
 a blank after a Thai letter (or a number set to it) and before a Thai letter ends the sentence.
 
-Statistics are counted in one pass over whole texts: each task adds up its words, the sums are shuffled by
-word and written to the shared folder, ratios are computed in the JVM, and only the words that pass them (``max_words`` at most, counted first)
+Statistics are counted in one pass over whole texts: each task adds up its words as written and the pairs of words
+that a period parts, the sums are shuffled by word and written to the shared folder, ratios are computed in the JVM, and only the words that pass them (``max_words`` at most, counted first)
 are broadcast for the second pass, which cuts the texts where they are read.
 
 Defined results: null, empty and blank texts have no unit; a byte-order mark before the text belongs to none;
@@ -38,15 +39,17 @@ besides key, text and language are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.session import stage, unstage
@@ -61,14 +64,20 @@ TRIM = "([{\"'“”„«»‘’‚‹›（）［］｛｝【】《》〈〉
 WORD = re.compile(r"\S+")
 DIGITS = re.compile(r"\d+")
 NUMBER = "##number##"
-LONG, LONGEST = "##long##", 60  # words of more characters are counted together and never learned
+LONG = 60  # words of more characters, as whole runs of scripts without blanks, are known by a digest
 NUMERIC = re.compile(r"[-+±~≈]?\d[\d.,:/]*%?")
 LINE = re.compile("([^\n\r\x0b\x0c\x85  ]*)(\r\n|[\n\r\x0b\x0c\x85  ]|$)")
-HEADING, LOG = re.compile(r"#+(?:\s|$)"), re.compile(r"\[[^\]\n]{0,40}?\d{1,2}:\d\d[^\]\n]{0,30}\]")
+HEADING, BRACKET, TIME = re.compile(r"#+(?:\s|$)"), re.compile(r"\[([^\]]*)\]"), re.compile(r"\d:\d\d")
 ITEM = re.compile(r"(?:[-*+•◦‣▪·]|\(?\d{1,4}[.)]|\(?[a-z]\))\s+\S")
 THAI = re.compile(r"(?<=[ก-๛])(\d*)(\s+)(?=[ก-๛])")
 
 
+def _log(line: str) -> bool:
+    """Whether a line begins with a bracketed time."""
+    held = BRACKET.match(line)
+    return bool(held and TIME.search(held.group(1)))
+
+
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, whether it is a unit of its own) of each heading, list item, log line and paragraph."""
     start = end = -1
@@ -80,7 +89,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         inner = line.strip()
         a = at + len(line) - len(line.lstrip())
         at, b = m.end(), a + len(inner)
-        alone = bool(inner) and (HEADING.match(inner) or LOG.match(inner) or ((first or listing) and ITEM.match(inner)))
+        alone = bool(inner) and (HEADING.match(inner) or _log(inner) or ((first or listing) and ITEM.match(inner)))
         if not inner or alone:
             if start >= 0:
                 yield start, end, False
@@ -125,7 +134,8 @@ def shape(word: str) -> str:
     word = word.strip(TRIM)
     if NUMERIC.fullmatch(word):
         return NUMBER
-    return DIGITS.sub("0", word.lower())
+    word = DIGITS.sub("0", word.lower())
+    return word if len(word) <= LONG else "##" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 @lru_cache(maxsize=300_000)
@@ -156,54 +166,52 @@ class Mark(NamedTuple):
 
 def marks(text: str) -> Iterator[Mark]:
     """The places of a paragraph that may end a sentence, in order."""
+    m = MARKS.search(text)
+    if not m:
+        return
     held = spans(text)
     starts = {a for a, _ in held}
     at, i, n = 0, 0, len(text)
-    while at < n:
-        m = MARKS.search(text, at)
-        if not m:
-            return
-        while i < len(held) and held[i][1] <= m.start():
+    while m:
+        begin = m.start()
+        while i < len(held) and held[i][1] <= begin:
             i += 1
-        inside = i < len(held) and held[i][0] < m.start()
-        if inside:
+        if i < len(held) and held[i][0] < begin:  # within a quotation or bracket
             opened, end = held[i]
-            at = end
             body = end - 1
             while body > opened and (text[body] in CLOSING or text[body].isspace()):
                 body -= 1
             if text[body] not in PERIOD + FULL + "…⋯":
+                m = MARKS.search(text, end)
                 continue
             sort = "bracket" if text[opened] in BRACKETS else "quote"
-            word = ""
         else:
             opened, end, cluster = -1, m.end(), m.group()
-            at = end
-            dots = all(c in PERIOD + "…⋯" for c in cluster)
-            sort = "full" if not dots else "period" if len(cluster) == 1 and cluster in PERIOD else "dots"
-            word = ""
-            if sort == "period":
-                a = m.start()
-                while a > 0 and not text[a - 1].isspace():
-                    a -= 1
-                word = text[a : m.start()]
-                word = "" if word[-1:] in CLOSING else shape(word)
+            sort = "period" if len(cluster) == 1 and cluster in PERIOD else "full" if any(c in FULL for c in cluster) else "dots"
+        at = end
         while end < n and (text[end] in CLOSING or text[end] in "*_") and end not in starts:
             end += 1
-        if MARKS.match(text, end):
-            at = end
-            continue  # judged with the marks that follow
         at = max(at, end)
+        m = MARKS.search(text, at)
+        if m and m.start() == end:
+            continue  # judged with the marks that follow
         b = end
         while b < n and text[b].isspace():
             b += 1
-        following = WORD.match(text, b)
-        following = following.group() if following else ""
-        if sort == "period" and b == end and following:
-            tail = word.rpartition(".")[2]
-            if not (text[end].isupper() and len(tail) > 1 and (m.start() > 0 and (text[m.start() - 1].islower() or text[m.start() - 1].isdigit()))):
+        # without a blank only whether anything follows counts
+        following = WORD.match(text, b).group() if n > b > end else text[b : b + 1]
+        word = ""
+        if sort == "period":
+            joined = b == end and following
+            if joined and not (following.isupper() and begin > 0 and (text[begin - 1].islower() or text[begin - 1].isdigit())):
                 continue  # within a number, name or abbreviation
-            sort = "joined"
+            piece = text[text.rfind(" ", 0, begin) + 1 : begin]
+            if piece and piece[-1] not in CLOSING and not piece[-1].isspace():
+                word = shape(piece.split()[-1])
+            if joined:
+                if len(word.rpartition(".")[2]) < 2:
+                    continue
+                sort = "joined"
         yield Mark(end, sort, word, following, b > end, opened)
 
 
@@ -215,6 +223,7 @@ class Model(NamedTuple):
     starters: dict[str, set[str]]  # written small, or in a script without case
     capitals: dict[str, set[str]]  # starters written with a capital
     frequent: dict[str, dict[str, float]]  # word -> language -> weight
+    pairs: dict[str, set[tuple[str, str]]] = {}  # noqa: RUF012  abbreviations with the words that belong to them
 
 
 def _flags(model: Model, lang: str, word: str) -> str:
@@ -244,25 +253,48 @@ def ends(mark: Mark, begun: int, lang: str, model: Model) -> bool:
         return starter or not (first in model.ordinals.get(lang, ()) or first in model.ordinals.get("*", ()))
     if starter:
         return True
+    if (mark.word, first) in model.pairs.get(lang, ()):
+        return False
     return not ("x" in flags or kind == "n" and "n" in flags or kind == "l" and "l" in flags)
 
 
-def spoken(par: str, lang: str, model: Model) -> str:
-    """The language of a paragraph: the document's, unless its frequent words speak clearly for another."""
-    votes: dict[str, float] = {}
-    for word in par.split():
-        for code, weight in model.frequent.get(word.lower(), {}).items():
-            votes[code] = votes.get(code, 0) + weight
-    if not votes:
-        return lang
-    best = max(votes, key=lambda x: (votes[x], x))
-    return best if votes[best] > 2 * votes.get(lang, 0) else lang
+class Votes:
+    """What the frequent words of a paragraph say of its language, and of the language of its parts."""
+
+    def __init__(self, par: str, lang: str, model: Model) -> None:
+        self.par, self.get = par, model.frequent.get
+        votes: dict[str, float] = {}
+        for word in par.lower().split():
+            if word in model.frequent:
+                for code, weight in model.frequent[word].items():
+                    votes[code] = votes.get(code, 0.0) + weight
+        self.own = self._best(votes, lang)
+        self.codes, self.at, self.sums = set(votes), None, {}
+
+    @staticmethod
+    def _best(votes: dict[str, float], lang: str) -> str:
+        """``lang``, unless the votes speak clearly for another."""
+        if not votes:
+            return lang
+        best = max(votes, key=lambda x: (votes[x], x))
+        return best if votes[best] > 2 * votes.get(lang, 0.0) else lang
+
+    def near(self, start: int, end: int) -> str:
+        """The language of a part."""
+        if self.codes <= {self.own}:
+            return self.own
+        if self.at is None:  # the places of the frequent words, with the sums up to each
+            found = [(m.start(), w) for m in WORD.finditer(self.par) if (w := self.get(m.group().lower()))]
+            self.at = [a for a, _ in found]
+            self.sums = {c: list(accumulate((w.get(c, 0.0) for _, w in found), initial=0.0)) for c in self.codes}
+        a, b = bisect_left(self.at, start), bisect_left(self.at, end)
+        return self._best({c: v[b] - v[a] for c, v in self.sums.items()}, self.own) if a < b else self.own
 
 
 def singular(model: Model) -> frozenset[str]:
     """The words after which, or numbers before which, languages may judge a period differently: for all others the
     language need not be found."""
-    return frozenset(w for flags in model.flags.values() for w, f in flags.items() if f.strip("-")) | frozenset(w for words in model.ordinals.values() for w in words)
+    return frozenset(w for flags in model.flags.values() for w, f in flags.items() if f.strip("-")) | frozenset(w for words in (*model.ordinals.values(), *({a for a, _ in p} for p in model.pairs.values())) for w in words)
 
 
 def units(text: str | None, lang: str, model: Model, special: frozenset[str] | None = None) -> list[tuple[int, int]]:
@@ -274,16 +306,17 @@ def units(text: str | None, lang: str, model: Model, special: frozenset[str] | N
             out.append((start, end))
             continue
         par = text[start:end]
-        own = ""
-        cuts, begun = [], 0
+        votes, cuts, begun = None, [], 0
         thai = [m.end(1) for m in THAI.finditer(par)] if not par.isascii() else []
         held = spans(par) if thai else []
         cuts += [c for c in thai if not any(a < c < b for a, b in held)]
-        for mark in marks(par):
+        found = list(marks(par))
+        for i, mark in enumerate(found):
             over = mark.sort == "full" or not mark.following or mark.sort == "period" and (opening(mark.following) if mark.word == NUMBER else mark.word) not in special
             if not over:
-                own = own or spoken(par, lang, model)
-                near = spoken(par[max(0, mark.end - 80) : mark.end + 60], own, model) if mark.sort == "period" else own
+                votes = votes or Votes(par, lang, model)
+                # a period is judged by what it parts: from the sentence's begin to the next mark
+                near = votes.near(begun, found[i + 1].end if i + 1 < len(found) else len(par)) if mark.sort == "period" else votes.own
                 over = ends(mark, begun, near, model)
             if over:
                 cuts.append(mark.end)
@@ -308,67 +341,90 @@ def language(col: Column | str) -> Column:
 FIGURES = ("bare", "dotted", "final", "number", "small", "begins", "begins_small", "begins_capital", "capital", "after_number", "after_word")
 
 
-def _begins(lang: str, word: str, into: Counter) -> None:
-    into[lang, opening(word), "begins"] += 1
-    # for those not written with a capital, case does not tell that they begin a sentence
-    into[lang, opening(word), "begins_small" if kind_of(word) in "lo" else "begins_capital"] += 1
+class Counts:
+    """The words of one language as written, and the pairs of words that a period parts."""
 
+    def __init__(self) -> None:
+        self.words: Counter[str] = Counter()
+        self.openings: Counter[str] = Counter()  # of paragraphs, and after marks that end a sentence for certain
+        self.pairs: Counter[tuple[str, str]] = Counter()  # word before the period, and the next as written; empty at the end of a paragraph
 
-def count_words(lang: str, text: str, into: Counter) -> None:
-    """Adds a text's figures: (language, word, figure) -> number."""
-    for start, end, alone in blocks(text):
-        if alone:
-            continue
-        par = text[start:end]
-        words = [m.group() for m in WORD.finditer(par)]
-        for w in words:
+    def add(self, text: str) -> None:
+        for start, end, alone in blocks(text):
+            if alone:
+                continue
+            par = text[start:end]
+            words = par.split()
+            self.words.update(words)
+            self.openings[words[0]] += 1
+            for mark in marks(par):
+                if mark.sort == "full" and mark.following and mark.blank:
+                    self.openings[mark.following] += 1
+                elif mark.sort == "period" and mark.word:
+                    self.pairs[mark.word, mark.following] += 1
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.openings) + len(self.pairs)
+
+    def figures(self) -> Iterator[tuple[str, str | None, list[int]]]:
+        """(word, None, its figures), and (word, next word, [number of the pair])."""
+        rows: defaultdict[str, list[int]] = defaultdict(lambda: [0] * len(FIGURES))
+        bare, dotted, final, number, small, begins, begins_small, begins_capital, capital, after_number, after_word = range(len(FIGURES))
+        for w, n in self.words.items():
             if not w.endswith("."):
-                into[lang, shape(w), "bare"] += 1
+                rows[shape(w)][bare] += n
             if kind_of(w) == "u":
-                into[lang, opening(w), "capital"] += 1
-        _begins(lang, words[0], into)
-        for mark in marks(par):
-            if mark.sort == "full" and mark.following and mark.blank:
-                _begins(lang, mark.following, into)
-            elif mark.sort == "period" and mark.word:
-                into[lang, mark.word, "dotted"] += 1
-                if not mark.following:
-                    into[lang, mark.word, "final"] += 1
-                else:
-                    kind = kind_of(mark.following)
-                    if kind in "nl":
-                        into[lang, mark.word, "number" if kind == "n" else "small"] += 1
-                    into[lang, opening(mark.following), "after_number" if mark.word == NUMBER else "after_word"] += 1
+                rows[opening(w)][capital] += n
+        for w, n in self.openings.items():
+            row = rows[opening(w)]
+            row[begins] += n
+            # for those not written with a capital, case does not tell that they begin a sentence
+            row[begins_small if kind_of(w) in "lo" else begins_capital] += n
+        both: Counter[tuple[str, str]] = Counter()
+        for (w, following), n in self.pairs.items():
+            row = rows[w]
+            row[dotted] += n
+            if not following:
+                row[final] += n
+                continue
+            kind, first = kind_of(following), opening(following)
+            if kind in "nl":
+                row[number if kind == "n" else small] += n
+            rows[first][after_number if w == NUMBER else after_word] += n
+            both[w, first] += n
+        yield from ((w, None, row) for w, row in rows.items())
+        yield from ((w, first, [n]) for (w, first), n in both.items() if w != NUMBER)
 
 
 def word_figures(docs: DataFrame, text: str, lang: str, flush: int = 500_000) -> DataFrame:
-    """(lang, word, figures) summed over all documents. Words of more than ``LONGEST`` characters count as one word ``LONG``,
-    so that the sums of a language are those of all its words."""
+    """(lang, word, next, figures) summed over all documents: of words (``next`` is null), and the number of each pair of
+    words that a period parts (as the first of the figures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+        sums: defaultdict[str, Counts] = defaultdict(Counts)
+        read = 0
 
         def batch() -> pa.RecordBatch:
-            rows: dict[tuple[str, str], list[int]] = {}
-            for (code, word, figure), n in sums.items():
-                rows.setdefault((code, word), [0] * len(FIGURES))[FIGURES.index(figure)] = n
+            rows = [(code, w, n, f) for code, counts in sums.items() for w, n, f in counts.figures()]
             sums.clear()
-            columns = [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string())]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(len(FIGURES)))], names=["lang", "word", *FIGURES])
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+            numbers = [pa.array([r[3][i] if i < len(r[3]) else 0 for r in rows], pa.int64()) for i in range(len(FIGURES))]
+            return pa.RecordBatch.from_arrays([*columns, *numbers], names=["lang", "word", "next", *FIGURES])
 
         for b in batches:
             for code, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                count_words(code, t, sums)
-                if len(sums) > flush:
-                    yield batch()
+                sums[code].add(t)
+                read += len(t)
+                if read > 4 * flush:  # characters: no text gives more new words than that
+                    read = 0
+                    if sum(map(len, sums.values())) > flush:
+                        yield batch()
         if sums:
             yield batch()
 
-    schema = "lang string, word string, " + ", ".join(f"{f} bigint" for f in FIGURES)
+    schema = "lang string, word string, next string, " + ", ".join(f"{f} bigint" for f in FIGURES)
     counted = docs.where(F.col(text).isNotNull()).select(language(lang), F.col(text)).mapInArrow(run, schema)
-    word = F.when(F.length("word") > LONGEST, LONG).otherwise(F.col("word")).alias("word")
-    own = counted.groupBy("lang", word).agg(*(F.sum(f).alias(f) for f in FIGURES))
-    return own
+    return counted.groupBy("lang", "word", "next").agg(*(F.sum(f).alias(f) for f in FIGURES))
 
 
 def _ratio(k: Column, n: Column, rate: Column) -> Column:
@@ -378,59 +434,81 @@ def _ratio(k: Column, n: Column, rate: Column) -> Column:
     return 2 * (k * F.log(p / rate) + (n - k) * F.log((1 - p) / (1 - rate)))
 
 
-def _frequent(own: DataFrame, each: int = 200, languages: int = 200) -> dict[str, dict[str, float]]:
-    """The most frequent words of the largest languages, weighted by how far a word is one language's own."""
-    sizes = own.where("lang <> '?'").groupBy("lang").agg(F.sum("bare").alias("all")).where("all > 0").orderBy(F.desc("all"), "lang").limit(languages)
-    by = W.partitionBy("lang").orderBy(F.desc("bare"), "word")
-    top = own.where("bare > 0 and word rlike '^[\\\\p{L}]+$'").join(F.broadcast(sizes), "lang").withColumn("r", F.row_number().over(by)).where(F.col("r") <= each)
+def _frequent(own: DataFrame, share: float = 0.001) -> dict[str, dict[str, float]]:
+    """The frequent words of each language, weighted by how far a word is one language's own. Words that are a thousandth
+    of a language's and languages that are a thousandth of the corpus: there are at most a thousand of each."""
+    sizes = own.where("lang <> '?'").groupBy("lang").agg(F.sum("bare").alias("all")).where("all > 0")
+    total = sizes.agg(F.sum("all")).first()[0] or 0
+    sizes = sizes.where(F.col("all") >= share * total)
+    top = own.where("bare > 0 and word rlike '^[\\\\p{L}]+$'").join(F.broadcast(sizes), "lang").where(F.col("bare") >= share * F.col("all"))
     rates: dict[str, dict[str, float]] = {}
-    for r in top.select("lang", "word", (F.col("bare") / F.col("all")).alias("rate")).orderBy("word", "lang").collect():  # each * languages rows at most
+    for r in top.select("lang", "word", (F.col("bare") / F.col("all")).alias("rate")).orderBy("word", "lang").collect():
         rates.setdefault(r["word"], {})[r["lang"]] = r["rate"]
     return {w: {code: rate / sum(by.values()) for code, rate in by.items() if rate > sum(by.values()) / 2} for w, by in rates.items()}
 
 
 def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words: int = 2_000_000) -> Model:
     """The statistics of a corpus. ``evidence``: occurrences with period from which a language judges by itself."""
-    own = stage(word_figures(docs, text, lang), "words")
+    counted = stage(word_figures(docs, text, lang), "words")
+    own, pairs = counted.where("next is null").drop("next"), counted.where("next is not null").select("lang", "word", "next", F.col(FIGURES[0]).alias("n"))
     figures = own.unionByName(own.groupBy("word").agg(*(F.sum(f).alias(f) for f in FIGURES)).withColumn("lang", F.lit("*")))
     totals = figures.groupBy("lang").agg(*(F.sum(f).cast("double").alias(f"all_{f}") for f in FIGURES))
-    f = figures.where(F.col("word") != LONG).join(F.broadcast(totals), "lang")  # a row a language
     c = F.col
-    every = c("bare") + c("dotted")
+    every, dotted = c("bare") + c("dotted"), F.greatest(c("dotted"), F.lit(1))
     rate = F.greatest(c("all_dotted") / (c("all_bare") + c("all_dotted")), F.lit(1e-6))
+    final_rate = c("all_final") / F.greatest(c("all_dotted"), F.lit(1.0))
+    capital_rate = c("all_begins_capital") / F.greatest(c("all_capital"), F.lit(1.0))
+    begin_rate = c("all_begins") / F.greatest(c("all_bare") + c("all_dotted"), F.lit(1.0))
+    times, among = F.greatest(every, F.lit(1)), F.greatest(c("all_after_number"), F.lit(1.0))
+    start_share = (c("begins") + c("after_word") + 0.5) / F.greatest(c("all_begins") + c("all_after_word"), F.lit(1.0))
+    usual = 2 * (c("dotted") * F.log(F.lit(0.99) / rate) + c("bare") * F.log(F.lit(0.01) / (1 - rate)))
+    by_figure = lambda figure: c(f"all_{figure}") / F.greatest(c("all_dotted"), F.lit(1.0))
+    # the ratios are written before they are compared: as one expression they outgrow generated code
+    ratios = figures.join(F.broadcast(totals), "lang").select(  # a row a language
+        "lang", "word", "bare", "dotted", "final", "number", "small", "begins_small", "begins_capital", "capital", "after_number",
+        usual.alias("usual"), rate.alias("rate"), final_rate.alias("final_rate"), begin_rate.alias("begin_rate"), capital_rate.alias("capital_rate"), start_share.alias("start_share"), (c("begins") + c("after_word") + 0.5).alias("starts"), (c("all_begins") + c("all_after_word")).alias("all_starts"), among.alias("among"),
+        _ratio(c("final"), dotted, final_rate).alias("final_llr"),
+        by_figure("number").alias("number_rate"), by_figure("small").alias("small_rate"),
+        _ratio(c("number"), dotted, by_figure("number")).alias("number_llr"), _ratio(c("small"), dotted, by_figure("small")).alias("small_llr"),
+        _ratio(F.least(c("begins_small"), times), times, begin_rate).alias("starter_llr"),
+        _ratio(F.least(c("begins_capital"), c("capital")), F.greatest(c("capital"), F.lit(1)), capital_rate / 2).alias("capital_llr"),
+        _ratio(c("after_number").cast("double"), among, start_share).alias("ordinal_llr"),
+    )
+    ratios = stage(ratios, "ratios")
     letters = F.length(F.replace("word", F.lit("."), F.lit(""))).cast("double")
     inner = F.length("word") - letters + 1
-    usual = 2 * (c("dotted") * F.log(F.lit(0.99) / rate) + c("bare") * F.log(F.lit(0.01) / (1 - rate)))
-    score = usual * F.exp(-letters) * inner / F.power(F.greatest(letters, F.lit(1.0)), F.least(c("bare"), F.lit(200)))
-    final_rate = c("all_final") / F.greatest(c("all_dotted"), F.lit(1.0))
-    dotted = F.greatest(c("dotted"), F.lit(1))
-    seldom_final = (c("final") / dotted < final_rate / 5) & (_ratio(c("final"), dotted, final_rate) >= 3.84)
-    mostly = (c("dotted") >= 4 * c("bare")) & (2 * c("number") > c("dotted")) & seldom_final & (_ratio(c("final"), dotted, final_rate) >= 7.88)
-    abbreviation = (letters > 0) & (c("word") != NUMBER) & (((score >= 0.3) & (usual > 0)) | mostly)
+    score = c("usual") * F.exp(-letters) * inner / F.power(F.greatest(letters, F.lit(1.0)), F.least(c("bare"), F.lit(200)))
+    seldom_final = (c("final") / dotted < c("final_rate") / 5) & (c("final_llr") >= 3.84)
+    mostly = (c("dotted") >= 4 * c("bare")) & (2 * c("number") > c("dotted")) & seldom_final & (c("final_llr") >= 7.88)
+    abbreviation = (letters > 0) & (c("word") != NUMBER) & (((score >= 0.3) & (c("usual") > 0)) | mostly)
     # a word's tendency to be followed by numbers or small letters, against all words with period
-    wont = lambda figure: (c(figure) / dotted > 2 * c(f"all_{figure}") / F.greatest(c("all_dotted"), F.lit(1.0))) & (_ratio(c(figure), dotted, c(f"all_{figure}") / F.greatest(c("all_dotted"), F.lit(1.0))) >= 7.88)
-    none = F.lit("")
+    wont = lambda figure: (c(figure) / dotted > 2 * c(f"{figure}_rate")) & (c(f"{figure}_llr") >= 7.88)
+    starter = (c("begins_small") >= 2) & (c("begins_small") / times > c("begin_rate")) & (c("starter_llr") >= 7.88)
+    capital = (c("begins_capital") >= 5) & (c("begins_capital") / F.greatest(c("capital"), F.lit(1)) > c("capital_rate") / 2) & (c("capital_llr") >= 7.88)
+    ordinal = (c("after_number") >= F.when(c("lang") == "*", 2).otherwise(evidence)) & (c("after_number") / c("among") > 5 * c("start_share")) & (c("ordinal_llr") >= 7.88)
+    judged = ratios.select("lang", "word", "dotted", "final", abbreviation.alias("abbreviation"), seldom_final.alias("seldom"), wont("number").alias("n"), wont("small").alias("l"), starter.alias("starter"), ordinal.alias("ordinal"), capital.alias("capital"))
+    judged = stage(judged, "judged")
+    a, none = c("abbreviation"), F.lit("")
     cased = F.lower("word") != F.upper("word")  # small letters say nothing after words of a script without case
-    flags = F.concat(F.when(abbreviation & seldom_final, "x").otherwise(none), F.when(abbreviation & wont("number"), "n").otherwise(none), F.when(abbreviation & cased & wont("small"), "l").otherwise(none), F.when(c("dotted") >= evidence, "-").otherwise(none))
-    begin_rate = c("all_begins") / F.greatest(c("all_bare") + c("all_dotted"), F.lit(1.0))
-    times = F.greatest(every, F.lit(1))
-    starter = (c("begins_small") >= 2) & (c("begins_small") / times > begin_rate) & (_ratio(F.least(c("begins_small"), times), times, begin_rate) >= 7.88)
-    capital_rate = c("all_begins_capital") / F.greatest(c("all_capital"), F.lit(1.0))
-    capital = (c("begins_capital") >= 5) & (c("begins_capital") / F.greatest(c("capital"), F.lit(1)) > 0.7 * capital_rate)
-    among = F.greatest(c("all_after_number"), F.lit(1.0))
-    start_share = (c("begins") + c("after_word") + 0.5) / F.greatest(c("all_begins") + c("all_after_word"), F.lit(1.0))
-    ordinal = (c("after_number") >= F.when(c("lang") == "*", 2).otherwise(evidence)) & (c("after_number") / among > 5 * start_share) & (_ratio(c("after_number").cast("double"), among, start_share) >= 7.88)
-    starter, capital = starter & ~abbreviation, capital & ~abbreviation
-    told = f.select("lang", "word", flags.alias("flags"), starter.alias("starter"), ordinal.alias("ordinal"), capital.alias("capital")).where("flags rlike '[xnl]' or starter or ordinal or capital or (flags = '-' and lang <> '*')")
+    flags = F.concat(F.when(a & c("seldom"), "x").otherwise(none), F.when(a & c("n"), "n").otherwise(none), F.when(a & cased & c("l"), "l").otherwise(none), F.when(c("dotted") >= evidence, "-").otherwise(none))
+    told = judged.select("lang", "word", flags.alias("flags"), (c("starter") & ~a).alias("starter"), "ordinal", (c("capital") & ~a).alias("capital")).where("flags rlike '[xnl]' or starter or ordinal or capital or (flags = '-' and lang <> '*')")
     # plain words need no entry unless all languages together say otherwise
     odd = told.where("lang = '*' and flags rlike '[xnl]'").select("word").distinct()
     told = told.where("flags rlike '[xnl]' or starter or ordinal or capital").unionByName(told.where("flags = '-' and not starter and not ordinal and not capital").join(odd, "word", "left_semi").select(told.columns))
     got = told.limit(max_words + 1).toArrow()
+    # collocations of abbreviations that may end sentences too: against the next word's share of all starts, within one
+    # language only (in all together, the words of one language follow each other more than those of others)
+    open_ = judged.where("abbreviation and not seldom").select("lang", "word", (c("dotted") - c("final")).alias("times"))
+    beside = pairs.where(c("n") >= evidence).join(open_, ["lang", "word"]).join(ratios.select("lang", F.col("word").alias("next"), "starts", "all_starts"), ["lang", "next"])
+    elsewhere = (c("starts") - c("n")) / F.greatest(c("all_starts") - c("n"), F.lit(1.0))
+    held = beside.where((c("n") / c("times") > 5 * elsewhere) & (_ratio(c("n").cast("double"), c("times").cast("double"), elsewhere) >= 7.88))
+    together = held.select("lang", "word", "next").limit(max_words + 1).toArrow()
     frequent = _frequent(own)
-    unstage(own)
-    if got.num_rows > max_words:
+    for made in (counted, ratios, judged):
+        unstage(made)
+    if max(got.num_rows, together.num_rows) > max_words:
         raise ValueError(f"more than {max_words} words to broadcast; raise max_words if the executors' memory allows")
-    model = Model({}, {}, {}, {}, frequent)
+    model = Model({}, {}, {}, {}, frequent, {})
     for code, word, flag, begins, ordinal_, capital_ in zip(*(got.column(i).to_pylist() for i in range(6)), strict=True):
         if flag:
             model.flags.setdefault(code, {})[word] = flag
@@ -440,6 +518,8 @@ def learn(docs: DataFrame, text: str, lang: str, evidence: int = 20, max_words:
             model.capitals.setdefault(code, set()).add(word)
         if ordinal_:
             model.ordinals.setdefault(code, set()).add(word)
+    for code, word, following in zip(*(together.column(i).to_pylist() for i in range(3)), strict=True):
+        model.pairs.setdefault(code, set()).add((word, following))
     return model
 
 

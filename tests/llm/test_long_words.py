@@ -1,15 +1,12 @@
-"""Long words count in the sums of a language and are not learned."""
+"""Words of any length count, and are learned by a digest of the whole word."""
 
-from pyspark.sql import functions as F
+from gridloom.llm.sentences import LONG, learn, shape, word_figures
 
-from gridloom.llm.sentences import LONG, LONGEST, learn, word_figures
 
-
-def test_long_words_stay_in_the_sums(spark):
-    run = "\u4eca\u5929" * LONGEST
-    docs = spark.createDataFrame([(f"{run} \u6211\u4eec {run}x.", "zh")] * 3, "text string, lang string")
-    own = word_figures(docs, "text", "lang")
-    got = {r.word: r.bare + r.dotted for r in own.select("word", F.col("bare"), F.col("dotted")).collect()}
-    assert got[LONG] == 6 and sum(got.values()) == 9 and all(len(w) <= LONGEST for w in got)
-    model = learn(docs, "text", "lang")
-    assert not any(LONG in words for part in model[:4] for words in part.values())
+def test_long_words_are_told_apart(spark):
+    run = "今天" * LONG
+    docs = spark.createDataFrame([(f"{run} 我们 {run}x.", "zh")] * 3, "text string, lang string")
+    got = {r.word: r.bare + r.dotted for r in word_figures(docs, "text", "lang").where("next is null").collect()}
+    assert shape(run) != shape(run + "x") and len(shape(run)) <= LONG and shape(run) == shape(run.upper())
+    assert got == {shape(run): 3, "我们": 3, shape(run + "x"): 3}
+    assert list(learn(docs, "text", "lang").frequent) == ["我们"]  # a digest is no word of a language

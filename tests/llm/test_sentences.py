@@ -104,3 +104,31 @@ def test_empty_table(spark):
     assert sentence_units(corpus(spark).limit(0), "doc_id", "text", "lang").count() == 0
     with pytest.raises(ValueError):
         sentence_units(corpus(spark).withColumnRenamed("doc_id", "sent_end"), "sent_end", "text", "lang")
+
+
+def test_collocations_keep_abbreviations_before_capitals():
+    open_ = MODEL._replace(flags={"en": {"etc": "l-"}}, pairs={"en": {("etc", "corner")}})
+    text = "Rows etc. Corner cells fail. Rows etc. Tiles hold."
+    assert [text[a:b] for a, b in units(text, "en", open_)] == ["Rows etc. Corner cells fail.", "Rows etc.", "Tiles hold."]
+
+
+def test_collocations_are_learned(spark):
+    rnd = random.Random(6)
+    words = "mesh drop bump cell rail tile grid load peak".split()
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    openers = ["The", "Each", "This", "Some", "All", "Both", "Here", "Many", "Few", "Most"]
+    body = [f"{rnd.choice(openers)} {some(12)} vs. Vdd {some(12)} and vs. {some(12)}." for _ in range(300)]
+    body += [f"{rnd.choice(openers)} {some(12)} vs.\n\n{rnd.choice(openers)} {some(12)} end." for _ in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(body[i : i + 4]), "en") for i in range(0, 400, 4)], "doc_id long, text string, lang string")
+    model = learn(docs, "text", "lang")
+    assert ("vs", "vdd") in model.pairs["en"] and not any(first in ("the", "each") for _, first in model.pairs["en"])
+    assert {word for word, _ in model.pairs["en"]} == {"vs"}
+
+
+def test_log_lines_and_languages_know_no_limits():
+    stamp = "[" + "node " * 30 + "2024-01-02 10:02:03.123 " + "thread " * 20 + "]"
+    text = f"{stamp} a! b. c\nprose. Here"
+    assert [text[a:b] for a, b in units(text, "en", MODEL)] == [f"{stamp} a! b. c", "prose.", "Here"]
+    model = MODEL._replace(frequent={"und": {"de": 1.0}, "the": {"en": 1.0}})
+    text = "The mesh und und und " + "x" * 300 + " z. Rand holds. The end."
+    assert [text[a:b] for a, b in units(text, "en", model)] == [text[: text.index(" The end")], "The end."]
