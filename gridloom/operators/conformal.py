@@ -14,13 +14,12 @@ def level(n: Column, alpha: float) -> Column:
     return F.least(F.lit(1.0), F.ceil(F.round((n + 1) * (1 - alpha), 9)) / n)
 
 
-def conformal_shift(df: DataFrame, keys: list[str], label: str, low: str, high: str, alpha: float = 0.2, relative: bool = False) -> DataFrame:
+def conformal_shift(df: DataFrame, keys: list[str], label: str, low: str, high: str, alpha: float = 0.2, relative: bool = False, spread: bool = True) -> DataFrame:
     """The additive shift (or the one relative to the band's width) that covers ``1 - alpha`` of a calibration set:
-    keys, shift, n."""
+    keys, shift, n. ``spread``: see :mod:`gridloom.operators.ranking`; for few keys with many rows each."""
     miss = F.greatest(F.col(low) - F.col(label), F.col(label) - F.col(high))
     scores = df.select(*keys, (ratio(miss, F.col(high) - F.col(low)) if relative else miss).alias("e")).dropna(subset=["e"])
-    counted = scores.join(scores.groupBy(*keys).agg(F.count("*").alias("_m")), keys) if keys else scores.withColumn("_m", F.lit(scores.count()))
-    return order_statistic(counted, keys, "e", level(F.col("_m"), alpha), "shift")
+    return order_statistic(scores, keys, "e", lambda n: level(n, alpha), "shift", spread)
 
 
 def apply_shift(low: Column, high: Column, shift: Column) -> tuple[Column, Column]:

@@ -54,9 +54,10 @@ def coverage(label: Column, low: Column, high: Column, scale: float = 1000.0) ->
     return {"picp": F.avg(F.when(has, F.when(label.between(low, high), 1.0).otherwise(0.0))), "mpiw": F.avg(F.when(has, high - low)) * scale}
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks; null where either column is constant."""
-    ranked = average_rank(average_rank(df, keys, x, "_rx"), keys, y, "_ry")
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, spread: bool = False, ranges: int | None = None) -> DataFrame:
+    """Correlation of average ranks; null where either column is constant. ``spread``: for few keys with many rows."""
+    rows = df.select(*keys, x, y)
+    ranked = average_rank(average_rank(rows, keys, x, "_rx", spread=spread, ranges=ranges), keys, y, "_ry", spread=spread, ranges=ranges, of=rows)
     return ranked.groupBy(*keys).agg(guarded_corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 

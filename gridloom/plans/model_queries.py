@@ -12,7 +12,7 @@ from gridloom.operators.governance import assert_no_leakage
 from gridloom.operators.spatial import mesh_edges
 from gridloom.plans.base import BUDGET_V, DIE, VDD_V, N, Register, Views, sql_tile
 from gridloom.session import stage, table
-from gridloom.sources.schema import FEATURE_GROUPS, SCENARIOS
+from gridloom.sources.schema import FEATURE_GROUPS, FEATURES, SCENARIOS
 
 query = Register()
 GROUP = ["design", "scenario"]
@@ -34,6 +34,11 @@ def _known(v: Views) -> DataFrame:
     return v.f.where("label_v is not null and phys_base_v is not null")
 
 
+def _staged(v: Views) -> DataFrame:
+    """The tiles with label and prediction, written once: ranks over all rows of a scenario read them several times."""
+    return stage(_known(v).select(*GROUP, "ty", "tx", "phys_base_v", "label_v"), "known")
+
+
 _COUNTS = "q AS (SELECT scenario, count(*) FILTER (label_v > 0.045 AND phys_base_v * {0} > 0.045) AS tp, count(*) FILTER (label_v <= 0.045 AND phys_base_v * {0} > 0.045) AS fp, count(*) FILTER (label_v > 0.045 AND phys_base_v * {0} <= 0.045) AS fn, count(*) FILTER (label_v <= 0.045 AND phys_base_v * {0} <= 0.045) AS tn FROM k GROUP BY 1)"
 
 
@@ -68,7 +73,7 @@ _RANKS = "rk AS (SELECT scenario, rank() OVER (PARTITION BY scenario ORDER BY la
 
 @query("scenario n", "spearman", "SELECT scenario, count(*) AS n, corr(rx, ry) AS spearman FROM rk GROUP BY 1", f"{_OK}, {_RANKS}")
 def q_spearman(v: Views) -> DataFrame:
-    return metrics.spearman(_known(v), ["scenario"], "phys_base_v", "label_v")
+    return metrics.spearman(_staged(v), ["scenario"], "phys_base_v", "label_v", True)
 
 
 @query("scenario n", "pearson", "SELECT scenario, count(*) AS n, corr(phys_base_v, label_v) AS pearson FROM k GROUP BY 1", _OK)
@@ -82,7 +87,7 @@ def q_top5pct(v: Views) -> DataFrame:
 
 
 def metrics_top(v: Views) -> DataFrame:
-    return ranking.top_share_hit(_known(v), ["scenario"], "label_v", "phys_base_v", ["design", "ty", "tx"])
+    return ranking.top_share_hit(_staged(v), ["scenario"], "label_v", "phys_base_v", ["design", "ty", "tx"], spread=True)
 
 
 @query("scenario", "picp mpiw", "SELECT scenario, avg(CASE WHEN label_v BETWEEN phys_base_v * 0.9 AND phys_base_v * 1.3 THEN 1.0 ELSE 0.0 END) AS picp, avg(phys_base_v * 1.3 - phys_base_v * 0.9) * 1000 AS mpiw FROM k GROUP BY 1", _OK)
@@ -95,12 +100,12 @@ _PR = "s AS (SELECT scenario, phys_base_v AS threshold, count(*) FILTER (label_v
 
 @query("scenario tp taken positives", "threshold precision recall", "SELECT scenario, cast(tp AS bigint) AS tp, cast(taken AS bigint) AS taken, cast(positives AS bigint) AS positives, threshold, tp / taken AS precision, CASE WHEN positives > 0 THEN tp / positives END AS recall FROM c2", f"{_OK}, {_PR}")
 def q_pr_curve(v: Views) -> DataFrame:
-    return ranking.precision_recall(_known(v).withColumn("hit", _y() > 0.045), ["scenario"], "hit", "phys_base_v")
+    return ranking.precision_recall(_staged(v).withColumn("hit", _y() > 0.045), ["scenario"], "hit", "phys_base_v", True).drop("hits")
 
 
 @query("scenario positives n", "average_precision", "SELECT scenario, cast(max(positives) AS bigint) AS positives, cast(max(taken) AS bigint) AS n, CASE WHEN max(positives) > 0 AND max(positives) < max(taken) THEN sum(st) END AS average_precision FROM (SELECT *, (tp / positives - coalesce(lag(tp / positives) OVER (PARTITION BY scenario ORDER BY threshold DESC), 0)) * tp / taken AS st FROM c2) GROUP BY 1", f"{_OK}, {_PR}")
 def q_avg_precision(v: Views) -> DataFrame:
-    return ranking.average_precision(_known(v).withColumn("hit", _y() > 0.045), ["scenario"], "hit", "phys_base_v")
+    return ranking.average_precision(_staged(v).withColumn("hit", _y() > 0.045), ["scenario"], "hit", "phys_base_v", True)
 
 
 _MISS = "greatest(phys_base_v * 0.95 - label_v, label_v - phys_base_v * 1.1)"
@@ -108,25 +113,26 @@ _CONF = "e AS (SELECT scenario, {0} AS e, row_number() OVER (PARTITION BY scenar
 _PICK = "SELECT scenario, n, e AS shift FROM e WHERE rn = ceil(round((n - 1) * least(1.0, ceil(round((n + 1) * 0.8, 9)) / n), 9)) + 1"
 
 
-def _shift(v: Views, relative: bool) -> DataFrame:
-    band = _known(v).where("phys_base_v > 0").withColumn("lo", _p() * 0.95).withColumn("hi", _p() * 1.1)
+def _shift(known: DataFrame, relative: bool) -> DataFrame:
+    band = known.where("phys_base_v > 0").withColumn("lo", _p() * 0.95).withColumn("hi", _p() * 1.1)
     return conformal.conformal_shift(band, ["scenario"], "label_v", "lo", "hi", 0.2, relative)
 
 
 @query("scenario n", "shift", _PICK, f"{_OK}, {_CONF.format(_MISS)}")
 def q_conformal_add(v: Views) -> DataFrame:
-    return _shift(v, False)
+    return _shift(_staged(v), False)
 
 
 @query("scenario n", "shift", _PICK, f"{_OK}, {_CONF.format(f'{_MISS} / (phys_base_v * 1.1 - phys_base_v * 0.95)')}")
 def q_conformal_ratio(v: Views) -> DataFrame:
-    return _shift(v, True)
+    return _shift(_staged(v), True)
 
 
 @query("design scenario ty tx", "lo_v hi_v", f"SELECT k.design, k.scenario, ty, tx, least(phys_base_v * 0.95 - s.shift, phys_base_v) AS lo_v, greatest(phys_base_v * 1.1 + s.shift, phys_base_v) AS hi_v FROM k JOIN ({_PICK}) s ON s.scenario = k.scenario WHERE phys_base_v > 0", f"{_OK}, {_CONF.format(_MISS)}")
 def q_apply_band(v: Views) -> DataFrame:
     """The shifted band of each tile, made to hold the prediction."""
-    band = _known(v).where("phys_base_v > 0").join(F.broadcast(_shift(v, False).select("scenario", "shift")), "scenario")  # a row a scenario
+    known = _staged(v)
+    band = known.where("phys_base_v > 0").join(F.broadcast(_shift(known, False).select("scenario", "shift")), "scenario")  # a row a scenario
     low, high = conformal.apply_shift(_p() * 0.95, _p() * 1.1, F.col("shift"))
     low, high = conformal.monotone(low, _p(), high)
     return band.select(*GROUP, "ty", "tx", low.alias("lo_v"), high.alias("hi_v"))
@@ -208,8 +214,8 @@ _PAIRS = " UNION ALL ".join(f"SELECT '{g}' AS feature_group, '{c}' AS feature, {
 @query("feature_group", "most mean", "SELECT feature_group, max(s) AS most, avg(s) AS mean FROM (SELECT feature_group, feature, coalesce(CASE WHEN stddev_pop(rx) > 1e-15 AND stddev_pop(ry) > 1e-15 THEN abs(corr(rx, ry)) END, 0) AS s FROM (SELECT feature_group, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM pr) GROUP BY 1, 2) GROUP BY 1", f"pr AS ({_PAIRS})")
 def q_feature_spearman(v: Views) -> DataFrame:
     pairs = F.explode(F.array(*(F.struct(F.lit(g).alias("feature_group"), F.lit(c).alias("feature"), F.col(c).alias("x")) for g, cols in FEATURE_GROUPS.items() for c in cols)))
-    long = v.f.where("label_v is not null").select(pairs.alias("p"), "label_v").select("p.*", F.col("label_v").alias("y")).where("x is not null")
-    each = metrics.spearman(long, ["feature_group", "feature"], "x", "y").withColumn("s", F.coalesce(F.abs("spearman"), F.lit(0.0)))
+    long = stage(v.f.where("label_v is not null").select(*FEATURES, "label_v"), "measures").select(pairs.alias("p"), "label_v").select("p.*", F.col("label_v").alias("y")).where("x is not null")
+    each = metrics.spearman(long, ["feature_group", "feature"], "x", "y", True).withColumn("s", F.coalesce(F.abs("spearman"), F.lit(0.0)))
     return each.groupBy("feature_group").agg(F.max("s").alias("most"), F.avg("s").alias("mean"))
 
 

@@ -180,3 +180,24 @@ def test_leakage_is_found(spark):
         governance.assert_no_leakage(bad.select("fy"))
     good = spark.read.parquet("/root/testdata/sf0.001/modules.parquet").select("module")
     assert governance.assert_no_leakage(good) is good
+
+
+def test_spread_ranks_equal_plain_ones(spark):
+    rng = np.random.RandomState(2)
+    rows = [(k, float(v), float(y), i) for i, (k, v, y) in enumerate(zip(rng.choice(["a", "a", "a", "b"], 900).tolist(), np.where(rng.rand(900) < 0.4, 3.0, rng.randint(0, 60, 900)), rng.randint(0, 9, 900) / 8.0))]
+    rows += [("c", 1.0, 0.5, 900), (None, 1.0, 0.5, 901), (None, 2.0, 0.5, 902), ("b", None, 0.1, 903), ("b", float("nan"), 0.1, 904)]
+    df = spark.createDataFrame(rows, "k string, v double, y double, i int")
+    plain = lambda d: sorted(map(str, d.collect()))
+    assert ranking.Ranges(df, ["k"], "v", 8).frequent
+    for n in (8, 50):
+        assert plain(ranking.average_rank(df, ["k"], "v", relative=True, spread=True, ranges=n)) == plain(ranking.average_rank(df, ["k"], "v", relative=True))
+        known = df.where("v is not null and not isnan(v)")
+        assert plain(metrics.spearman(known, ["k"], "v", "y", True, n).withColumn("spearman", F.round("spearman", 9))) == plain(metrics.spearman(known, ["k"], "v", "y").withColumn("spearman", F.round("spearman", 9)))
+        for level in (0.0, 0.3, 0.5, 0.97, 1.0):
+            assert plain(ranking.order_statistic(known, ["k"], "v", level, spread=True, ranges=n)) == plain(ranking.order_statistic(known, ["k"], "v", level))
+        hit = known.withColumn("h", F.col("y") > 0.6)
+        assert plain(ranking.precision_recall(hit, ["k"], "h", "v", True, n)) == plain(ranking.precision_recall(hit, ["k"], "h", "v"))
+        assert plain(ranking.top_share_hit(known, ["k"], "y", "v", ["i"], 0.2, True, n)) == plain(ranking.top_share_hit(known, ["k"], "y", "v", ["i"], 0.2))
+    assert ranking.average_rank(df.limit(0), ["k"], "v", spread=True).count() == 0
+    with pytest.raises(ValueError):
+        ranking.Ranges(spark.range(2000).withColumn("v", F.col("id")), ["id"], "v")
