@@ -125,16 +125,22 @@ def influence_solve(table: DataFrame, currents: DataFrame, keys: list[str] = ["d
 
 
 def residuals(solved: DataFrame, cells: DataFrame, currents: DataFrame, edges: DataFrame, keys: list[str] = ["design"]) -> DataFrame:  # noqa: B006
-    """Greatest error of A u = i per key and scenario, by joins alone (an independent check of the kernel)."""
-    u = solved.select(*keys, "scenario", "ty", "tx", "drop_v")
-    far = edges.select(*keys, "g", F.col("ty").alias("ay"), F.col("tx").alias("ax"), (F.col("ty") + (F.col("direction") == "down").cast("int")).alias("by"), (F.col("tx") + (F.col("direction") == "right").cast("int")).alias("bx"))
-    side = lambda y, x, name: u.select(*keys, "scenario", F.col("ty").alias(y), F.col("tx").alias(x), F.col("drop_v").alias(name))
-    flow = far.join(side("ay", "ax", "ua"), [*keys, "ay", "ax"]).join(side("by", "bx", "ub"), [*keys, "scenario", "by", "bx"]).withColumn("f", F.col("g") * (F.col("ua") - F.col("ub")))
-    ends = flow.select(*keys, "scenario", F.explode(F.array(F.struct(F.col("ay").alias("ty"), F.col("ax").alias("tx"), F.col("f").alias("f")), F.struct(F.col("by").alias("ty"), F.col("bx").alias("tx"), (-F.col("f")).alias("f")))).alias("e")).select(*keys, "scenario", "e.*")
-    own = u.join(cells.select(*keys, "ty", "tx", "supply"), [*keys, "ty", "tx"]).select(*keys, "scenario", "ty", "tx", (F.col("supply") * F.col("drop_v")).alias("f"))
-    solvable = cells.where("supply > 0").select(*(F.col(k).alias(k) for k in keys)).distinct()
+    """Greatest error of A u = i per key and scenario, by joins alone (an independent check of the kernel). Each cell has
+    its conductances to its neighbours first, so that the drops are joined once: to the cells around them."""
+    down, right = (F.col("direction") == "down").cast("int"), (F.col("direction") == "right").cast("int")
+    near = F.struct("ty", "tx"), F.struct((F.col("ty") + down).alias("ty"), (F.col("tx") + right).alias("tx"))
+    one = lambda a, b, g: F.struct(a["ty"].alias("ty"), a["tx"].alias("tx"), b["ty"].alias("oy"), b["tx"].alias("ox"), g.alias("g"))
+    g = F.col("g")
+    # row (ty, tx) of A: what the drop at (oy, ox) adds to it
+    ends = F.array(one(near[0], near[0], g), one(near[1], near[1], g), one(near[0], near[1], -g), one(near[1], near[0], -g))
+    entries = edges.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
+    own = cells.where("supply > 0").select(*keys, "ty", "tx", F.col("ty").alias("oy"), F.col("tx").alias("ox"), F.col("supply").alias("g"))
+    entries = entries.unionByName(own).groupBy(*keys, "ty", "tx", "oy", "ox").agg(F.sum("g").alias("g"))
+    u = solved.select(*keys, "scenario", F.col("ty").alias("oy"), F.col("tx").alias("ox"), "drop_v")
+    made = u.join(entries, [*keys, "oy", "ox"]).select(*keys, "scenario", "ty", "tx", (F.col("g") * F.col("drop_v")).alias("f"))
+    solvable = cells.where("supply > 0").select(*keys).distinct()
     given = currents.join(solvable, keys, "left_semi").select(*keys, "scenario", "ty", "tx", (-F.col("current_a")).alias("f"))
-    total = ends.select(own.columns).unionByName(own).unionByName(given.select(own.columns)).groupBy(*keys, "scenario", "ty", "tx").agg(F.sum("f").alias("r"))
+    total = made.unionByName(given.select(made.columns)).groupBy(*keys, "scenario", "ty", "tx").agg(F.sum("f").alias("r"))
     return total.groupBy(*keys, "scenario").agg(F.max(F.abs("r")).alias("residual"))
 
 

@@ -38,9 +38,10 @@ def densify(sparse: DataFrame, grid: DataFrame, keys: list[str], fill: float = 0
     return grid.join(sparse, keys, "left").fillna(fill, subset=values)
 
 
-def block_reduce(fine: DataFrame, keys: list[str], value: str, r: int, fy: str = "fy", fx: str = "fx") -> DataFrame:
-    """Mean, least and greatest fine value of each r by r block: ``ty, tx, v_mean, v_min, v_max, n_cells``."""
-    blocks = fine.withColumn("ty", F.expr(f"cast({fy} div {r} as int)")).withColumn("tx", F.expr(f"cast({fx} div {r} as int)"))
+def block_reduce(fine: DataFrame, keys: list[str], value: str, r: int, fy: str = "fy", fx: str = "fx", tiled: bool = False) -> DataFrame:
+    """Mean, least and greatest fine value of each r by r block: ``ty, tx, v_mean, v_min, v_max, n_cells``. ``tiled``: the
+    rows have their ``ty, tx`` (and perhaps a partitioning by them)."""
+    blocks = fine if tiled else fine.withColumn("ty", F.expr(f"cast({fy} div {r} as int)")).withColumn("tx", F.expr(f"cast({fx} div {r} as int)"))
     return blocks.groupBy(*keys, "ty", "tx").agg(F.avg(value).alias("v_mean"), F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.count(value).alias("n_cells"))
 
 

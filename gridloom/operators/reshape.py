@@ -30,6 +30,14 @@ def wide_metrics(long: DataFrame, keys: list[str], metric: str, value: str, name
     return long.groupBy(*keys).pivot(metric, names).agg(F.first(value))
 
 
+def dense_lines(tiles: DataFrame, keys: list[str], value: str, n: int, ty: str = "ty", tx: str = "tx") -> DataFrame:
+    """Each map as n lines of n values: keys, ``ty`` and the array ``line``; absent tiles are 0. Lines without tiles too."""
+    held = tiles.groupBy(*keys, ty).agg(F.map_from_entries(F.collect_list(F.struct(tx, value))).alias("_m"))  # n entries at most
+    every = tiles.select(*keys).distinct().withColumn(ty, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.coalesce(F.try_element_at("_m", x), F.lit(0.0)))
+    return every.join(held, [*keys, ty], "left").withColumn("line", at).drop("_m")
+
+
 def formatted(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """Numbers as text of fixed digits; null becomes ``n/a``."""
     return df.withColumns({c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("n/a")) for c in columns})

@@ -33,16 +33,19 @@ def power_fraction(activity: DataFrame, modules: DataFrame, design: str = "desig
 
 def instance_currents(instances: DataFrame, modules: DataFrame, activity: DataFrame | None, vdd: float, design: str = "design") -> DataFrame:
     """Current of each instance: its module's rated power times activity, over the supply, shared equally by the
-    module's instances. Missing rating or activity counts as 0; without ``activity`` the activity is 1."""
-    counts = instances.groupBy(design, "module").agg(F.count("*").alias("_n"))
+    module's instances. Missing module, rating or activity counts as 0; without ``activity`` the activity is 1. An instance
+    has a row for each scenario of its design."""
+    counts = instances.groupBy(design, "module").agg(F.count("*").alias("_n"))  # one row a module
     per = counts.join(modules.select(design, "module", "rated_power_mw", "clock_domain"), [design, "module"], "left")
     unit = per.withColumn("unit_a", F.coalesce("rated_power_mw", F.lit(0.0)) * 1e-3 / (F.lit(vdd) * F.col("_n"))).select(design, "module", "clock_domain", "unit_a")
     if activity is None:
         return instances.join(unit, [design, "module"], "left")
     scenarios = activity.select(design, "scenario").distinct()
+    # the instances without module are a group of their own
     every = unit.join(scenarios, design).join(activity.select(design, "scenario", "module", "activity"), [design, "scenario", "module"], "left")
     rated = every.withColumn("current_a", F.col("unit_a") * F.coalesce("activity", F.lit(0.0))).select(design, "scenario", "module", "clock_domain", "current_a")
-    return instances.join(rated, [design, "module"])
+    mine = rated.withColumnsRenamed({design: "_d", "module": "_m"})
+    return instances.join(mine, (F.col(design) == F.col("_d")) & F.col("module").eqNullSafe(F.col("_m"))).drop("_d", "_m")
 
 
 def peak_normalised(df: DataFrame, keys: list[str], value: str, name: str = "relative") -> DataFrame:
@@ -56,6 +59,14 @@ def weighted_split(df: DataFrame, keys: list[str], total: Column, weight: Column
     return df.withColumn("_w", weight).withColumn(name, ratio(total * F.col("_w"), F.sum("_w").over(W.partitionBy(*keys)), 0.0)).drop("_w")
 
 
+def weighted_cut(df: DataFrame, keys: list[str], order: list[str], weight: str, shares: list[float], name: str = "part") -> DataFrame:
+    """Rows of each group parted where the running weight passes each share of the total: the number of cuts below."""
+    by = W.partitionBy(*keys)
+    run = df.withColumn("_run", F.sum(weight).over(by.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(weight).over(by))
+    cuts = sum((F.when(F.col("_run") > F.col("_all") * s, 1).otherwise(0) for s in shares), F.lit(0))
+    return run.withColumn(name, cuts).drop("_run", "_all")
+
+
 def cell_weight(area: Column, is_clk: Column, is_seq: Column) -> Column:
     """Area weighted by kind: clock cells 2, sequential cells 1.5, others 1."""
     return area * F.when(is_clk == 1, 2.0).when(is_seq == 1, 1.5).otherwise(1.0)

@@ -1,6 +1,6 @@
 """Clean views of the domain tables, in Spark and as SQL, and the register of queries.
 
-Views: ``m`` modules, ``a`` activity, ``i`` instances, ``c`` macros, ``f`` features, ``r`` drop maps, ``p`` coverage
+Views: ``m`` modules, ``a`` activity, ``i`` instances, ``c`` macros, ``f`` features, ``r`` drop maps (``rt`` by tile), ``p`` coverage
 per design, ``b`` bumps and ``s`` planned straps (both from the raw records). Names are trimmed and in lower case, one
 row per key (repeats and versions reduced by their greatest valid value), NaN is null. The die is a fixed square.
 """
@@ -63,6 +63,14 @@ class Views:
     def r(self) -> DataFrame:
         return self._clean("irmap", "design_id", ["scenario"]).where("drop_v between 0 and 0.2").groupBy("design", "scenario", "fy", "fx").agg(F.max("drop_v").alias("drop_v"))
 
+    @property
+    def rt(self) -> DataFrame:
+        """``r`` with ``ty, tx`` of its coarse tile, shuffled once: by tile, which serves the cells and the tiles."""
+        rows = self._clean("irmap", "design_id", ["scenario"]).where("drop_v between 0 and 0.2")
+        tile = ["design", "scenario", "ty", "tx"]
+        rows = rows.select("design", "scenario", F.expr("cast(fy div 4 as int)").alias("ty"), F.expr("cast(fx div 4 as int)").alias("tx"), "fy", "fx", "drop_v")
+        return rows.repartition(*tile).groupBy(*tile, "fy", "fx").agg(F.max("drop_v").alias("drop_v"))
+
     @property
     def p(self) -> DataFrame:
         return self._clean("picp_per_design", "design", []).dropna(subset=["variant", "seed", "fold"]).groupBy("variant", "seed", "fold", "design").agg(F.max(finite("picp")).alias("picp"), F.max(finite("mpiw_mv")).alias("mpiw_mv"))

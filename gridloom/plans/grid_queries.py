@@ -38,12 +38,12 @@ def q_tile_inverse(v: Views) -> DataFrame:
 
 @query("design scenario ty tx n_cells", "v_mean v_min v_max", _BLOCK)
 def q_block_reduce(v: Views) -> DataFrame:
-    return raster.block_reduce(v.r, GROUP, "drop_v", 4)
+    return raster.block_reduce(v.rt, GROUP, "drop_v", 4, tiled=True)
 
 
 @query("design scenario ty tx", "label_v other_v", "SELECT f.design, f.scenario, f.ty, f.tx, w.v_max AS label_v, f.label_v AS other_v FROM f JOIN w ON f.design = w.design AND f.scenario = w.scenario AND f.ty = w.ty AND f.tx = w.tx", f"w AS ({_BLOCK})")
 def q_label_max(v: Views) -> DataFrame:
-    worst = raster.block_reduce(v.r, GROUP, "drop_v", 4).select(*GROUP, "ty", "tx", F.col("v_max").alias("w"))
+    worst = raster.block_reduce(v.rt, GROUP, "drop_v", 4, tiled=True).select(*GROUP, "ty", "tx", F.col("v_max").alias("w"))
     return v.f.join(worst, [*GROUP, "ty", "tx"]).select(*GROUP, "ty", "tx", F.col("w").alias("label_v"), F.col("label_v").alias("other_v"))
 
 
@@ -82,7 +82,7 @@ def q_edge_dist(v: Views) -> DataFrame:
 _UNIT = "u AS (SELECT i.design, i.module, count(*) AS n FROM i GROUP BY 1, 2), per AS (SELECT u.design, u.module, m.clock_domain, coalesce(m.rated_power_mw, 0) * 0.001 / (0.9 * u.n) AS unit_a FROM u LEFT JOIN m ON u.design = m.design AND u.module = m.module)"
 
 
-@query("design inst_id scenario", "current_a", "SELECT i.design, i.inst_id, s.scenario, per.unit_a * coalesce(a.activity, 0) AS current_a FROM i JOIN per ON i.design = per.design AND i.module = per.module JOIN (SELECT DISTINCT design, scenario FROM a) s ON s.design = i.design LEFT JOIN a ON a.design = i.design AND a.scenario = s.scenario AND a.module = i.module", _UNIT, 9)
+@query("design inst_id scenario", "current_a", "SELECT i.design, i.inst_id, s.scenario, per.unit_a * coalesce(a.activity, 0) AS current_a FROM i JOIN per ON i.design = per.design AND i.module IS NOT DISTINCT FROM per.module JOIN (SELECT DISTINCT design, scenario FROM a) s ON s.design = i.design LEFT JOIN a ON a.design = i.design AND a.scenario = s.scenario AND a.module = i.module", _UNIT, 9)
 def q_instance_currents(v: Views) -> DataFrame:
     return shares.instance_currents(v.i, v.m, v.a, VDD_V).select("design", "inst_id", "scenario", "current_a")
 
@@ -104,8 +104,7 @@ _LISTS = "SELECT design, scenario, fy // 4 AS ty, fx // 4 AS tx, list(drop_v ORD
 
 @query("design scenario ty tx", "conc_ratio conc_top", f"SELECT design, scenario, ty, tx, CASE WHEN s > 0 THEN mx / (s / 16) ELSE 1 END AS conc_ratio, CASE WHEN s > 0 THEN list_sum(l[1:4]) / s ELSE 0.25 END AS conc_top FROM ({_LISTS})")
 def q_conc_ratio(v: Views) -> DataFrame:
-    fine = v.r.withColumn("ty", F.expr("cast(fy div 4 as int)")).withColumn("tx", F.expr("cast(fx div 4 as int)"))
-    return shares.concentration(fine, [*GROUP, "ty", "tx"], "drop_v")
+    return shares.concentration(v.rt, [*GROUP, "ty", "tx"], "drop_v")
 
 
 @query("design scenario", "power_frac", "SELECT a.design, a.scenario, CASE WHEN sum(rated_power_mw) > 0 THEN coalesce(sum(rated_power_mw * activity), 0) / sum(rated_power_mw) ELSE 0 END AS power_frac FROM a JOIN m ON a.design = m.design AND a.module = m.module GROUP BY 1, 2")
@@ -282,7 +281,7 @@ def q_median_pitch(v: Views) -> DataFrame:
     return spatial.pitch(v.c, ["design"], "macro_id", "x0_um", "y0_um").where("pitch is not null")
 
 
-@query("design ty tx direction", "g", "SELECT a.design, a.ty, a.tx, CASE WHEN a.ty = b.ty THEN 'right' ELSE 'down' END AS direction, 2.0 * 0.5 * (a.c + b.c) AS g FROM g a JOIN g b ON a.design = b.design AND ((a.ty = b.ty AND a.tx + 1 = b.tx) OR (a.ty + 1 = b.ty AND a.tx = b.tx))", _MAP)
+@query("design ty tx direction", "g", "SELECT a.design, a.ty, a.tx, 'right' AS direction, 2.0 * 0.5 * (a.c + b.c) AS g FROM g a JOIN g b ON a.design = b.design AND a.ty = b.ty AND a.tx + 1 = b.tx UNION ALL SELECT a.design, a.ty, a.tx, 'down', 2.0 * 0.5 * (a.c + b.c) FROM g a JOIN g b ON a.design = b.design AND a.ty + 1 = b.ty AND a.tx = b.tx", _MAP)
 def q_mesh_edges(v: Views) -> DataFrame:
     grid = raster.full_grid(v.c.select("design").distinct(), N)
     cells = raster.densify(_placed(v).groupBy("design", "ty", "tx").agg(F.count("*").cast("double").alias("c")), grid, ["design", "ty", "tx"])

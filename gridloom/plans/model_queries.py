@@ -330,21 +330,21 @@ def _mesh(v: Views, n: int = N) -> tuple[DataFrame, DataFrame]:
     return cells, cur.groupBy(*GROUP, "ty", "tx").agg(F.sum("current_a").alias("current_a"))
 
 
-_DRIVEN = "dr AS (SELECT DISTINCT i.design, a.scenario FROM i JOIN a ON a.design = i.design WHERE i.module IS NOT NULL AND i.design IN (SELECT design FROM c))"
+_DRIVEN = "dr AS (SELECT DISTINCT i.design, a.scenario FROM i JOIN a ON a.design = i.design WHERE i.design IN (SELECT design FROM c))"
 
 
 @query("design scenario", "residual", "SELECT design, scenario, 0 AS residual FROM dr", _DRIVEN, 9)
 def q_mesh_residual(v: Views) -> DataFrame:
     """Greatest error of A u = i, by joins over the mesh's edges: zero."""
-    cells, cur = _mesh(v)
-    solved = mesh.solve_designs(cells, cur, N)
+    cells, cur = (stage(x, "mesh") for x in _mesh(v))  # each is read several times, and the solution too
+    solved = stage(mesh.solve_designs(cells, cur, N), "drops")
     return mesh.residuals(solved, cells, cur, mesh_edges(cells, ["design"], "strap", 2.0))
 
 
 @query("design scenario", "difference", "SELECT design, scenario, 0 AS difference FROM dr", _DRIVEN, 9)
 def q_influence_solve(v: Views) -> DataFrame:
     """Superposition over the influence table against the direct solution: zero."""
-    cells, cur = _mesh(v)
+    cells, cur = (stage(x, "mesh") for x in _mesh(v))
     a = mesh.influence_solve(mesh.influence(cells, N, sources=cur), cur).withColumnRenamed("drop_v", "other")
     b = mesh.solve_designs(cells, cur, N)
     return b.join(a, [*GROUP, "ty", "tx"]).groupBy(*GROUP).agg(F.max(F.abs(F.col("drop_v") - F.col("other"))).alias("difference"))
@@ -361,7 +361,7 @@ def q_mesh_solve(v: Views) -> DataFrame:
 def q_calibration(v: Views) -> DataFrame:
     """Scale of each design's conductances for its target peak, with the corpus median."""
     cells, cur = _mesh(v)
-    scale = mesh.solve_designs(cells, cur, N).groupBy("design").agg(mesh.calibration("drop_v", BUDGET_V * 0.9).alias("scale"))
+    scale = stage(mesh.solve_designs(cells, cur, N).groupBy("design").agg(mesh.calibration("drop_v", BUDGET_V * 0.9).alias("scale")), "scale")  # one row a design, read twice
     median = scale.agg(F.percentile("scale", 0.5).alias("median"))
     return scale.join(F.broadcast(median), F.lit(True))  # one row
 

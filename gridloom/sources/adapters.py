@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import first_number
+from gridloom.session import exists
 
 CHANNELS = ("current", "eff_dist", "pdn_density", "ir_drop")
 #: File of each channel.
@@ -55,22 +56,37 @@ def exploded(geo: DataFrame, part: str) -> DataFrame:
     return geo.select("file", F.posexplode(part).alias("place", "p")).select("file", "place", "p.*")
 
 
-def timing_paths(text: DataFrame, names: DataFrame, begin: str = ">>>PATHS_BEGIN<<<", end: str = ">>>PATHS_END<<<") -> DataFrame:
-    """Paths of timing reports. ``text``: file, value (a whole report). ``names``: file, inst_name, inst_id. Result:
-    file, path_no, endpoint, slack_ns, delay_ns, inst_ids (distinct, ascending; that of the endpoint if a path has none)."""
-    body = F.split_part(F.split_part("value", F.lit(begin), F.lit(2)), F.lit(end), F.lit(1))
-    blocks = text.select("file", F.posexplode(F.slice(F.split(body, r"\nStartpoint: "), 2, 1_000_000)).alias("path_no", "block"))
-    number = lambda pattern: F.nullif(F.regexp_extract("block", pattern, 1), F.lit("")).try_cast("double")
-    instance = lambda pin: F.regexp_replace(pin, r"/[^/]*$", "")
-    paths = blocks.select(
-        "file", "path_no",
-        F.coalesce(F.nullif(F.regexp_extract("block", r"\nEndpoint: (\S+)", 1), F.lit("")), F.lit("n/a")).alias("endpoint"),
-        F.coalesce(number(r"(?m)^\s*([-\d.]+)\s+slack\s+\((?:MET|VIOLATED)\)"), F.lit(0.0)).alias("slack_ns"),
-        F.coalesce(number(r"(?m)^\s*([-\d.]+)\s+data arrival time"), F.lit(0.0)).alias("delay_ns"),
-        F.transform(F.regexp_extract_all("block", F.lit(r"(?m)^\s*[-\d.]+\s+[-\d.]+\s+[v^&r]?\s*(\S+)\s+\("), F.lit(1)), instance).alias("pins"),
-    ).withColumn("at_end", instance(F.col("endpoint")))
+def timing_paths(text: DataFrame, names: DataFrame, begin: str, end: str) -> DataFrame:
+    """Paths of timing reports. ``text``: file, value (a whole report). ``names``: file, inst_name, inst_id. ``begin`` and
+    ``end``: the marks between which the report's paths stand; a report without them raises. Result: file, path_no,
+    endpoint, slack_ns, delay_ns, inst_ids (distinct, ascending; that of the endpoint if a path has none).
+
+    A report is read by its columns: a line is parted at its blanks. Fixed values: a path begins with ``Startpoint:``;
+    ``Endpoint:`` is followed by its pin; the lines that end in ``slack (MET)`` or ``slack (VIOLATED)`` and in ``data
+    arrival time`` begin with their number; a line of two numbers, perhaps an edge, a pin and a cell in brackets is a
+    stage of the path."""
+    marked = F.when(F.col("value").contains(begin) & F.col("value").contains(end), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no marked paths in "), "file")))
+    body = F.split_part(F.split_part(marked, F.lit(begin), F.lit(2)), F.lit(end), F.lit(1))
+    pieces = F.split(body, "Startpoint:")
+    each = text.select("file", F.posexplode(F.slice(pieces, 2, F.size(pieces))).alias("path_no", "piece"))
+    lines = F.filter(F.transform(F.split("piece", "\n"), lambda row: F.split(F.trim(F.translate(row, "\t\r", "  ")), " +")), lambda w: F.size(w) > 1)
+    each = each.select("file", "path_no", lines.alias("lines"))
+    word = lambda w, i: F.get(w, F.lit(i))
+    first = lambda keep, take: F.get(F.transform(F.filter("lines", keep), take), 0)
+    number = lambda w, i=0: word(w, i).try_cast("double")
+    endpoint = first(lambda w: word(w, 0) == "Endpoint:", lambda w: word(w, 1))
+    slack = first(lambda w: (word(w, 1) == "slack") & word(w, 2).isin("(MET)", "(VIOLATED)"), number)
+    arrival = first(lambda w: F.array_join(F.slice(w, 2, 3), " ") == "data arrival time", number)
+    edge = lambda w: word(w, 2).isin("v", "^", "r", "f", "&")
+    cell = lambda w: F.when(edge(w), word(w, 4)).otherwise(word(w, 3))
+    stages = F.filter("lines", lambda w: number(w, 0).isNotNull() & number(w, 1).isNotNull() & F.coalesce(cell(w).startswith("("), F.lit(False)))
+    instance = lambda pin: F.array_join(F.slice(F.split(pin, "/"), 1, F.greatest(F.size(F.split(pin, "/")) - 1, F.lit(1))), "/")
+    pins = F.transform(stages, lambda w: instance(F.when(edge(w), word(w, 3)).otherwise(word(w, 2))))
+    zero = F.lit(0.0)
+    paths = each.select("file", "path_no", F.coalesce(endpoint, F.lit("n/a")).alias("endpoint"), F.coalesce(slack, zero).alias("slack_ns"), F.coalesce(arrival, zero).alias("delay_ns"), pins.alias("pins"))
+    paths = paths.withColumn("at_end", instance(F.col("endpoint")))
     pins = paths.select("file", "path_no", F.explode("pins").alias("inst_name"))
-    hit = pins.join(names, ["file", "inst_name"]).groupBy("file", "path_no").agg(F.array_sort(F.collect_set("inst_id")).alias("ids"))
+    hit = pins.join(names, ["file", "inst_name"]).groupBy("file", "path_no").agg(F.array_sort(F.collect_set("inst_id")).alias("ids"))  # those of one path
     last = names.select("file", F.col("inst_name").alias("at_end"), F.col("inst_id").alias("end_id"))
     joined = paths.join(hit, ["file", "path_no"], "left").join(last, ["file", "at_end"], "left")
     ids = F.coalesce("ids", F.when(F.col("end_id").isNotNull(), F.array("end_id")), F.array().cast("array<int>"))
@@ -85,7 +101,7 @@ def report_scalar(report: Column, names: list[str], default: float) -> Column:
 def voltages(spark: SparkSession, path: str, vdd: float) -> DataFrame:
     """Node drops: x_um, y_um, drop_v. Columns are found by what their names hold; rows that are no numbers are left
     out; absolute voltages become drops; negative drops become 0. Raises without the file or its columns."""
-    if not Path(path).exists():
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     df = spark.read.csv(path, header=True)
     pick = lambda *parts: next((c for c in df.columns if any(p in c.lower() for p in parts)), None)
@@ -93,7 +109,7 @@ def voltages(spark: SparkSession, path: str, vdd: float) -> DataFrame:
     if not (x and y and v):
         raise ValueError(f"no position and voltage among {df.columns}")
     rows = df.select(*(F.col(c).try_cast("double").alias(n) for c, n in ((x, "x_um"), (y, "y_um"), (v, "v")))).dropna()
-    absolute = rows.agg(F.percentile("v", 0.5).alias("m")).first()["m"]  # one number
+    absolute = rows.agg(F.percentile_approx("v", 0.5).alias("m")).first()["m"]  # one number
     drop = F.lit(vdd) - F.col("v") if absolute is not None and absolute > 0.5 * vdd else F.col("v")
     return rows.select("x_um", "y_um", F.greatest(drop, F.lit(0.0)).alias("drop_v"))
 

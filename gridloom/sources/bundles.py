@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import os
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import finite
 from gridloom.operators.reshape import upsert
+from gridloom.session import exists
 from gridloom.sources.schema import BUDGET_FRAC, BUNDLE, MANIFEST, OPTIONAL, VDD_V
 
 
@@ -36,6 +39,11 @@ def read_csv(spark: SparkSession, paths: str | list[str], table: str, mode: str
     return spark.read.schema((BUNDLE | OPTIONAL | {"manifest": MANIFEST})[table]).csv(paths, header=True, mode=mode, nanValue="nan", enforceSchema=False)
 
 
+def ddl(table: str) -> str:
+    """The declared columns of a table, as text."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (BUNDLE | OPTIONAL)[table])
+
+
 def _design_of(path: str):
     return F.element_at(F.split(F.col(path), "/"), -2)
 
@@ -71,7 +79,7 @@ def load_design(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     if missing:
         raise ValueError(f"missing files: {missing}")
     keyed = {n: df if "design_id" in df.columns else df.withColumn("design_id", F.lit(Path(directory).name)) for n, df in frames.items()}
-    faults = validate(keyed).orderBy("check").limit(100).collect()
+    faults = validate(keyed).orderBy("check", "file", "message").collect()  # a few a check: of one design
     if faults:
         raise ValueError("; ".join(f"{r['file']}: {r['message']}" for r in faults))
     return keyed
@@ -80,9 +88,10 @@ def load_design(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 def write_bundles(frames: dict[str, DataFrame], directory: str, form: str = "csv") -> None:
     """Every table, partitioned by design; CSV for exchange, Parquet for use."""
     for name, df in frames.items():
-        writer = df.write.mode("overwrite")
-        if "design_id" in df.columns and name != "manifest":
-            writer = writer.partitionBy("design_id")
+        keyed = "design_id" in df.columns and name != "manifest"
+        # rows of a design meet in one file each, or in several where they are many
+        writer = (df.hint("rebalance", "design_id") if keyed else df).write.mode("overwrite")
+        writer = writer.partitionBy("design_id") if keyed else writer
         (writer.option("header", True).csv if form == "csv" else writer.parquet)(f"{directory}/{name}")
 
 
@@ -103,7 +112,7 @@ def resolve_params(stats: DataFrame, bumps_pitch: DataFrame, vdd: float = VDD_V,
 def toggle_rates(spark: SparkSession, path: str | None) -> DataFrame:
     """Measured rates by scenario and module; an empty frame without the file or its columns."""
     schema = "scenario string, module string, rate double"
-    if not path or not Path(path).exists():
+    if not path or not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.csv(path, header=True)
     if not {"scenario", "module", "toggles_per_bit_per_us"} <= set(df.columns):
@@ -112,10 +121,15 @@ def toggle_rates(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, comment: str) -> None:
-    """A prediction table as CSV under a comment line."""
-    text = df.select(F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns)).alias("value"))
-    head = df.sparkSession.createDataFrame([(f"# {comment}\n{','.join(df.columns)}",)], "value string")
-    head.unionByName(text).coalesce(1).write.mode("overwrite").text(path)
+    """A prediction table as CSV; each file of it begins with a comment line and the names of the columns."""
+    text = df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
+    head = f"# {comment}\n{','.join(df.columns)}"
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        yield from batches
+
+    text.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:

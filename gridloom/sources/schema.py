@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def struct(text: str) -> T.StructType:
-    """'a:string b:double' -> StructType."""
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (c.split(":") for c in text.split())])
-
-
+#: The tables of a bundle, their columns and types in order.
 BUNDLE: dict[str, T.StructType] = {
-    "design_stats": struct("design_id:s config:s hash:s cells:l flops:l xor_cells:l chip_area_um2:d seq_area_um2:d seq_pct:d lint_rc:i ts_utc:s die_w_um:d die_h_um:d vdd_v:d clock_period_ns:d core_util:d bump_pitch_um:d strap_pitch_um:d strap_width_um:d pdn_layers:s"),
-    "modules": struct("module:s clock_domain:s power_domain:s rated_power_mw:d"),
-    "macros": struct("macro_id:i module:s x0_um:d y0_um:d x1_um:d y1_um:d power_mw:d"),
-    "instances": struct("inst_id:i inst_name:s module:s cell_type:s x_um:d y_um:d area_um2:d cap_ff:d is_seq:i is_clk:i is_macro:i"),
-    "bumps": struct("bump_id:i x_um:d y_um:d"),
-    "strap_planned": struct("fy:i fx:i density:d"),
-    "activity": struct("scenario:s module:s activity:d mission_weight:d"),
-    "paths": struct("path_id:i endpoint:s clock_domain:s slack_ns:d delay_ns:d inst_ids:s"),
-    "irmap": struct("scenario:s fy:i fx:i drop_v:d"),
+    "design_stats": T.StructType.fromDDL("design_id string, config string, hash string, cells bigint, flops bigint, xor_cells bigint, chip_area_um2 double, seq_area_um2 double, seq_pct double, lint_rc int, ts_utc string, die_w_um double, die_h_um double, vdd_v double, clock_period_ns double, core_util double, bump_pitch_um double, strap_pitch_um double, strap_width_um double, pdn_layers string"),
+    "modules": T.StructType.fromDDL("module string, clock_domain string, power_domain string, rated_power_mw double"),
+    "macros": T.StructType.fromDDL("macro_id int, module string, x0_um double, y0_um double, x1_um double, y1_um double, power_mw double"),
+    "instances": T.StructType.fromDDL("inst_id int, inst_name string, module string, cell_type string, x_um double, y_um double, area_um2 double, cap_ff double, is_seq int, is_clk int, is_macro int"),
+    "bumps": T.StructType.fromDDL("bump_id int, x_um double, y_um double"),
+    "strap_planned": T.StructType.fromDDL("fy int, fx int, density double"),
+    "activity": T.StructType.fromDDL("scenario string, module string, activity double, mission_weight double"),
+    "paths": T.StructType.fromDDL("path_id int, endpoint string, clock_domain string, slack_ns double, delay_ns double, inst_ids string"),
+    "irmap": T.StructType.fromDDL("scenario string, fy int, fx int, drop_v double"),
 }
-OPTIONAL = {"toggle": struct("scenario:s inst_id:i toggle_rate:d")}
-MANIFEST = struct("design_id:s corpus:s path:s n_scenarios:i n_instances:l source:s")
+#: A table that may be absent, and the manifest.
+OPTIONAL = {"toggle": T.StructType.fromDDL("scenario string, inst_id int, toggle_rate double")}
+MANIFEST = T.StructType.fromDDL("design_id string, corpus string, path string, n_scenarios int, n_instances bigint, source string")
 
 #: The 32 features by group, in their order.
 FEATURE_GROUPS: dict[str, list[str]] = {
@@ -37,12 +33,13 @@ FEATURE_GROUPS: dict[str, list[str]] = {
 }
 FEATURES = [name for group in FEATURE_GROUPS.values() for name in group]
 IDENTITY = ["design", "scenario", "ty", "tx"]
-#: Columns that must never become features.
+#: Columns that must never become features.
 BANNED = ["hash", "config", "design_id", "ts_utc", "lint_rc"]
 
 #: Scenarios with their share of a mission.
 SCENARIOS = {"idle": 0.30, "seq_read": 0.25, "seq_write": 0.15, "rand_read_4k": 0.15, "gc_compact": 0.10, "ecc_recover": 0.05}
 
+#: Both grids, the supply and the share of it that may be lost.
 FINE, COARSE = 96, 24
 VDD_V, BUDGET_FRAC = 0.9, 0.05
 BUDGET_V = VDD_V * BUDGET_FRAC

@@ -107,8 +107,10 @@ Endpoint: u3
            0.50   data arrival time
 >>>PATHS_END<<<"""
     names = spark.createDataFrame([("r", "u1", 5), ("r", "u2", 4), ("r", "u3", 9)], "file string, inst_name string, inst_id int")
-    got = adapters.timing_paths(spark.createDataFrame([("r", report)], "file string, value string"), names).orderBy("path_no").collect()
+    got = adapters.timing_paths(spark.createDataFrame([("r", report)], "file string, value string"), names, ">>>PATHS_BEGIN<<<", ">>>PATHS_END<<<").orderBy("path_no").collect()
     assert [(r.endpoint, r.slack_ns, r.delay_ns, r.inst_ids) for r in got] == [("u2/D", -0.14, 1.3, [4, 5]), ("u3", 0.0, 0.5, [9])]
+    with pytest.raises(Exception, match="no marked paths"):
+        adapters.timing_paths(spark.createDataFrame([("r", report)], "file string, value string"), names, "BEGIN OF PATHS", "END").collect()
 
 
 def test_voltages_and_uploads(spark, tmp_path):
