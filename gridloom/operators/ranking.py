@@ -58,7 +58,7 @@ class Ranges:
         named = small.withColumnsRenamed({k: f"_k_{k}" for k in by})
         same = F.lit(True)
         for k in by:
-            same = same & df[k].eqNullSafe(named[f"_k_{k}"])
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         return df.join(F.broadcast(named), same).drop(*(f"_k_{k}" for k in by))
 
     def _bucketed(self, df: DataFrame) -> DataFrame:

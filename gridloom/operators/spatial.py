@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.session import stage
+
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -119,27 +121,60 @@ def fill_nearest(cells: DataFrame, filled: DataFrame, keys: list[str], value: st
     return cells.join(near, keys).withColumn(value, best["v"]).drop("_p")
 
 
-def nearest_row(rows: DataFrame, donors: DataFrame, keys: list[str], bucket: float, value: str, row_id: str, donor_id: str, x: str = "x_um", y: str = "y_um", rings: int = 1) -> DataFrame:
-    """For each row the value of the nearest donor of its key (ties: least donor id). Donors are hashed to square
-    buckets; a row looks into its own and the surrounding buckets first, which is exact whenever the nearest found
-    lies within ``rings * bucket``; only rows for which it does not are matched with all donors of their key."""
-    by = lambda c: F.floor(F.col(c) / bucket).cast("bigint")
-    d = donors.select(*keys, F.col(donor_id).alias("_id"), F.col(x).alias("_dx"), F.col(y).alias("_dy"), F.col(value).alias("_v")).withColumn("_bx", F.floor(F.col("_dx") / bucket)).withColumn("_by", F.floor(F.col("_dy") / bucket))
-    step = F.sequence(F.lit(-rings).cast("bigint"), F.lit(rings).cast("bigint"))
-    r = rows.withColumn("_bx", by(x)).withColumn("_by", by(y))
-    looks = r.withColumn("_sx", F.explode(step)).withColumn("_sy", F.explode(step)).withColumn("_bx", F.col("_bx") + F.col("_sx")).withColumn("_by", F.col("_by") + F.col("_sy")).drop("_sx", "_sy")
-    best = F.min(F.struct(F.hypot(F.col(x) - F.col("_dx"), F.col(y) - F.col("_dy")).alias("d"), F.col("_id").alias("id"), F.col("_v").alias("v"))).alias("_b")
-    near = looks.join(d, [*keys, "_bx", "_by"]).groupBy(*keys, row_id).agg(best).where(F.col("_b.d") <= rings * bucket)
-    far = rows.join(near, [*keys, row_id], "left_anti").join(d.drop("_bx", "_by"), keys).groupBy(*keys, row_id).agg(best)
-    return near.unionByName(far).select(*keys, row_id, F.col("_b.v").alias(value), F.col("_b.id").alias("donor"), F.col("_b.d").alias("distance"))
+def _nearest(rows: DataFrame, donors: DataFrame, keys: list[str], row_id: list[str], payload: list[str], bucket: float | None, strict: bool = False, per_bucket: float = 8.0, levels: int = 3) -> DataFrame:
+    """keys, row_id and ``_b`` (d, then the payload): the nearest donor (``_dx, _dy``) of each row (``_x, _y``); ties by the
+    payload; ``strict``: at a positive distance.
+
+    Donors lie in square buckets, whose side follows from the density of the key's donors (``per_bucket`` a bucket on
+    average) unless ``bucket`` gives it. A row looks into its own and the eight around, which is exact whenever what it
+    finds is no further than a side; rows for which it is go on to buckets of eight times the side, and so on. What is
+    left after all levels meets all donors of its key. What each level finds is written, so that no level is done twice."""
+    held = stage(donors.select(*keys, "_dx", "_dy", *payload), "donors")
+    if bucket is None:
+        span = held.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max("_dx") - F.min("_dx")).alias("_w"), (F.max("_dy") - F.min("_dy")).alias("_h"))
+        area = F.greatest(F.col("_w"), F.lit(1e-9)) * F.greatest(F.col("_h"), F.lit(1e-9))
+        long = F.greatest("_w", "_h", F.lit(1e-9))
+        side = span.select(*keys, F.greatest(F.sqrt(area / F.col("_n") * per_bucket), long / F.sqrt(F.col("_n")) / 1e3).alias("_side"))
+    else:
+        side = held.select(*keys).distinct().withColumn("_side", F.lit(float(bucket)))
+    own = list(dict.fromkeys([*keys, *row_id, "_x", "_y"]))
+    held, left = held.join(side, keys), rows.select(*own).join(side, keys)  # one row a key
+    distance = F.hypot(F.col("_x") - F.col("_dx"), F.col("_y") - F.col("_dy"))
+    best = F.min(F.when(distance > 0 if strict else distance.isNotNull(), F.struct(distance.alias("d"), *payload))).alias("_b")
+    step, out = F.sequence(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")), None
+    for level in range(levels):
+        size = F.col("_side") * float(8**level)
+        at = lambda c, size=size: F.floor(F.col(c) / size).cast("bigint")
+        d = held.select(*keys, "_dx", "_dy", *payload, at("_dx").alias("_bx"), at("_dy").alias("_by"))
+        looks = left.withColumn("_by", at("_y")).withColumn("_bx", at("_x"))
+        for c in ("_by", "_bx"):
+            looks = looks.withColumn(c, F.explode(F.transform(step, lambda s: s + F.col(c))))  # noqa: B023
+        met = stage(looks.join(d, [*keys, "_bx", "_by"], "left").groupBy(*own, "_side").agg(best), "near")
+        found = F.coalesce(F.col("_b.d") <= size, F.lit(False))
+        settled = met.where(found).select(*keys, *row_id, "_b")
+        out = settled if out is None else out.unionByName(settled)
+        left = met.where(~found).select(*own, "_side")
+        if not left.limit(1).count():
+            return out
+    return out.unionByName(left.join(held.drop("_side"), keys).groupBy(*keys, *row_id).agg(best).where("_b is not null"))
+
+
+def nearest_row(rows: DataFrame, donors: DataFrame, keys: list[str], bucket: float | None, value: str, row_id: str, donor_id: str, x: str = "x_um", y: str = "y_um") -> DataFrame:
+    """For each row the value of the nearest donor of its key (ties: least donor id), by buckets of the given side or, if
+    it is None, of one that follows the donors' density."""
+    d = donors.select(*keys, F.col(donor_id).alias("_id"), F.col(x).alias("_dx"), F.col(y).alias("_dy"), F.col(value).alias("_v"))
+    r = rows.select(*keys, row_id, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    found = _nearest(r, d, keys, [row_id], ["_id", "_v"], bucket)
+    return found.select(*keys, row_id, F.col("_b._v").alias(value), F.col("_b._id").alias("donor"), F.col("_b.d").alias("distance"))
 
 
 def pitch(points: DataFrame, keys: list[str], point_id: str, x: str = "x_um", y: str = "y_um") -> DataFrame:
-    """Median over points of the distance to the nearest other point at a positive distance."""
-    a = points.select(*keys, F.col(point_id).alias("_a"), F.col(x).alias("_ax"), F.col(y).alias("_ay"))
-    b = points.groupBy(*keys).agg(F.collect_set(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_p"))
-    near = a.join(b, keys).withColumn("d", F.array_min(F.filter(F.transform("_p", lambda p: F.hypot(F.col("_ax") - p["x"], F.col("_ay") - p["y"])), lambda v: v > 0)))
-    return near.groupBy(*keys).agg(F.percentile("d", 0.5).alias("pitch"))
+    """Median over points of the distance to the nearest other point at a positive distance. Points of one place are
+    looked up once and count as many."""
+    places = stage(points.where(F.col(point_id).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_times")), "places")
+    found = _nearest(places, places.withColumnsRenamed({"_x": "_dx", "_y": "_dy"}), keys, ["_x", "_y"], [], None, strict=True)
+    near = places.join(found.select(*keys, "_x", "_y", F.col("_b.d").alias("d")), [*keys, "_x", "_y"], "left")
+    return near.groupBy(*keys).agg(F.percentile("d", 0.5, F.col("_times")).alias("pitch"))
 
 
 def mesh_edges(cells: DataFrame, keys: list[str], strap: str, sheet: Column | float, ty: str = "ty", tx: str = "tx") -> DataFrame:

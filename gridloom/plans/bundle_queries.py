@@ -74,7 +74,7 @@ def q_check_activity(v: Views) -> DataFrame:
 
 
 _TOKENS = f"""tok AS (SELECT design, CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN try_cast(t AS integer) END AS inst_id FROM (
-    SELECT {_NAME.format("design_id")} AS design, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS t FROM (SELECT design_id, list_filter(list_transform(string_split(inst_ids, ';'), lambda x: trim(x)), lambda x: x <> '') AS l FROM paths WHERE inst_ids <> ''))),
+    SELECT {_NAME.format("design_id")} AS design, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS t FROM (SELECT design_id, list_filter(list_transform(string_split(inst_ids, ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM paths WHERE inst_ids <> ''))),
   lost AS (SELECT DISTINCT t.design, t.inst_id FROM tok t LEFT JOIN i ON i.design = t.design AND i.inst_id = t.inst_id WHERE t.inst_id IS NOT NULL AND i.inst_id IS NULL)"""
 
 

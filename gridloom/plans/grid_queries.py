@@ -273,7 +273,7 @@ def q_nn_fill(v: Views) -> DataFrame:
 @query("design inst_id donor module", "distance", "SELECT design, inst_id, donor, module, distance FROM (SELECT u.design, u.inst_id, t.inst_id AS donor, t.module, sqrt((u.x_um - t.x_um) ** 2 + (u.y_um - t.y_um) ** 2) AS distance, row_number() OVER (PARTITION BY u.design, u.inst_id ORDER BY sqrt((u.x_um - t.x_um) ** 2 + (u.y_um - t.y_um) ** 2), t.inst_id) AS k FROM (SELECT * FROM i WHERE is_seq = 0) u JOIN (SELECT * FROM i WHERE is_seq = 1) t ON t.design = u.design) WHERE k = 1")
 def q_nearest_donor(v: Views) -> DataFrame:
     """The module of the nearest sequential cell for every other cell."""
-    return spatial.nearest_row(v.i.where("is_seq = 0").drop("module"), v.i.where("is_seq = 1"), ["design"], 60.0, "module", "inst_id", "inst_id")
+    return spatial.nearest_row(v.i.where("is_seq = 0").drop("module"), v.i.where("is_seq = 1"), ["design"], None, "module", "inst_id", "inst_id")
 
 
 @query("design", "pitch", "SELECT design, quantile_cont(d, 0.5) AS pitch FROM (SELECT x.design, x.macro_id, min(sqrt((x.x0_um - y.x0_um) ** 2 + (x.y0_um - y.y0_um) ** 2)) AS d FROM c x JOIN c y ON x.design = y.design AND sqrt((x.x0_um - y.x0_um) ** 2 + (x.y0_um - y.y0_um) ** 2) > 0 GROUP BY 1, 2) GROUP BY 1")

@@ -127,7 +127,7 @@ def write_predictions(df: DataFrame, path: str, comment: str) -> None:
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"value": [head]})
-        yield from batches
+        yield from (pa.RecordBatch.from_arrays(b.columns, names=["value"]) for b in batches)
 
     text.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 

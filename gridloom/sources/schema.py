@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+def struct(text: str) -> T.StructType:
+    """The type of a list of columns in DDL. (Spark's own reader of DDL needs a session, which imports have not.)"""
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (c.split() for c in text.split(","))])
+
+
 #: The tables of a bundle, their columns and types in order.
 BUNDLE: dict[str, T.StructType] = {
-    "design_stats": T.StructType.fromDDL("design_id string, config string, hash string, cells bigint, flops bigint, xor_cells bigint, chip_area_um2 double, seq_area_um2 double, seq_pct double, lint_rc int, ts_utc string, die_w_um double, die_h_um double, vdd_v double, clock_period_ns double, core_util double, bump_pitch_um double, strap_pitch_um double, strap_width_um double, pdn_layers string"),
-    "modules": T.StructType.fromDDL("module string, clock_domain string, power_domain string, rated_power_mw double"),
-    "macros": T.StructType.fromDDL("macro_id int, module string, x0_um double, y0_um double, x1_um double, y1_um double, power_mw double"),
-    "instances": T.StructType.fromDDL("inst_id int, inst_name string, module string, cell_type string, x_um double, y_um double, area_um2 double, cap_ff double, is_seq int, is_clk int, is_macro int"),
-    "bumps": T.StructType.fromDDL("bump_id int, x_um double, y_um double"),
-    "strap_planned": T.StructType.fromDDL("fy int, fx int, density double"),
-    "activity": T.StructType.fromDDL("scenario string, module string, activity double, mission_weight double"),
-    "paths": T.StructType.fromDDL("path_id int, endpoint string, clock_domain string, slack_ns double, delay_ns double, inst_ids string"),
-    "irmap": T.StructType.fromDDL("scenario string, fy int, fx int, drop_v double"),
+    "design_stats": struct("design_id string, config string, hash string, cells bigint, flops bigint, xor_cells bigint, chip_area_um2 double, seq_area_um2 double, seq_pct double, lint_rc int, ts_utc string, die_w_um double, die_h_um double, vdd_v double, clock_period_ns double, core_util double, bump_pitch_um double, strap_pitch_um double, strap_width_um double, pdn_layers string"),
+    "modules": struct("module string, clock_domain string, power_domain string, rated_power_mw double"),
+    "macros": struct("macro_id int, module string, x0_um double, y0_um double, x1_um double, y1_um double, power_mw double"),
+    "instances": struct("inst_id int, inst_name string, module string, cell_type string, x_um double, y_um double, area_um2 double, cap_ff double, is_seq int, is_clk int, is_macro int"),
+    "bumps": struct("bump_id int, x_um double, y_um double"),
+    "strap_planned": struct("fy int, fx int, density double"),
+    "activity": struct("scenario string, module string, activity double, mission_weight double"),
+    "paths": struct("path_id int, endpoint string, clock_domain string, slack_ns double, delay_ns double, inst_ids string"),
+    "irmap": struct("scenario string, fy int, fx int, drop_v double"),
 }
 #: A table that may be absent, and the manifest.
-OPTIONAL = {"toggle": T.StructType.fromDDL("scenario string, inst_id int, toggle_rate double")}
-MANIFEST = T.StructType.fromDDL("design_id string, corpus string, path string, n_scenarios int, n_instances bigint, source string")
+OPTIONAL = {"toggle": struct("scenario string, inst_id int, toggle_rate double")}
+MANIFEST = struct("design_id string, corpus string, path string, n_scenarios int, n_instances bigint, source string")
 
 #: The 32 features by group, in their order.
 FEATURE_GROUPS: dict[str, list[str]] = {

@@ -65,6 +65,21 @@ def test_nearest_row_falls_back_beyond_its_buckets(spark):
     assert got == {1: (7, "a"), 2: (7, "a")}
 
 
+def test_nearest_rows_by_density_equal_brute_force(spark):
+    rng = np.random.RandomState(4)
+    spots = lambda n, scale: [(k, i, float(x), float(y)) for i, (k, x, y) in enumerate(zip(rng.choice(["d", "d", "e"], n).tolist(), rng.rand(n) * scale, rng.rand(n) ** 4 * scale))]
+    donors, rows = spots(150, 300.0), [*spots(120, 900.0), ("f", 900, 1.0, 1.0)]
+    donors += [("e", 500, 3.0, 3.0), ("e", 501, 3.0, 3.0)]
+    df = lambda r: spark.createDataFrame(r, "design string, id int, x_um double, y_um double")
+    far = lambda a, b: math.hypot(a[2] - b[2], a[3] - b[3])
+    got = {r.id: (r.donor, r.module) for r in spatial.nearest_row(df(rows), df(donors).withColumn("module", F.col("id") + 1), ["design"], None, "module", "id", "id").collect()}
+    best = {a[1]: min((far(a, b), b[1]) for b in donors if b[0] == a[0])[1] for a in rows if a[0] != "f"}
+    assert got == {i: (b, b + 1) for i, b in best.items()}
+    near = {k: [min(far(a, b) for b in donors if b[0] == k and far(a, b) > 0) for a in donors if a[0] == k] for k in "de"}
+    pitches = {r.design: r.pitch for r in spatial.pitch(df([*donors, ("g", 1, 2.0, 2.0), ("g", 2, 2.0, 2.0)]), ["design"], "id").collect()}
+    assert pitches == {"d": pytest.approx(np.median(near["d"])), "e": pytest.approx(np.median(near["e"])), "g": None}
+
+
 def test_label_is_the_greatest(spark):
     fine = spark.createDataFrame([("d", 0, 0, 0.1), ("d", 0, 3, 0.3), ("d", 3, 3, 0.2), ("d", 4, 0, 0.9)], "design string, fy int, fx int, v double")
     got = {(r.ty, r.tx): (r.v_max, r.n_cells) for r in raster.block_reduce(fine, ["design"], "v", 4).collect()}
@@ -197,7 +212,8 @@ def test_spread_ranks_equal_plain_ones(spark):
             assert plain(ranking.order_statistic(known, ["k"], "v", level, spread=True, ranges=n)) == plain(ranking.order_statistic(known, ["k"], "v", level))
         hit = known.withColumn("h", F.col("y") > 0.6)
         assert plain(ranking.precision_recall(hit, ["k"], "h", "v", True, n)) == plain(ranking.precision_recall(hit, ["k"], "h", "v"))
-        assert plain(ranking.top_share_hit(known, ["k"], "y", "v", ["i"], 0.2, True, n)) == plain(ranking.top_share_hit(known, ["k"], "y", "v", ["i"], 0.2))
+        by = known.withColumnRenamed("k", "g")  # the result has a column k
+        assert plain(ranking.top_share_hit(by, ["g"], "y", "v", ["i"], 0.2, True, n)) == plain(ranking.top_share_hit(by, ["g"], "y", "v", ["i"], 0.2))
     assert ranking.average_rank(df.limit(0), ["k"], "v", spread=True).count() == 0
     with pytest.raises(ValueError):
         ranking.Ranges(spark.range(2000).withColumn("v", F.col("id")), ["id"], "v")
