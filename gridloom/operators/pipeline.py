@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import metrics, models
 from gridloom.operators.conformal import apply_shift, conformal_shift, monotone
+from gridloom.operators.fits import line
 from gridloom.operators.raster import tile_id
 from gridloom.operators.reshape import long_metrics
 from gridloom.session import stage
@@ -52,8 +53,22 @@ def train_runs(features: DataFrame, runs: DataFrame, holdout: list[str], variant
         for variant in variants:
             fitted = models.fit_variant(of("train"), variant, **fit)
             one = measured(score(test, fitted, of("calib")).withColumn("variant", F.lit(variant)), ["variant"]).withColumn("seed", F.lit(r["seed"])).withColumn("fold", F.lit(r["fold"]))
+            one = stage(one, "run")  # one row, so that no plan grows with the runs
             out = one if out is None else out.unionByName(one)
-    return stage(out, "runs")
+    return out
+
+
+def line_runs(features: DataFrame, runs: DataFrame, holdout: DataFrame, label: str = "label_v") -> DataFrame:
+    """Measures of the physics variants over all runs at once: lines are fitted by one aggregation over (run, training
+    row), and the held-out rows (of the designs in ``holdout``) meet the few fits. seed, fold, variant and measures."""
+    run = ["seed", "fold"]
+    train = features.where(F.col(label).isNotNull()).join(runs.where("partition = 'train'").select(*run, "design"), "design")
+    fits = train.groupBy(*run).agg(*(c.alias(f"_{n}") for n, c in line(models.PHYSICS, label).items() if n in ("slope", "intercept")))
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), p.alias("pred_v")) for n, p in (("physics_only", F.col(models.PHYSICS)), ("physics_affine", F.col(models.PHYSICS) * F.col("_slope") + F.col("_intercept"))))))
+    test = features.join(holdout.select("design"), "design", "left_semi").join(F.broadcast(fits), F.lit(True))  # a row a run
+    none = F.lit(None).cast("double")
+    scored = test.select(*run, label, both.alias("s")).select(*run, F.col(label).alias("label_v"), "s.*", none.alias("lo_v"), none.alias("hi_v"))
+    return measured(scored, [*run, "variant"])
 
 
 def validation_table(runs: DataFrame) -> DataFrame:

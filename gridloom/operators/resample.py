@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,6 +23,20 @@ def multiplicities(spark: SparkSession, groups: list[str], replicates: int, seed
     return spark.createDataFrame(rows, "multiset int, weight int, grp string, times int")
 
 
+#: Cuts of a number of 32 bits that give Poisson counts of mean 1: how many of them lie below it.
+POISSON_CUTS = [float(int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)))) for k in range(10)]
+
+
+def drawn_sums(per: DataFrame, group: str, sums: list[str], replicates: int, draw: Callable[[Column], Column]) -> DataFrame:
+    """Bootstrap of groups from their sums (one row a group): each replicate weighs every group by a Poisson count made
+    from ``draw(replicate)``, a number of 32 bits, and adds up. Groups are never gathered; sums are combined before they
+    are shuffled, so that a row a replicate and task is."""
+    reps = per.select(group, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    u = reps.withColumn("_u", draw(F.col("rep")))
+    times = sum((F.when(F.col("_u") > c, 1).otherwise(0) for c in map(int, POISSON_CUTS)), F.lit(0))
+    return u.withColumn("_t", times).groupBy("rep").agg(*(F.sum(F.col("_t") * F.col(c)).alias(c) for c in sums))
+
+
 def weighted_interval(df: DataFrame, keys: list[str], value: str, weight: str, share: float = 0.95) -> DataFrame:
     """Mean, deviation and percentile interval of weighted values (linear between order statistics)."""
     low, high = (1 - share) / 2, (1 + share) / 2

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import bundle_queries, data_problems, grid_queries, model_queries
+from gridloom.plans import bundle_queries, data_problems, grid_queries, model_queries, run_queries
 
-MODULES = (data_problems, grid_queries, model_queries, bundle_queries)
+MODULES = (data_problems, grid_queries, model_queries, bundle_queries, run_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
