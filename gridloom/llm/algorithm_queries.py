@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.names import clean_name
-from gridloom.llm.related_splits import Source, assign_splits, components, link_edges, related_pairs
+from gridloom.llm.related_splits import SPLITS, Source, assign_splits, components, link_edges, related_pairs
 from gridloom.llm.top_per_group import top_per_group
 from gridloom.session import table
 
@@ -47,6 +47,18 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.regexp_replace("component", "\\x00", "").alias("group_id"), "split", "n_designs", "n_rows")
 
 
+def p1_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """What the partition promises, as one row: rows, related groups in several partitions, rows without one, and whether
+    each share lies within the largest group of its quota."""
+    rows = [df.groupBy("component", "split").agg(F.count("*").alias("n")) for df in _parts(spark, sf).values()]
+    groups = rows[0].unionByName(rows[1]).groupBy("component").agg(F.count_distinct("split").alias("parts"), F.min("split").alias("split"), F.sum("n").alias("n"))
+    share = {name: F.sum(F.when(F.col("split") == name, F.col("n")).otherwise(0)) for name in SPLITS}
+    within = F.lit(True)
+    for name, part in SPLITS.items():
+        within = within & (F.abs(share[name] - part * F.sum("n")) <= F.max("n"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_if(F.col("parts") > 1).alias("n_parted"), F.coalesce(F.sum(F.when(F.col("split").isNull(), F.col("n"))), F.lit(0)).alias("n_unassigned"), within.alias("within"))
+
+
 def _top(spark: SparkSession, sf: str) -> DataFrame:
     keys = {"design_id": clean_name("design_id"), "scenario": clean_name("scenario")}
     return top_per_group(table(spark, sf, "irmap"), keys, "drop_v", ["fy", "fx"], 5, 0.0, 0.2, required=("design_id", "scenario"))
@@ -61,7 +73,7 @@ def p2_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _top(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_groups, p2_found, p2_ranked)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_groups, p1_balance, p2_found, p2_ranked)}
 
 _NAME = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 _TOP = f"""
@@ -78,6 +90,7 @@ WITH RECURSIVE s AS (SELECT DISTINCT {_NAME.format("design")} AS d, source_kind
   r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
   here AS (SELECT {_NAME.format("design")} AS d FROM features WHERE design IS NOT NULL UNION SELECT {_NAME.format("design")} FROM picp_per_design WHERE design IS NOT NULL)
 SELECT a AS design_a, b AS design_b FROM r WHERE a < b AND a IN (SELECT d FROM here) AND b IN (SELECT d FROM here)""",
+    "p1_balance": "SELECT cast(sum(n) AS bigint) AS n_rows, 0 AS n_parted, 0 AS n_unassigned, true AS within FROM (SELECT count(*) AS n FROM features UNION ALL SELECT count(*) FROM picp_per_design)",
     "p2_found": _TOP + "SELECT design_id, scenario, fy, fx FROM ranked WHERE rank <= 5",
     "p2_ranked": _TOP + "SELECT design_id, scenario, fy, fx, score, rank FROM ranked WHERE rank <= 5",
 }
