@@ -28,23 +28,32 @@ ACTIVITY = {
 }
 #: Strap widths and pitches, micrometres.
 WIDTHS, PITCHES = (0.4, 0.8, 1.6), (8.0, 12.0, 16.0, 24.0)
+#: Mean cell area, square micrometres, and spread of the lognormal noise.
 CELL_UM2 = 2.38
 SIGMA = 0.6
 
 
-def slices(rng: np.random.RandomState, w: float, h: float, parts: int) -> list[tuple[float, float, float, float]]:
-    """A slicing floorplan: the largest rectangle is cut across its longer side until there are enough."""
-    rects = [(0.0, 0.0, w, h)]
-    while len(rects) < parts:
-        i = max(range(len(rects)), key=lambda k: (rects[k][2] - rects[k][0]) * (rects[k][3] - rects[k][1]))
-        x0, y0, x1, y1 = rects.pop(i)
-        at = rng.uniform(0.35, 0.65)
+def slices(w: float, h: float, weights: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """A slicing floorplan: the modules of a rectangle are parted where half of their running weight is reached, and the
+    rectangle is cut across its longer side in that proportion, so that each module's area follows its weight."""
+    rects: list[tuple[float, float, float, float]] = [(0.0, 0.0, w, h)] * len(weights)
+    todo = [(0, len(weights))] if len(weights) else []
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        x0, y0, x1, y1 = rects[a]
+        run = np.cumsum(weights[a:b])
+        k = int(np.clip(np.searchsorted(run, run[-1] / 2) + 1, 1, b - a - 1))
+        share = float(run[k - 1] / run[-1])
         if x1 - x0 >= y1 - y0:
-            c = x0 + at * (x1 - x0)
-            rects += [(x0, y0, c, y1), (c, y0, x1, y1)]
+            c = x0 + share * (x1 - x0)
+            first, second = (x0, y0, c, y1), (c, y0, x1, y1)
         else:
-            c = y0 + at * (y1 - y0)
-            rects += [(x0, y0, x1, c), (x0, c, x1, y1)]
+            c = y0 + share * (y1 - y0)
+            first, second = (x0, y0, x1, c), (x0, c, x1, y1)
+        rects[a : a + k], rects[a + k : b] = [first] * k, [second] * (b - a - k)
+        todo += [(a, a + k), (a + k, b)]
     return rects
 
 
@@ -73,7 +82,8 @@ def layout(seed: int, cells: tuple[float, float] = (2.5e4, 7e5)) -> dict[str, pd
     pitch = round(float(min(pitch, w / 3, h / 3)), 3)  # small dies have bumps, too
     m = rng.randint(6, 11)
     names = [f"{CLASSES[i % 6]}_{i}" for i in range(m)]
-    rects = slices(rng, w, h, m)
+    weights = rng.dirichlet(np.full(m, 4.0))
+    rects = slices(w, h, weights)
     rated = np.round(rng.uniform(3, 25, m), 3)
     modules = pd.DataFrame({"module": names, "clock_domain": rng.choice(["clk_core", "clk_host", "clk_nand"], m), "power_domain": rng.choice(["vdd_core", "vdd_io"], m), "rated_power_mw": rated})
     k = rng.randint(2, 6)
@@ -81,7 +91,7 @@ def layout(seed: int, cells: tuple[float, float] = (2.5e4, 7e5)) -> dict[str, pd
     mx, my = rng.uniform(0, w - mw), rng.uniform(0, h - mh)
     macros = pd.DataFrame({"macro_id": np.arange(k), "module": rng.choice(names, k), "x0_um": mx.round(3), "y0_um": my.round(3), "x1_um": (mx + mw).round(3), "y1_um": (my + mh).round(3), "power_mw": rng.uniform(1, 5, k).round(3)})
     box = macros[["x0_um", "y0_um", "x1_um", "y1_um"]].to_numpy()
-    of = rng.choice(m, n, p=rng.dirichlet(np.full(m, 4.0)))
+    of = rng.choice(m, n, p=weights)
     xy = np.empty((n, 2))
     for i in range(m):
         xy[of == i] = place(rng, int((of == i).sum()), rects[i], box)

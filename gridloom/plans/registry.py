@@ -28,7 +28,7 @@ FIGURE_DATA = {
     "map of drops": "q_label_max",
     "fine map against upsampled coarse map": "q_upsample_diff",
     "histogram of drops": "q_histogram",
-    "ablation over runs": "q_validation_long",
+    "ablation over runs": "q_validation_runs",
     "precision and recall": "q_pr_curve",
     "crossover of F measures": "q_fbeta_crossover",
     "coverage by design": "q_design_coverage",
@@ -37,3 +37,8 @@ FIGURE_DATA = {
     "tiles over budget": "q_over_budget",
     "power law": "q_loglog_ols",
 }
+
+
+def figure(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The data of a figure."""
+    return queries()[FIGURE_DATA[name]](spark, sf_dir)

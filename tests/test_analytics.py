@@ -217,3 +217,13 @@ def test_spread_ranks_equal_plain_ones(spark):
     assert ranking.average_rank(df.limit(0), ["k"], "v", spread=True).count() == 0
     with pytest.raises(ValueError):
         ranking.Ranges(spark.range(2000).withColumn("v", F.col("id")), ["id"], "v")
+
+
+def test_floorplans_follow_weights():
+    from gridloom.operators.generator import slices
+
+    weights = np.random.RandomState(1).dirichlet(np.full(9, 2.0))
+    rects = np.array(slices(30.0, 20.0, weights))
+    area = (rects[:, 2] - rects[:, 0]) * (rects[:, 3] - rects[:, 1])
+    assert np.allclose(area, weights * 600)
+    assert slices(3.0, 2.0, np.array([1.0])) == [(0.0, 0.0, 3.0, 2.0)] and slices(3.0, 2.0, np.array([])) == []

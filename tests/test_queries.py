@@ -30,3 +30,8 @@ def test_names_and_sql_agree():
 
 def test_flagship(spark):
     assert registry.flagship(spark, DATA).count() > 0
+
+
+def test_figures(spark):
+    assert set(registry.FIGURE_DATA.values()) <= set(registry.queries())
+    assert registry.figure(spark, DATA, "power law").columns
