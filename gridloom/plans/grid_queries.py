@@ -260,8 +260,9 @@ def q_macro_ring(v: Views) -> DataFrame:
 @query("design scenario fy fx", "residual", "SELECT r.design, r.scenario, r.fy, r.fx, r.drop_v - f.phys_base_v AS residual FROM r JOIN f ON f.design = r.design AND f.scenario = r.scenario AND f.ty = r.fy // 4 AND f.tx = r.fx // 4")
 def q_upsample_diff(v: Views) -> DataFrame:
     """Fine drops against the coarse physics map, each coarse value at its 16 fine cells."""
-    coarse = raster.upsampled(v.f.select(*GROUP, "ty", "tx", "phys_base_v"), 4).select(*GROUP, "fy", "fx", "phys_base_v")
-    return v.r.join(coarse, [*GROUP, "fy", "fx"]).select(*GROUP, "fy", "fx", (F.col("drop_v") - F.col("phys_base_v")).alias("residual"))
+    # fine cells look their tile up, so that no coarse row is repeated; the hint keeps the coarse map off the driver
+    coarse = v.f.select(*GROUP, "ty", "tx", "phys_base_v").hint("merge")
+    return v.rt.join(coarse, [*GROUP, "ty", "tx"]).select(*GROUP, "fy", "fx", (F.col("drop_v") - F.col("phys_base_v")).alias("residual"))
 
 
 @query("design ty tx", "v", "SELECT design, ty, tx, v FROM (SELECT g.design, g.ty, g.tx, o.v, row_number() OVER (PARTITION BY g.design, g.ty, g.tx ORDER BY round(sqrt((g.ty - o.ty) ** 2 + (g.tx - o.tx) ** 2), 9), o.ty, o.tx) AS k FROM (SELECT DISTINCT design, ty, tx FROM f) g JOIN (SELECT design, {0} AS ty, {1} AS tx, sum(area_um2) AS v FROM i GROUP BY 1, 2, 3) o ON o.design = g.design) WHERE k = 1".format(T("y_um"), T("x_um")))
