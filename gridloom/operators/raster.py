@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.numeric import clip, ratio, tile
 
@@ -38,6 +43,38 @@ def densify(sparse: DataFrame, grid: DataFrame, keys: list[str], fill: float = 0
     return grid.join(sparse, keys, "left").fillna(fill, subset=values)
 
 
+def gathered(sparse: DataFrame, every: DataFrame, keys: list[str], n: int, values: list[str], fill: float = 0.0) -> DataFrame:
+    """``keys`` and an array of the n * n tiles for each of ``values``, one row per key of ``every``. ``sparse`` has one row
+    a tile; absent and null values become ``fill``. Only tiles that are there are shuffled, and nothing is joined: a join
+    with the exploded grid would move n * n rows a key, which the planner takes for one."""
+    held = F.struct((F.col("ty") * n + F.col("tx")).cast("int").alias("p"), *(F.col(c).cast("double").alias(c) for c in values))
+    inside = sparse.where(f"ty between 0 and {n - 1} and tx between 0 and {n - 1}").select(*keys, F.lit(False).alias("_e"), held.alias("_s"))
+    rows = every.select(*keys, F.lit(True).alias("_e"), F.lit(None).cast(inside.schema["_s"].dataType).alias("_s")).unionByName(inside)
+    maps = rows.groupBy(*keys).agg(F.max("_e").alias("_e"), F.collect_list("_s").alias("_s")).where("_e").select(*keys, "_s")
+    schema = T.StructType([*(maps.schema[k] for k in keys), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in values)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                lists, tiles = batch.column(len(keys)), batch.column(len(keys)).flatten()
+                at = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)) * (n * n) + tiles.field("p").to_numpy()
+                made = []
+                for c in values:
+                    grid = np.full(batch.num_rows * n * n, fill)
+                    v = tiles.field(c).to_numpy(zero_copy_only=False)
+                    grid[at] = np.where(np.isnan(v), fill, v)
+                    made.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (n * n)), pa.array(grid)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=schema.names)
+
+    return maps.mapInArrow(run, schema)
+
+
+def tiles_of(grids: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
+    """One row per tile of arrays as made by :func:`gathered`."""
+    out = grids.select(*keys, F.posexplode(F.arrays_zip(*values)).alias("_p", "_z"))
+    return out.select(*keys, F.expr(f"cast(_p div {n} as int)").alias("ty"), (F.col("_p") % n).cast("int").alias("tx"), *(F.col("_z")[c].alias(c) for c in values))
+
+
 def block_reduce(fine: DataFrame, keys: list[str], value: str, r: int, fy: str = "fy", fx: str = "fx", tiled: bool = False) -> DataFrame:
     """Mean, least and greatest fine value of each r by r block: ``ty, tx, v_mean, v_min, v_max, n_cells``. ``tiled``: the
     rows have their ``ty, tx`` (and perhaps a partitioning by them)."""

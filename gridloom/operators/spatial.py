@@ -177,13 +177,16 @@ def pitch(points: DataFrame, keys: list[str], point_id: str, x: str = "x_um", y:
     return near.groupBy(*keys).agg(F.percentile("d", 0.5, F.col("_times")).alias("pitch"))
 
 
-def mesh_edges(cells: DataFrame, keys: list[str], strap: str, sheet: Column | float, ty: str = "ty", tx: str = "tx") -> DataFrame:
-    """Right and downward edges of a grid with conductance ``sheet * mean of both strap densities``."""
+def mesh_edges(grids: DataFrame, keys: list[str], strap: str, sheet: Column | float, n: int) -> DataFrame:
+    """Right and downward edges of n by n grids (arrays, see :func:`gridloom.operators.raster.gathered`) with conductance
+    ``sheet * mean of both strap densities``. Each grid is exploded where it is; nothing is joined."""
     s = sheet if isinstance(sheet, Column) else F.lit(float(sheet))
-    here = cells.select(*keys, ty, tx, F.col(strap).alias("_s0"))
-    right = cells.select(*keys, ty, (F.col(tx) - 1).cast("int").alias(tx), F.col(strap).alias("_s1"), F.lit("right").alias("direction"))
-    down = cells.select(*keys, (F.col(ty) - 1).cast("int").alias(ty), tx, F.col(strap).alias("_s1"), F.lit("down").alias("direction"))
-    return here.join(right.unionByName(down), [*keys, ty, tx]).select(*keys, ty, tx, "direction", (s * 0.5 * (F.col("_s0") + F.col("_s1"))).alias("g"))
+    cells = grids.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    at = [("right", F.lit(1), F.col("_p") % n < n - 1), ("down", F.lit(n), F.col("_p") < n * (n - 1))]
+    ends = F.array(*(F.when(inside, F.struct(F.lit(name).alias("direction"), (F.col("_p") + step).alias("o"))) for name, step, inside in at))
+    edges = cells.withColumn("_e", F.explode(ends)).where("_e is not null")
+    g = s * 0.5 * (F.col(strap)[F.col("_p")] + F.get(F.col(strap), F.col("_e.o")))
+    return edges.select(*keys, F.expr(f"cast(_p div {n} as int)").alias("ty"), (F.col("_p") % n).cast("int").alias("tx"), F.col("_e.direction").alias("direction"), g.alias("g"))
 
 
 def ramp(ty: Column, tx: Column, n: int) -> Column:

@@ -284,9 +284,8 @@ def q_median_pitch(v: Views) -> DataFrame:
 
 @query("design ty tx direction", "g", "SELECT a.design, a.ty, a.tx, 'right' AS direction, 2.0 * 0.5 * (a.c + b.c) AS g FROM g a JOIN g b ON a.design = b.design AND a.ty = b.ty AND a.tx + 1 = b.tx UNION ALL SELECT a.design, a.ty, a.tx, 'down', 2.0 * 0.5 * (a.c + b.c) FROM g a JOIN g b ON a.design = b.design AND a.ty + 1 = b.ty AND a.tx = b.tx", _MAP)
 def q_mesh_edges(v: Views) -> DataFrame:
-    grid = raster.full_grid(v.c.select("design").distinct(), N)
-    cells = raster.densify(_placed(v).groupBy("design", "ty", "tx").agg(F.count("*").cast("double").alias("c")), grid, ["design", "ty", "tx"])
-    return spatial.mesh_edges(cells, ["design"], "c", 2.0)
+    counts = _placed(v).groupBy("design", "ty", "tx").agg(F.count("*").cast("double").alias("c"))
+    return spatial.mesh_edges(raster.gathered(counts, v.c.select("design").distinct(), ["design"], N, ["c"]), ["design"], "c", 2.0, N)
 
 
 @query("ty tx", "ramp", "SELECT t // 24 AS ty, t % 24 AS tx, abs(t // 24 - 12.0) / 24 + abs(t % 24 - 12.0) / 24 AS ramp FROM (SELECT unnest(range(576)) AS t)")
