@@ -122,10 +122,11 @@ def q_mesh_cells(v: Views) -> DataFrame:
     """Cells of the coarse mesh of designs with bumps: mean planned strap and bumps by their number."""
     bumps = stage(v.b.where("design is not null"), "bumps")
     designs = bumps.select("design").distinct()
-    fine = raster.full_grid(designs, 4 * N, "fy", "fx").join(v.s, ["design", "fy", "fx"], "left").fillna(0.0, ["density"])
-    strap = raster.block_reduce(fine, ["design"], "density", 4).select("design", "ty", "tx", F.col("v_mean").alias("strap"))
-    supply = raster.with_tiles(bumps, "x_um", "y_um", DIE, DIE, N).groupBy("design", "ty", "tx").agg((F.count("*") * 4.0).alias("supply"))
-    return raster.densify(strap.join(supply, ["design", "ty", "tx"], "left").select("design", "ty", "tx", "strap", "supply"), raster.full_grid(designs, N), ["design", "ty", "tx"])
+    tile = ["design", "ty", "tx"]
+    strap = v.s.where("design is not null").select("design", F.expr("cast(fy div 4 as int)").alias("ty"), F.expr("cast(fx div 4 as int)").alias("tx"), (F.col("density") / 16).alias("strap"), F.lit(0.0).alias("supply"))
+    supply = raster.with_tiles(bumps, "x_um", "y_um", DIE, DIE, N).select(*tile, F.lit(0.0).alias("strap"), F.lit(4.0).alias("supply"))
+    held = strap.unionByName(supply).groupBy(*tile).agg(F.sum("strap").alias("strap"), F.sum("supply").alias("supply"))
+    return raster.tiles_of(raster.gathered(held, designs, ["design"], N, ["strap", "supply"]), ["design"], N, ["strap", "supply"])
 
 
 @query("design", "scale median", f"SELECT design, scale, quantile_cont(scale, 0.5) OVER () AS median FROM (SELECT design, max(drop_v) / {BUDGET_V * 0.9!r} AS scale FROM r GROUP BY 1)")
