@@ -8,6 +8,8 @@ per grid row, off-diagonal blocks are diagonal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,35 +75,80 @@ class Mesh:
         return float(self.solve(current).max() / target)
 
 
-def solve_designs(cells: DataFrame, currents: DataFrame, n: int, keys: list[str] = ["design"], weak: bool = False) -> DataFrame:  # noqa: B006
-    """``cells``: keys, ty, tx, strap, sheet, supply (absent cells: no strap, no supply). ``currents``: keys,
+def _system(a: pa.Table, b: pa.Table, n: int, weak: bool, strap: float) -> tuple[Mesh | None, list[str], np.ndarray]:
+    """Mesh, scenarios and right-hand sides of one design; no mesh without supply or scenarios."""
+    col = lambda t, c: t.column(c).to_numpy()
+    straps, supply = np.full((n, n), strap), np.zeros((n, n))
+    at = col(a, "ty"), col(a, "tx")
+    straps[at], supply[at] = col(a, "strap"), col(a, "supply")
+    scenarios = sorted({s for s in b.column("scenario").to_pylist() if s is not None})
+    place = {s: i for i, s in enumerate(scenarios)}
+    rhs = np.zeros((n, n, len(scenarios) + weak))
+    if scenarios:
+        np.add.at(rhs, (col(b, "ty"), col(b, "tx"), np.array([place[s] for s in b.column("scenario").to_pylist()])), col(b, "current_a"))
+    if weak:
+        rhs[:, :, -1] = 1.0 / (n * n)
+        scenarios.append("__weak__")
+    solvable = bool((supply > 0).any()) and bool(scenarios)
+    return Mesh.of_straps(np.maximum(straps, 1e-9), float(col(a, "sheet")[0]), supply) if solvable else None, scenarios, rhs
+
+
+def _by_design(cells: DataFrame, currents: DataFrame, keys: list[str], run: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on the cells and currents of each key; its columns after the keys are ``schema``."""
+    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+    driven = currents.select(*(F.col(k).alias(k) for k in keys), "scenario", "ty", "tx", F.col("current_a").cast("double").alias("current_a")).dropna(subset=["scenario", "current_a"])
+    grid = cells.select(*keys, "ty", "tx", *(F.col(c).cast("double").alias(c) for c in ("strap", "sheet", "supply")))
+    return grid.groupBy(*keys).cogroup(driven.groupBy(*keys)).applyInArrow(run, f"{kinds}, {schema}")
+
+
+def _per_scenario(cells: DataFrame, currents: DataFrame, n: int, keys: list[str], strap: float, name: str, measure: Callable[[Mesh, np.ndarray], np.ndarray]) -> DataFrame:
+    """keys, scenario and one number of each scenario, made where its mesh is solved: the n * n drops stay in their group."""
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        made, scenarios, rhs = _system(a, b, n, False, strap)
+        scenarios = scenarios if made else []
+        fixed = [pa.array([k.as_py()] * len(scenarios)).cast(k.type) for k in key]
+        return pa.table([*fixed, pa.array(scenarios, pa.string()), pa.array(measure(made, rhs) if made else [], pa.float64())], names=[*keys, "scenario", name])
+
+    return _by_design(cells, currents, keys, run, f"scenario string, {name} double")
+
+
+def solved_residuals(cells: DataFrame, currents: DataFrame, n: int, keys: list[str] = ["design"], strap: float = 0.0) -> DataFrame:  # noqa: B006
+    """Greatest error of A u = i per key and scenario, from the flows over the mesh's edges, which the factorisation does
+    not use. As :func:`residuals` of the solution, without moving its n * n rows a scenario."""
+    return _per_scenario(cells, currents, n, keys, strap, "residual", lambda m, i: np.array([m.residual(u, c) for u, c in zip(np.moveaxis(m.solve(i), 2, 0), np.moveaxis(i, 2, 0), strict=True)]))
+
+
+def superposed_difference(cells: DataFrame, currents: DataFrame, n: int, keys: list[str] = ["design"], strap: float = 0.0) -> DataFrame:  # noqa: B006
+    """Greatest difference, per key and scenario, of the direct solution and the superposition of the influences of all
+    cells that carry current. As :func:`influence_solve` against :func:`solve_designs`; an influence table (n * n rows a
+    source) is held for one design at a time."""
+
+    def measure(m: Mesh, i: np.ndarray) -> np.ndarray:
+        flat = i.reshape(n * n, -1)
+        at = np.flatnonzero((flat != 0).any(axis=1))
+        unit = np.zeros((n * n, len(at)))
+        unit[at, np.arange(len(at))] = 1.0
+        other = m.solve(unit.reshape(n, n, -1)).reshape(n * n, -1) @ flat[at] if len(at) else np.zeros_like(flat)
+        return np.abs(m.solve(i).reshape(n * n, -1) - other).max(axis=0)
+
+    return _per_scenario(cells, currents, n, keys, strap, "difference", measure)
+
+
+def solve_designs(cells: DataFrame, currents: DataFrame, n: int, keys: list[str] = ["design"], weak: bool = False, strap: float = 0.0) -> DataFrame:  # noqa: B006
+    """``cells``: keys, ty, tx, strap, sheet, supply (absent cells: ``strap``, no supply). ``currents``: keys,
     scenario, ty, tx, current_a. Result: keys, scenario, ty, tx, drop_v. With ``weak`` a scenario ``__weak__``
     spreads one ampere evenly. Designs without any supply have no rows."""
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
     names = [*keys, "scenario", "ty", "tx", "drop_v"]
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        col = lambda t, c: t.column(c).to_numpy()
-        straps, supply = np.zeros((n, n)), np.zeros((n, n))
-        at = col(a, "ty"), col(a, "tx")
-        straps[at], supply[at] = col(a, "strap"), col(a, "supply")
-        scenarios = sorted({s for s in b.column("scenario").to_pylist() if s is not None})
-        place = {s: i for i, s in enumerate(scenarios)}
-        rhs = np.zeros((n, n, len(scenarios) + weak))
-        if scenarios:
-            np.add.at(rhs, (col(b, "ty"), col(b, "tx"), np.array([place[s] for s in b.column("scenario").to_pylist()])), col(b, "current_a"))
-        if weak:
-            rhs[:, :, -1] = 1.0 / (n * n)
-            scenarios.append("__weak__")
-        solvable = bool((supply > 0).any()) and bool(scenarios)
-        u = Mesh.of_straps(np.maximum(straps, 1e-9), float(col(a, "sheet")[0]), supply).solve(rhs) if solvable else np.zeros((0, 0, 0))
+        made, scenarios, rhs = _system(a, b, n, weak, strap)
+        u = made.solve(rhs) if made else np.zeros((0, 0, 0))
         ty, tx, s = (x.ravel().astype(np.int32) for x in np.meshgrid(*(np.arange(k) for k in u.shape), indexing="ij"))
         fixed = [pa.array([k.as_py()] * len(s)).cast(k.type) for k in key]
         return pa.table([*fixed, pa.array([scenarios[i] for i in s], pa.string()), pa.array(ty), pa.array(tx), pa.array(u.ravel())], names=names)
 
-    driven = currents.select(*(F.col(k).alias(k) for k in keys), "scenario", "ty", "tx", F.col("current_a").cast("double").alias("current_a")).dropna(subset=["scenario", "current_a"])
-    grid = cells.select(*keys, "ty", "tx", *(F.col(c).cast("double").alias(c) for c in ("strap", "sheet", "supply")))
-    return grid.groupBy(*keys).cogroup(driven.groupBy(*keys)).applyInArrow(run, f"{kinds}, scenario string, ty int, tx int, drop_v double")
+    return _by_design(cells, currents, keys, run, "scenario string, ty int, tx int, drop_v double")
 
 
 def influence(cells: DataFrame, n: int, keys: list[str] = ["design"], sources: DataFrame | None = None) -> DataFrame:  # noqa: B006
