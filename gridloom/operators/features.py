@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.numeric import ratio
 from gridloom.operators.mesh import solve_designs
 from gridloom.operators.ranking import average_rank
-from gridloom.operators.raster import block_reduce, coverage, covered_tiles, densities, edge_distance, full_grid, with_tiles
+from gridloom.operators.raster import block_reduce, coverage, covered_tiles, densities, edge_distance, full_grid, gathered, tiles_of, with_tiles
 from gridloom.operators.shares import concentration, domain_concentration, instance_currents, power_fraction
 from gridloom.operators.spatial import distance_transform, gaussian_blurs
 from gridloom.session import stage
@@ -50,23 +50,31 @@ def unit_raster(b: Bundle, n: int, ty: str, tx: str) -> DataFrame:
 def scenario_currents(units: DataFrame, activity: DataFrame, ty: str, tx: str) -> DataFrame:
     """Current of each tile in each scenario; modules without activity draw none."""
     act = activity.select("design", "scenario", "module", "activity").where("activity is not null")
-    return units.join(act, ["design", "module"]).groupBy("design", "scenario", ty, tx).agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
+    return merged(units, act, ["design", "module"]).groupBy("design", "scenario", ty, tx).agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
+
+
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of grids by sort and merge. The planner judges a grid by the names that it is exploded from, hundreds of times
+    too small, and would send it through the driver."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFrame:
     """design, scenario, ty, tx and the 32 features, one row per coarse tile of every design and scenario."""
     r, tile, key = fine // coarse, ["design", "ty", "tx"], ["design", "scenario", "ty", "tx"]
     scenarios = b.activity.groupBy("design", "scenario").agg(F.min("mission_weight").alias("scn_weight"))
-    tiles = full_grid(b.params.select("design"), coarse)
-    fine_cells = full_grid(b.params.select("design"), fine, "fy", "fx")
     grid = full_grid(scenarios.select("design", "scenario"), coarse)
 
     # supply: bumps per tile, planned straps, distances
     die = b.params.select("design", "die_w_um", "die_h_um")
     bumps = with_tiles(b.bumps.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), coarse)
     bumps = bumps.groupBy(*tile).agg(F.count("*").cast("double").alias("grid_bumps"))
-    straps = fine_cells.join(b.straps.select("design", "fy", "fx", "density"), ["design", "fy", "fx"], "left").fillna(0.0, ["density"])
-    strap = block_reduce(straps, ["design"], "density", r).select(*tile, F.col("v_mean").alias("grid_strap_mean"), F.col("v_min").alias("grid_strap_min"))
+    # absent fine cells have density 0: the mean is the sum over all r * r, and the least is at most 0 where one is absent
+    planned = b.straps.select("design", "fy", "fx", F.coalesce(F.nanvl("density", F.lit(None)), F.lit(0.0)).alias("density")).where(f"fy between 0 and {fine - 1} and fx between 0 and {fine - 1}")
+    planned = block_reduce(planned, ["design"], "density", r)
+    least = F.when(F.col("n_cells") < r * r, F.least("v_min", F.lit(0.0))).otherwise(F.col("v_min"))
+    planned = planned.select(*tile, (F.col("v_mean") * F.col("n_cells") / (r * r)).alias("grid_strap_mean"), least.alias("grid_strap_min"))
+    strap = tiles_of(gathered(planned, b.params.select("design"), ["design"], coarse, ["grid_strap_mean", "grid_strap_min"]), ["design"], coarse, ["grid_strap_mean", "grid_strap_min"])
     points = with_tiles(b.bumps.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), fine, "py", "px").select("design", "py", "px").distinct()
     none = float((2 * fine * fine) ** 0.5)
     every = b.params.select("design", F.lit(None).cast("int").alias("py"), F.lit(None).cast("int").alias("px"))
@@ -82,11 +90,11 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
 
     # currents and the solved mesh
     units = stage(unit_raster(b, coarse, "ty", "tx"), "units")  # read by currents and by domain shares
-    cur = grid.join(scenario_currents(units, b.activity, "ty", "tx"), key, "left").fillna(0.0, ["current_a"])
+    cur = merged(grid, scenario_currents(units, b.activity, "ty", "tx"), key, "left").fillna(0.0, ["current_a"])
     fine_cur = scenario_currents(unit_raster(b, fine, "fy", "fx"), b.activity, "fy", "fx").withColumn("ty", F.expr(f"cast(fy div {r} as int)")).withColumn("tx", F.expr(f"cast(fx div {r} as int)"))
     conc = concentration(fine_cur, key, "current_a", r * r, 4)
     peak = fine_cur.groupBy(*key).agg(F.max("current_a").alias("cur_max_fine"))
-    cells = tiles.join(strap, tile).join(bumps, tile, "left").join(b.params.select("design", "sheet", "bump"), "design").select(*tile, F.col("grid_strap_mean").alias("strap"), "sheet", (F.coalesce("grid_bumps", F.lit(0.0)) * F.col("bump")).alias("supply"))
+    cells = merged(merged(strap, bumps, tile, "left"), b.params.select("design", "sheet", "bump"), ["design"]).select(*tile, F.col("grid_strap_mean").alias("strap"), "sheet", (F.coalesce("grid_bumps", F.lit(0.0)) * F.col("bump")).alias("supply"))
     solved = stage(solve_designs(cells, cur, coarse, weak=True), "drops")  # read twice; factorised once
     weak = solved.where("scenario = '__weak__'").select(*tile, F.col("drop_v").alias("grid_weak"))
     phys = solved.where("scenario <> '__weak__'").select(*key, F.col("drop_v").alias("phys_base_v"))
@@ -94,13 +102,14 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
     sw = domain_concentration(scenario_domains(units, b.activity), key, "clock_domain", "current_a").withColumnsRenamed({"hhi": "sw_hhi", "topshare": "sw_topshare"})
 
     out = average_rank(phys, group, "phys_base_v", "phys_base_rank", relative=True)
-    out = out.join(gaussian_blurs(phys, group, "phys_base_v", {"phys_base_s1": 1.0, "phys_base_s2": 2.0}, coarse), key)
-    out = out.join(cur.select(*key, F.col("current_a").alias("cur_sum")), key)
-    out = out.join(gaussian_blurs(cur, group, "current_a", {"cur_s1": 1.0, "cur_s2": 2.0, "cur_s4": 4.0}, coarse), key)
-    out = out.join(peak, key, "left").join(conc, key, "left").join(sw, key, "left")
+    out = merged(out, gaussian_blurs(phys, group, "phys_base_v", {"phys_base_s1": 1.0, "phys_base_s2": 2.0}, coarse), key)
+    out = merged(out, cur.select(*key, F.col("current_a").alias("cur_sum")), key)
+    out = merged(out, gaussian_blurs(cur, group, "current_a", {"cur_s1": 1.0, "cur_s2": 2.0, "cur_s4": 4.0}, coarse), key)
+    for part in (peak, conc, sw):
+        out = merged(out, part, key, "left")
     for part in (weak, strap, bumps, to_bump, to_macro, macro, dens):
-        out = out.join(part, tile, "left")
-    out = out.join(scenarios, group).join(power_fraction(b.activity, b.modules).withColumnRenamed("power_frac", "scn_power_frac"), group, "left")
+        out = merged(out, part, tile, "left")
+    out = merged(merged(out, scenarios, group), power_fraction(b.activity, b.modules).withColumnRenamed("power_frac", "scn_power_frac"), group, "left")
     out = out.withColumn("conc_ratio", F.coalesce("conc_ratio", F.lit(1.0))).withColumn("conc_top4", F.coalesce("conc_top", F.lit(4.0 / (r * r))))
     out = out.withColumn("top_edge_dist", edge_distance(F.col("ty"), F.col("tx"), coarse).cast("double"))
     out = out.fillna(0.0, ["grid_bumps", "cur_max_fine", "top_macro_frac", "top_util", "top_cells", "top_capden", "top_clkden", "top_seqden", "sw_hhi", "sw_topshare", "scn_power_frac"])
@@ -111,7 +120,7 @@ def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFram
 def scenario_domains(units: DataFrame, activity: DataFrame) -> DataFrame:
     """Current by clock domain: the shares weigh modules by their activity."""
     act = activity.select("design", "scenario", "module", "activity").where("activity is not null")
-    return units.join(act, ["design", "module"]).groupBy("design", "scenario", "ty", "tx", "clock_domain").agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
+    return merged(units, act, ["design", "module"]).groupBy("design", "scenario", "ty", "tx", "clock_domain").agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
 
 
 def with_labels(features: DataFrame, irmap: DataFrame, r: int = FINE // COARSE) -> DataFrame:

@@ -31,7 +31,7 @@ def broadcast_rows(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["q_upsample_diff", "q_mesh_edges", "q_mesh_cells"])
+@pytest.mark.parametrize("name", ["q_upsample_diff", "q_mesh_edges", "q_mesh_cells", "q_feature_table"])
 def test_no_grid_is_broadcast(spark, name):
     rows = broadcast_rows(registry.queries()[name](spark, DATA))
     assert max(rows, default=0) <= 1000, rows
