@@ -1,31 +1,31 @@
 """The 32 features of each tile and scenario, for all designs at once, without any label data.
 
-Input frames are keyed by ``design`` (see :mod:`gridloom.sources.schema`). Everything is a join or an aggregation
-on (design, ...) but the mesh kernel, whose groups are one design's grid. Scenarios meet modules only in currents:
-unit currents of each module are rasterised once, and a scenario is one multiplication.
+Input frames are keyed by ``design`` (see :mod:`gridloom.sources.schema`). Their rows are tiled in Spark and meet by
+design, where the kernel of :mod:`gridloom.operators.design_features` makes the features in arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.functions.numeric import ratio
-from gridloom.operators.mesh import solve_designs
-from gridloom.operators.ranking import average_rank
-from gridloom.operators.raster import block_reduce, coverage, covered_tiles, densities, edge_distance, full_grid, gathered, tiles_of, with_tiles
-from gridloom.operators.shares import concentration, domain_concentration, instance_currents, power_fraction
-from gridloom.operators.spatial import distance_transform, gaussian_blurs
-from gridloom.session import stage
+from gridloom.functions.numeric import clip, ratio, tile
+from gridloom.operators import design_features
+from gridloom.operators.raster import block_reduce, with_tiles
 from gridloom.sources.schema import COARSE, FEATURES, FINE, IDENTITY
 
+PARAMS = ["die_w_um", "die_h_um", "vdd_v", "sheet", "bump"]
+
 
 class Bundle(NamedTuple):
-    """params: design, die_w_um, die_h_um, vdd_v, sheet, bump (conductances)."""
+    """params: design, die_w_um, die_h_um, vdd_v, sheet, bump (conductances), or the same numbers for every design."""
 
-    params: DataFrame
+    params: DataFrame | dict[str, float]
     modules: DataFrame
     macros: DataFrame
     instances: DataFrame
@@ -34,93 +34,66 @@ class Bundle(NamedTuple):
     activity: DataFrame
 
 
-def unit_raster(b: Bundle, n: int, ty: str, tx: str) -> DataFrame:
-    """Current of each tile, module and clock domain at activity 1: instances share their module's, macros theirs."""
-    die = b.params.select("design", "die_w_um", "die_h_um", "vdd_v")
-    volts = b.params.select("design", F.col("vdd_v").alias("_vdd"))
-    cells = instance_currents(b.instances, b.modules, None, 1.0).join(die.drop("vdd_v"), "design").join(volts, "design")
-    at = with_tiles(cells, "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), n, ty, tx)
-    inst = at.groupBy("design", ty, tx, "module", "clock_domain").agg(F.sum(F.col("unit_a") / F.col("_vdd")).alias("unit_a"))
-    clocks = b.modules.select("design", "module", "clock_domain")
-    rects = covered_tiles(b.macros.join(die, "design"), F.col("die_w_um"), F.col("die_h_um"), n)
-    mac = rects.join(clocks, ["design", "module"], "left").groupBy("design", F.col("ty").alias(ty), F.col("tx").alias(tx), "module", "clock_domain").agg(F.sum(F.coalesce("power_mw", F.lit(0.0)) * 1e-3 / F.col("vdd_v") / F.col("n_tiles")).alias("unit_a"))
-    return inst.unionByName(mac).groupBy("design", ty, tx, "module", "clock_domain").agg(F.sum("unit_a").alias("unit_a"))
-
-
-def scenario_currents(units: DataFrame, activity: DataFrame, ty: str, tx: str) -> DataFrame:
-    """Current of each tile in each scenario; modules without activity draw none."""
-    act = activity.select("design", "scenario", "module", "activity").where("activity is not null")
-    return merged(units, act, ["design", "module"]).groupBy("design", "scenario", ty, tx).agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
-
-
-def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join of grids by sort and merge. The planner judges a grid by the names that it is exploded from, hundreds of times
-    too small, and would send it through the driver."""
-    return left.join(right.hint("merge"), on, how)
-
-
-def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE) -> DataFrame:
-    """design, scenario, ty, tx and the 32 features, one row per coarse tile of every design and scenario."""
-    r, tile, key = fine // coarse, ["design", "ty", "tx"], ["design", "scenario", "ty", "tx"]
-    scenarios = b.activity.groupBy("design", "scenario").agg(F.min("mission_weight").alias("scn_weight"))
-    grid = full_grid(scenarios.select("design", "scenario"), coarse)
-
-    # supply: bumps per tile, planned straps, distances
-    die = b.params.select("design", "die_w_um", "die_h_um")
-    bumps = with_tiles(b.bumps.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), coarse)
-    bumps = bumps.groupBy(*tile).agg(F.count("*").cast("double").alias("grid_bumps"))
-    # absent fine cells have density 0: the mean is the sum over all r * r, and the least is at most 0 where one is absent
-    planned = b.straps.select("design", "fy", "fx", F.coalesce(F.nanvl("density", F.lit(None)), F.lit(0.0)).alias("density")).where(f"fy between 0 and {fine - 1} and fx between 0 and {fine - 1}")
-    planned = block_reduce(planned, ["design"], "density", r)
-    least = F.when(F.col("n_cells") < r * r, F.least("v_min", F.lit(0.0))).otherwise(F.col("v_min"))
-    planned = planned.select(*tile, (F.col("v_mean") * F.col("n_cells") / (r * r)).alias("grid_strap_mean"), least.alias("grid_strap_min"))
-    strap = tiles_of(gathered(planned, b.params.select("design"), ["design"], coarse, ["grid_strap_mean", "grid_strap_min"]), ["design"], coarse, ["grid_strap_mean", "grid_strap_min"])
-    points = with_tiles(b.bumps.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), fine, "py", "px").select("design", "py", "px").distinct()
-    none = float((2 * fine * fine) ** 0.5)
-    every = b.params.select("design", F.lit(None).cast("int").alias("py"), F.lit(None).cast("int").alias("px"))
-    to_bump = block_reduce(distance_transform(points.unionByName(every), ["design"], fine, none), ["design"], "d", r).select(*tile, F.col("v_min").alias("grid_dbump_min"), F.col("v_max").alias("grid_dbump_max"))
-    held = covered_tiles(b.macros.join(die, "design"), F.col("die_w_um"), F.col("die_h_um"), fine).select("design", F.col("ty").alias("py"), F.col("tx").alias("px")).distinct()
-    to_macro = block_reduce(distance_transform(held.unionByName(every), ["design"], fine, none), ["design"], "d", r).select(*tile, F.col("v_min").alias("top_dmacro"))
-    macro = coverage(b.macros.join(die, "design"), ["design"], F.col("die_w_um"), F.col("die_h_um"), coarse).select(*tile, F.col("covered").alias("top_macro_frac"))
-
-    # cells
-    placed = with_tiles(b.instances.join(die, "design"), "x_um", "y_um", F.col("die_w_um"), F.col("die_h_um"), coarse)
-    area = placed.withColumn("_ta", F.col("die_w_um") * F.col("die_h_um") / (coarse * coarse))
-    dens = densities(area, [*tile, "_ta"], F.col("_ta")).select(*tile, F.col("util").alias("top_util"), F.col("cells").cast("double").alias("top_cells"), F.col("capden").alias("top_capden"), F.col("clkden").alias("top_clkden"), F.col("seqden").alias("top_seqden"))
-
-    # currents and the solved mesh
-    units = stage(unit_raster(b, coarse, "ty", "tx"), "units")  # read by currents and by domain shares
-    cur = merged(grid, scenario_currents(units, b.activity, "ty", "tx"), key, "left").fillna(0.0, ["current_a"])
-    fine_cur = scenario_currents(unit_raster(b, fine, "fy", "fx"), b.activity, "fy", "fx").withColumn("ty", F.expr(f"cast(fy div {r} as int)")).withColumn("tx", F.expr(f"cast(fx div {r} as int)"))
-    conc = concentration(fine_cur, key, "current_a", r * r, 4)
-    peak = fine_cur.groupBy(*key).agg(F.max("current_a").alias("cur_max_fine"))
-    cells = merged(merged(strap, bumps, tile, "left"), b.params.select("design", "sheet", "bump"), ["design"]).select(*tile, F.col("grid_strap_mean").alias("strap"), "sheet", (F.coalesce("grid_bumps", F.lit(0.0)) * F.col("bump")).alias("supply"))
-    solved = stage(solve_designs(cells, cur, coarse, weak=True), "drops")  # read twice; factorised once
-    weak = solved.where("scenario = '__weak__'").select(*tile, F.col("drop_v").alias("grid_weak"))
-    phys = solved.where("scenario <> '__weak__'").select(*key, F.col("drop_v").alias("phys_base_v"))
-    group = ["design", "scenario"]
-    sw = domain_concentration(scenario_domains(units, b.activity), key, "clock_domain", "current_a").withColumnsRenamed({"hhi": "sw_hhi", "topshare": "sw_topshare"})
-
-    out = average_rank(phys, group, "phys_base_v", "phys_base_rank", relative=True)
-    out = merged(out, gaussian_blurs(phys, group, "phys_base_v", {"phys_base_s1": 1.0, "phys_base_s2": 2.0}, coarse), key)
-    out = merged(out, cur.select(*key, F.col("current_a").alias("cur_sum")), key)
-    out = merged(out, gaussian_blurs(cur, group, "current_a", {"cur_s1": 1.0, "cur_s2": 2.0, "cur_s4": 4.0}, coarse), key)
-    for part in (peak, conc, sw):
-        out = merged(out, part, key, "left")
-    for part in (weak, strap, bumps, to_bump, to_macro, macro, dens):
-        out = merged(out, part, tile, "left")
-    out = merged(merged(out, scenarios, group), power_fraction(b.activity, b.modules).withColumnRenamed("power_frac", "scn_power_frac"), group, "left")
-    out = out.withColumn("conc_ratio", F.coalesce("conc_ratio", F.lit(1.0))).withColumn("conc_top4", F.coalesce("conc_top", F.lit(4.0 / (r * r))))
-    out = out.withColumn("top_edge_dist", edge_distance(F.col("ty"), F.col("tx"), coarse).cast("double"))
-    out = out.fillna(0.0, ["grid_bumps", "cur_max_fine", "top_macro_frac", "top_util", "top_cells", "top_capden", "top_clkden", "top_seqden", "sw_hhi", "sw_topshare", "scn_power_frac"])
-    out = out.withColumn("cur_x_weak", F.col("cur_sum") * F.col("grid_weak")).withColumn("cur_s2_x_weak", F.col("cur_s2") * F.col("grid_weak")).withColumn("conc_x_weak", F.col("conc_ratio") * F.col("grid_weak"))
-    return out.select(*IDENTITY, *FEATURES)
-
-
-def scenario_domains(units: DataFrame, activity: DataFrame) -> DataFrame:
-    """Current by clock domain: the shares weigh modules by their activity."""
-    act = activity.select("design", "scenario", "module", "activity").where("activity is not null")
-    return merged(units, act, ["design", "module"]).groupBy("design", "scenario", "ty", "tx", "clock_domain").agg(F.sum(F.col("unit_a") * F.col("activity")).alias("current_a"))
+def design_rows(b: Bundle, fine: int, coarse: int) -> DataFrame:
+    """All tables of the bundle as rows of one shape: design, k (kind), s, t (names), v (numbers). Places are tiled here.
+
+    instance: module; coarse tile, fine cell, area, capacitance, clock, sequential. macro: module; first and last fine row,
+    first and last fine column, likewise coarse, then its half-open span of sub-cells, power. bump: coarse tile, fine cell.
+    strap: fine cell (null beyond the grid), density. module: module, clock domain; rated power. activity: scenario, module;
+    activity, mission weight. params: die_w_um, die_h_um, vdd_v, sheet, bump."""
+    w, h = F.col("die_w_um"), F.col("die_h_um")
+    fixed = isinstance(b.params, dict)
+    sized = lambda df: df.withColumns({c: F.lit(b.params[c]) for c in ("die_w_um", "die_h_um")}) if fixed else df.join(b.params.select("design", "die_w_um", "die_h_um"), "design")
+
+    def row(df: DataFrame, kind: int, v: list[Column], s: str | None = None, t: str | None = None) -> DataFrame:
+        name = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
+        return df.select("design", F.lit(kind).cast("tinyint").alias("k"), name(s).alias("s"), name(t).alias("t"), F.array(*(F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in v)).alias("v"))
+
+    def placed(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        at = with_tiles(with_tiles(sized(df), "x_um", "y_um", w, h, coarse), "x_um", "y_um", w, h, fine, "fy", "fx")
+        return at, [F.col("ty") * coarse + F.col("tx"), F.col("fy") * fine + F.col("fx")]
+
+    def span(low: str, high: str, size: Column) -> list[Column]:
+        return [c for n in (fine, coarse) for c in (tile(F.col(low), size, n), F.greatest(tile(F.col(high), size, n), tile(F.col(low), size, n)))]
+
+    ys, xs = span("y0_um", "y1_um", h), span("x0_um", "x1_um", w)
+    sub = coarse * design_features.SUB
+    at = lambda c, size, f: clip(f(F.col(c) / (size / sub)).cast("int"), 0, sub)
+    under = [at("y0_um", h, F.floor), at("y1_um", h, F.ceil), at("x0_um", w, F.floor), at("x1_um", w, F.ceil)]
+    instances, i_at = placed(b.instances)
+    bumps, b_at = placed(b.bumps)
+    inside = F.when(F.expr(f"fy between 0 and {fine - 1} and fx between 0 and {fine - 1}"), F.col("fy") * fine + F.col("fx"))
+    rows = row(instances, design_features.INSTANCE, [*i_at, "area_um2", "cap_ff", "is_clk", "is_seq"], "module")
+    for part in (
+        row(sized(b.macros), design_features.MACRO, [*ys[:2], *xs[:2], *ys[2:], *xs[2:], *under, "power_mw"], "module"),
+        row(bumps, design_features.BUMP, b_at),
+        row(b.straps, design_features.STRAP, [inside, "density"]),
+        row(b.modules, design_features.MODULE, ["rated_power_mw"], "module", "clock_domain"),
+        row(b.activity, design_features.ACTIVITY, ["activity", "mission_weight"], "scenario", "module"),
+        *([] if fixed else [row(b.params, design_features.PARAMS, [*PARAMS])]),
+    ):
+        rows = rows.unionByName(part)
+    return rows
+
+
+def feature_table(b: Bundle, fine: int = FINE, coarse: int = COARSE, needs: tuple[int, ...] = (), digits: int | None = None) -> DataFrame:
+    """design, scenario, ty, tx and the 32 features, one row per coarse tile of every design and scenario. Designs without
+    bumps, or without rows of one of the kinds that ``needs`` names, have none. The rows of a design are shuffled to one
+    place once, and what they make is not shuffled at all: it is hundreds of times as much as they are. ``digits``: rounds."""
+    fixed = [float(b.params[c]) for c in PARAMS] if isinstance(b.params, dict) else None
+    rows = design_rows(b, fine, coarse)
+    schema = T.StructType([T.StructField(c, kind) for c, kind in ((IDENTITY[0], T.StringType()), (IDENTITY[1], T.StringType()), (IDENTITY[2], T.IntegerType()), (IDENTITY[3], T.IntegerType()), *((c, T.DoubleType()) for c in FEATURES))])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = design_features.Design(fine, coarse, fixed)
+        for batch in batches:
+            held.add(batch)
+        if held.seen.issuperset(needs):
+            yield from held.features(key[0].as_py(), digits)
+
+    # the number of partitions is given, since what is small here gives large results
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.where("design is not null").repartition(parts, "design").groupBy("design").applyInArrow(run, schema)
 
 
 def with_labels(features: DataFrame, irmap: DataFrame, r: int = FINE // COARSE) -> DataFrame:

@@ -54,22 +54,35 @@ def gaussian_blur(df: DataFrame, keys: list[str], value: str, sigma: float, n: i
     return gaussian_blurs(df, keys, value, {value: sigma}, n, ty, tx)
 
 
+def grid_distances(held: np.ndarray) -> np.ndarray:
+    """Euclidean distance of every cell of a square grid to the nearest one held: exact and separable, by distances along
+    rows, then the least over each column, as far as any cell can still gain. Squares are whole numbers, which short floats hold exactly up to 2 ** 24."""
+    n = len(held)
+    kind = np.float32 if 2 * n * n < 2**24 else np.float64
+    i = np.arange(n, dtype=kind)
+    at = np.where(held, kind(0), kind(np.inf))
+    before, after = np.minimum.accumulate(at - i, axis=1) + i, np.minimum.accumulate((at + i)[:, ::-1], axis=1)[:, ::-1] - i
+    squares = np.square(np.minimum(before, after))
+    best, further = squares.copy(), squares.copy()
+    for d in range(1, n):
+        if d % 4 == 1 and d * d >= best.max():
+            break
+        further += kind(2 * d - 1)  # squares and d * d
+        np.minimum(best[d:], further[:-d], out=best[d:])
+        np.minimum(best[:-d], further[d:], out=best[:-d])
+    return np.sqrt(best, dtype=float)
+
+
 def distance_transform(points: DataFrame, keys: list[str], n: int, none: float, ty: str = "fy", tx: str = "fx", name: str = "d") -> DataFrame:
     """Euclidean distance of every cell of an n by n grid to the nearest of the points (``py, px``; rows of null
-    place only name a key). A group is at most one grid; the transform is exact and separable: distances along
-    columns, then the least over each row."""
+    place only name a key). A group is at most one grid; see :func:`grid_distances`."""
     schema = T.StructType([*(points.schema[k] for k in keys), T.StructField(ty, T.IntegerType()), T.StructField(tx, T.IntegerType()), T.StructField(name, T.DoubleType())])
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         held = rows.drop_null()
-        at = np.full((n, n), np.inf)
-        at[held.column("py").to_numpy(), held.column("px").to_numpy()] = 0.0
-        for i in range(1, n):
-            at[i] = np.minimum(at[i], at[i - 1] + 1)
-        for i in range(n - 2, -1, -1):
-            at[i] = np.minimum(at[i], at[i + 1] + 1)
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-        d = np.sqrt((at[:, None, :] ** 2 + gap[None]).min(axis=2)) if len(held) else np.full((n, n), none)
+        at = np.zeros((n, n), bool)
+        at[held.column("py").to_numpy(), held.column("px").to_numpy()] = True
+        d = grid_distances(at) if len(held) else np.full((n, n), none)
         y, x = np.divmod(np.arange(n * n, dtype=np.int32), n)
         return pa.table([*(pa.array([k.as_py()] * (n * n)).cast(k.type) for k in key), pa.array(y), pa.array(x), pa.array(d.ravel())], names=schema.names)
 

@@ -118,18 +118,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Register:
-    """Queries with their SQL. ``sql`` lists key columns, number columns (rounded) and the body."""
+    """Queries with their SQL. ``sql`` lists key columns, number columns (rounded) and the body. ``digits`` None: rounds itself."""
 
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.oracle: dict[str, str] = {}
 
-    def __call__(self, keys: str = "", numbers: str = "", body: str | None = None, ctes: str = "", digits: int = 6):
+    def __call__(self, keys: str = "", numbers: str = "", body: str | None = None, ctes: str = "", digits: int | None = 6):
         def add(build: Callable[[Views], DataFrame]) -> Query:
             name = build.__name__
 
             def query(spark: SparkSession, sf: str) -> DataFrame:
-                return rounded(build(Views(spark, sf)), digits)
+                built = build(Views(spark, sf))
+                return built if digits is None else rounded(built, digits)
 
             query.__name__, query.__doc__ = name, build.__doc__
             self.queries[name] = query
